@@ -11,22 +11,29 @@ import ast
 import json
 import math
 import re
+import sys
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.text import safe_float, strip_ws
 
+# The UDF below carries its helpers along, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Marks that become plain JSON marks, and the fence pattern.
 _DROPPED_MARKS = "\ufeff\u200b\u200c\u200d"
 _WIDE_MARKS = "“”‘’，：｛｝［］"
 _PLAIN_MARKS = "\"\"'',:{}[]"
 _FENCE = r"```(?:json|JSON|javascript|js|python|py)?\s*([\s\S]*?)```"
 
-_MARKS_TABLE = str.maketrans(dict(zip(_WIDE_MARKS, _PLAIN_MARKS)) | dict.fromkeys(_DROPPED_MARKS, None))
+_PLAIN_OF = dict(zip(_WIDE_MARKS, _PLAIN_MARKS)) | dict.fromkeys(_DROPPED_MARKS, "")
+_ANY_MARK = re.compile(f"[{_WIDE_MARKS}{_DROPPED_MARKS}]")
 _TRAILING_COMMA = r",\s*([}\]])"
+_NOT_BLANK = r"(?U)[^\s\x1c-\x1f\ufeff\u200b-\u200d]"
 _SENTINEL = "\u0001end-of-output"
 
 REASONS = ("ok", "empty", "truncated", "invalid_json", "non_string")
@@ -47,13 +54,17 @@ def drop_trailing_commas(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, _TRAILING_COMMA, "$1"), _TRAILING_COMMA, "$1")
 
 
-def _strict_object(text: Column) -> Column:
-    """VARIANT object when the *whole* text is one strict JSON object, else null.
+def _wrapped(text: Column) -> Column:
+    """The text parsed as the first item of an array whose last item is a sentinel.
 
-    ``try_parse_json`` ignores what follows the first value, so the text is wrapped into an array whose
-    last item is a sentinel: it comes second only if the text was exactly one value.
+    ``try_parse_json`` ignores what follows the first value; here the sentinel comes second only if the text
+    was exactly one value.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"\\u0001end-of-output"]')))
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"\\u0001end-of-output"]')))
+
+
+def _strict_object(wrapped: Column) -> Column:
+    """VARIANT object when the *whole* wrapped text was one strict JSON object, else null."""
     body = F.try_variant_get(wrapped, "$[0]", "variant")
     return F.when(
         (F.try_variant_get(wrapped, "$[1]", "string") == F.lit(_SENTINEL))
@@ -64,8 +75,15 @@ def _strict_object(text: Column) -> Column:
 
 # --- the residual tier: small pure helpers, one text at a time -------------------------------------------
 
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}\[\]]', re.S)
-_COMMENT_OR_STRING = re.compile(r'("(?:[^"\\]|\\.)*(?:"|\\?\Z))|//[^\r\n]*|/\*.*?(?:\*/|\Z)', re.S)
+# A string runs to its closing quote or, unclosed, to the end of the text.
+_STRING = r'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)'
+_TOKEN = re.compile(_STRING + r"|[{}\[\]]", re.S)
+_COMMENT_OR_STRING = re.compile("(" + _STRING + r")|//[^\r\n]*|/\*.*?(?:\*/|\Z)", re.S)
+
+
+def _plain(text: str) -> str:
+    # str.translate is many times slower on text beyond ASCII.
+    return _ANY_MARK.sub(lambda m: _PLAIN_OF[m.group()], text)
 
 
 def balanced_span(text: str) -> tuple[str | None, bool]:
@@ -87,7 +105,8 @@ def balanced_span(text: str) -> tuple[str | None, bool]:
 
 
 def _repair(text: str) -> str:
-    text = _COMMENT_OR_STRING.sub(lambda m: m.group(1) or "", text)
+    if "//" in text or "/*" in text:
+        text = _COMMENT_OR_STRING.sub(lambda m: m.group(1) or "", text)
     shorter = re.sub(_TRAILING_COMMA, r"\1", text)
     while shorter != text:
         text, shorter = shorter, re.sub(_TRAILING_COMMA, r"\1", shorter)
@@ -103,10 +122,12 @@ def _as_object(reader: Any, text: str) -> dict | None:
 
 
 def _object_from(text: str, legacy_marks: bool) -> dict | None:
-    forms = [text.translate(_MARKS_TABLE)] if legacy_marks else [text, text.translate(_MARKS_TABLE)]
+    plain = _plain(text)
+    forms = [plain] if legacy_marks or plain == text else [text, plain]
     for form in forms:
         fixed = _repair(form)
-        for reader, candidate in ((json.loads, form), (json.loads, fixed), (ast.literal_eval, fixed)):
+        readings = [(json.loads, form), (json.loads, fixed), (ast.literal_eval, fixed)]
+        for reader, candidate in readings[1:] if fixed == form else readings:
             value = _as_object(reader, candidate)
             if value is not None:
                 return value
@@ -128,7 +149,7 @@ def parse_text(text: str | None, legacy_marks: bool = False) -> tuple[str | None
     """(JSON text or None, reason, strategy) of one output text."""
     if text is None:
         return None, "non_string", "none"
-    shown = text.translate(_MARKS_TABLE).strip()
+    shown = _plain(text).strip()
     if not shown:
         return None, "empty", "none"
     raw = shown if legacy_marks else text.strip().strip(_DROPPED_MARKS).strip()
@@ -137,7 +158,7 @@ def parse_text(text: str | None, legacy_marks: bool = False) -> tuple[str | None
     if fence and fence.group(1).strip():
         places.append(("fenced_block", fence.group(1).strip()))
     span, cut = balanced_span(shown)
-    raw_span, _ = balanced_span(raw)
+    raw_span = span if raw == shown else balanced_span(raw)[0]
     places += [("balanced_extract", s) for s in dict.fromkeys((raw_span, span)) if s]
     for strategy, candidate in places:
         value = _object_from(candidate, legacy_marks)
@@ -166,38 +187,36 @@ def parse_outputs(
     Strict parsing of the raw text comes before any mark replacement, so a valid object keeps its values;
     ``legacy_marks`` replaces marks first. ``native=False`` sends every row through the UDF tier.
     """
-    raw = strip_ws(F.col(text))
-    shown = strip_ws(plain_marks(F.col(text)))
-    source = shown if legacy_marks else raw
-    work = df.withColumn("_raw", source).withColumn("_blank", shown == "")
-    none = F.lit(None).cast("variant")
+    source = strip_ws(plain_marks(F.col(text))) if legacy_marks else strip_ws(F.col(text))
+    # Blank: nothing but white space and dropped marks; the search ends at the first other character.
+    work = df.withColumn("_raw", source).withColumn("_blank", ~F.col(text).rlike(_NOT_BLANK))
     if native:
-        no_comments = ~F.col("_raw").contains("//") & ~F.col("_raw").contains("/*")
+        raw = F.col("_raw")
+        braced = F.startswith(raw, F.lit("{"))
         # A text that starts with a letter or a fence can be neither JSON nor a literal as a whole.
-        fence_first = F.col("_raw").rlike(r"^(```|\p{L})")
-        work = (
-            work.withColumn("_full", F.when(F.startswith("_raw", F.lit("{")), _strict_object(F.col("_raw"))))
-            .withColumn(
-                "_commas",
-                F.when(
-                    F.col("_full").isNull() & no_comments & F.startswith("_raw", F.lit("{")) & F.col("_raw").rlike(_TRAILING_COMMA),
-                    _strict_object(drop_trailing_commas(F.col("_raw"))),
-                ),
-            )
-            .withColumn("_fence", F.when(fence_first, _strict_object(fenced_block(F.col("_raw")))))
-        )
+        fence_first = F.left(raw, F.lit(3)).rlike(r"^(```|\p{L})") & raw.contains("```")
+        no_comments = ~raw.contains("//") & ~raw.contains("/*")
+        # Each parse is its own projection, so that it is made once and then read several times.
+        work = work.withColumn("_w", F.when(braced, _wrapped(raw)).when(fence_first, _wrapped(fenced_block(raw))))
+        work = work.withColumn("_strict", _strict_object(F.col("_w"))).drop("_w")
+        again = F.col("_strict").isNull() & braced & no_comments & raw.rlike(_TRAILING_COMMA)
+        work = work.withColumn("_w", F.when(again, _wrapped(drop_trailing_commas(raw))))
+        work = work.withColumn("_object", F.coalesce("_strict", _strict_object(F.col("_w")))).drop("_w", "_strict")
     else:
-        work = work.withColumns({"_full": none, "_commas": none, "_fence": none})
-    settled = F.col("_full").isNotNull() | F.col("_commas").isNotNull() | F.col("_fence").isNotNull()
-    easy = F.col(text).isNull() | F.col("_blank") | settled
-    work = work.withColumn("_rest", _residual_udf(legacy_marks)(F.when(~easy, F.col(text))))
-    in_full = F.col("_full").isNotNull() | F.col("_commas").isNotNull()
+        work = work.withColumn("_object", F.lit(None).cast("variant"))
+    unread, blank, settled = F.col(text).isNull(), F.col("_blank"), F.col("_object").isNotNull()
+    # Rows settled here, and empty ones, reach the UDF as null.
+    work = work.withColumns({
+        "_how": F.when(unread, "non_string").when(blank, "empty").when(settled & F.startswith("_raw", F.lit("{")), "full_text")
+        .when(settled, "fenced_block"),
+    })
+    work = work.withColumn("_rest", _residual_udf(legacy_marks)(F.when(F.col("_how").isNull(), F.col(text))))
+    how = F.col("_how")
+    failed = how.isin("non_string", "empty")
     parsed = F.struct(
-        F.coalesce("_full", "_commas", "_fence", F.try_parse_json(F.col("_rest.json"))).alias("data"),
-        F.when(F.col(text).isNull(), "non_string").when(F.col("_blank"), "empty").when(settled, "ok")
-        .otherwise(F.col("_rest.reason")).alias("reason"),
-        F.when(F.col(text).isNull() | F.col("_blank"), "none").when(in_full, "full_text").when(settled, "fenced_block")
-        .otherwise(F.col("_rest.strategy")).alias("strategy"),
+        F.coalesce("_object", F.try_parse_json(F.col("_rest.json"))).alias("data"),
+        F.when(failed, how).when(how.isNotNull(), "ok").otherwise(F.col("_rest.reason")).alias("reason"),
+        F.when(failed, "none").when(how.isNotNull(), how).otherwise(F.col("_rest.strategy")).alias("strategy"),
     )
     return work.select(*df.columns, parsed.alias(out))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # (?U): \s must also match the wide spaces of CJK text.
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
+# The white space that is stripped from ends of texts.
+_ENDS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 _NON_FINITE = r"^\s*[+-]?(?i:inf|infinity|nan)\s*$"
 
@@ -17,7 +19,7 @@ def squash_spaces(c: Column) -> Column:
 
 def strip_ws(c: Column) -> Column:
     """Strip any Unicode whitespace from both ends; inner whitespace stays."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(c, F.lit(_ENDS))
 
 
 def normalize_text(c: Column) -> Column:

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 import scorelake.plans.queries_io  # noqa: F401 - registers its queries
 import scorelake.plans.queries_rows  # noqa: F401
+import scorelake.plans.queries_scores  # noqa: F401
 import scorelake.plans.queries_stats  # noqa: F401
+import scorelake.plans.queries_streams  # noqa: F401
+import scorelake.plans.queries_text  # noqa: F401
 from scorelake.plans.registry import CHECKS, QUERIES, runnable
 
 

@@ -11,7 +11,7 @@ from scorelake.plans import plates as PL
 from scorelake.plans import reports as R
 from scorelake.plans.adapters import Tables
 from scorelake.plans.registry import query
-from scorelake.plans.runs import run_registry_row
+from scorelake.plans.runs import run_registry_row, snapshot_rows
 from scorelake.schemas import MODEL_FILE
 from scorelake.session import shared_dir
 from scorelake.sources import readers as S
@@ -152,9 +152,9 @@ def src_by_model(t: Tables):
 @query("snk_results_append", "SELECT sample_id, repeat_idx, success, error FROM v_results", ("v_results",))
 def snk_results_append(t: Tables):
     path = shared_dir(t.spark, "append")
-    slim = t.results.select("event_id", "sample_id", "repeat_idx", "success", "error")
-    W.append_results(slim.where("event_id % 2 = 0").drop("event_id"), path)
-    W.append_results(slim.where("event_id % 2 <> 0").drop("event_id"), path)
+    slim = t.results.select("sample_id", "repeat_idx", "success", "error")
+    W.append_results(slim.where("success"), path)
+    W.append_results(slim.where("not success"), path)
     return S.read_results(t.spark, path).select("sample_id", "repeat_idx", "success", "error")
 
 
@@ -179,15 +179,16 @@ def snk_summary_csv(t: Tables):
     return back.select("task_name", "model_id", "request_count", "tm_acc_avg")
 
 
-@query("snk_artifacts", """SELECT 'run1' run_id, 'task' AS mode, (SELECT count(*) FROM documents) dataset_rows, 4::BIGINT masked""")
+@query("snk_artifacts", """SELECT 'run1' run_id, 'task' AS mode, (SELECT count(*) FROM documents) dataset_rows, count(*) masked FROM supplier""")
 def snk_artifacts(t: Tables):
-    path = shared_dir(t.spark, "registry")
-    snapshot = P.model_snapshot(t.models, {"temperature": "1"}).withColumnRenamed("model_id", "key")
-    row = run_registry_row(t.spark, "run1", {"mode": "task"}, S.content_fingerprint(t.table("documents"), ["doc_id", "text"]), snapshot)
-    W.append_run(row, path)
-    back = t.spark.read.parquet(path)
-    masked = F.size(F.filter("model_snapshot", lambda m: m["params"]["api_key"] == "***")).cast("bigint")
-    return back.select("run_id", F.col("config")["mode"].alias("mode"), "dataset_rows", masked.alias("masked"))
+    folder = shared_dir(t.spark, "registry")
+    models = S.models_from_file(_registry(t))
+    run = run_registry_row("run1", {"mode": "task"}, S.content_fingerprint(t.table("documents"), ["doc_id", "text"]))
+    W.append_run(run, snapshot_rows("run1", P.model_snapshot(models, {"temperature": "1"})), folder)
+    masked = t.spark.read.parquet(f"{folder}/model_snapshots").groupBy("run_id").agg(
+        F.count_if(F.col("params")["api_key"] == "***").alias("masked"))
+    runs = t.spark.read.parquet(f"{folder}/runs").select("run_id", F.col("config")["mode"].alias("mode"), "dataset_rows")
+    return runs.join(masked, "run_id")
 
 
 @query("snk_dataset_jsonl", """SELECT sample_id, gt_quality IS NOT NULL has_quality, body FROM v_samples""", ("v_samples",))
@@ -231,18 +232,18 @@ def snk_markdown(t: Tables):
     return t.spark.read.text(path).where(data | line.startswith("### ") & ~line.contains("失败") | line.startswith("- sample_id")).select(line.alias("line"))
 
 
-@query("snk_upsert_plates", """SELECT plate_id, symbol, core_flag FROM v_stocks WHERE plate_id%3<>0
- UNION ALL SELECT plate_id, symbol||'N', 1 FROM v_stocks WHERE plate_id%3=0 AND plate_id%2=0""", ("v_stocks",))
+@query("snk_upsert_plates", """SELECT s.plate_id, s.symbol, s.core_flag FROM v_stocks s JOIN v_plates p ON p.id=s.plate_id WHERE coalesce(p.avg_pcp,1)>=0
+ UNION ALL SELECT s.plate_id, s.symbol||'N', 1 FROM v_stocks s JOIN v_plates p ON p.id=s.plate_id WHERE p.avg_pcp<0 AND p.core_avg_pcp<0""", ("v_stocks", "v_plates"))
 def snk_upsert_plates(t: Tables):
-    """Every third plate gets a new payload; half of those bring no stocks, so their old ones go."""
+    """Falling plates get a new payload; where their core stocks did not fall it brings no stocks, so the old ones go."""
     folder = shared_dir(t.spark, "upsert")
-    parent = t.plates.select("id", "name")
-    chains, answers = t.chains, t.answers
-    W.upsert_plates(t.spark, folder, {"plates": parent, "stocks": t.stocks, "industrial_chains": chains, "question_answers": answers})
-    new = t.stocks.where("plate_id % 3 = 0 and plate_id % 2 = 0").select("plate_id", F.concat("symbol", F.lit("N")).alias("symbol"), F.lit(1).alias("core_flag"))
+    parent = t.plates.select("id", "name", "avg_pcp", "core_avg_pcp")
+    W.upsert_plates(t.spark, folder, {"plates": parent, "stocks": t.stocks, "industrial_chains": t.chains, "question_answers": t.answers})
+    falling = parent.where("avg_pcp < 0")
+    of = lambda df, plates: df.join(plates.select(F.col("id").alias("plate_id")), "plate_id", "left_semi")
+    new = of(t.stocks, falling.where("core_avg_pcp < 0")).select("plate_id", F.concat("symbol", F.lit("N")).alias("symbol"), F.lit(1).alias("core_flag"))
     W.upsert_plates(t.spark, folder, {
-        "plates": parent.where("id % 3 = 0"), "stocks": new,
-        "industrial_chains": chains.where("plate_id % 3 = 0"), "question_answers": answers.where("plate_id % 3 = 0"),
+        "plates": falling, "stocks": new, "industrial_chains": of(t.chains, falling), "question_answers": of(t.answers, falling),
     })
     return W.read_upserted(t.spark, f"{folder}/stocks", "plate_id")
 

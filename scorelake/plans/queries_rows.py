@@ -64,7 +64,7 @@ def prj_optional_section(t: Tables):
 @query("prj_result_row", """SELECT sample_id, repeat_idx, 'result_row.v1' schema_version, 'r1' run_id, success, error,
  CASE WHEN NOT success THEN list_extract(%s,(event_id%%10+1)::INT) WHEN parse_applicable AND NOT parse_success THEN 'schema_mismatch' ELSE '' END error_type,
  round(latency_ms,2) latency_ms, total_tokens, cost_estimate FROM v_costed
- UNION ALL SELECT sample_id, repeat_idx, 'result_row.v1','r1', false, 'build_prompt_error: bad', 'prompt_build_failure', 0.0, 0, 0.0 FROM v_costed WHERE event_id%%10=0"""
+ UNION ALL SELECT sample_id, repeat_idx, 'result_row.v1','r1', false, 'build_prompt_error: bad', 'prompt_build_failure', 0.0, 0, 0.0 FROM v_costed WHERE error_stage='build_prompt'"""
        % sql_list(["prompt_build_failure", "timeout", "rate_limit", "refusal", "gateway_failure", "parse_failure", "metrics_failure",
                    "upstream_missing", "upstream_parse_failed", "unknown_error"]), ("v_costed",))
 def prj_result_row(t: Tables):
@@ -75,7 +75,7 @@ def prj_result_row(t: Tables):
     good = P.called_rows(base, {"run_id": F.lit("r1"), "mode": F.lit("task")})
     message = F.lit("build_prompt_error: bad")
     bad = P.error_rows(
-        t.results.where("event_id % 10 = 0").select("sample_id", "repeat_idx", "task_name", "model_id"),
+        t.results.where("error_stage = 'build_prompt'").select("sample_id", "repeat_idx", "task_name", "model_id"),
         {"run_id": F.lit("r1"), "mode": F.lit("task")}, message,
         F.lit("prompt_build_failure"), F.lit("build_prompt"), F.lit("build_prompt_error"),
     )
@@ -247,7 +247,7 @@ def jn_workflow_resume(t: Tables):
     return G.unfinished_workflow_samples(samples, done, "view")
 
 
-@query("jn_cache_lookup", """SELECT conv_id, turn, (conv_id+turn)%3=0 AND turn%4<>3 AS from_cache, CASE WHEN (conv_id+turn)%3=0 AND turn%4<>3 THEN upper(role) END AS content FROM conversations""")
+@query("jn_cache_lookup", """SELECT conv_id, turn, role='user' AND turn%4<>3 AS from_cache, CASE WHEN role='user' AND turn%4<>3 THEN upper(role) END AS content FROM conversations""")
 def jn_cache_lookup(t: Tables):
     return G.cache_lookup(t.requests, t.cache).select("conv_id", "turn", "from_cache", "content")
 
@@ -307,20 +307,20 @@ def _sql_tops(select: str) -> str:
     return TOPS + select
 
 
-@query("jn_baseline", """, s AS (SELECT event_id%2 side, task_name, model_id, prompt_version, round(avg(m_acc),4) sc FROM v_results WHERE NOT (event_id%2=0 AND model_id='m2' AND task_name='click') GROUP BY 1,2,3,4)
+@query("jn_baseline", """, s AS (SELECT (ts>=TIMESTAMP '2024-01-16')::INT side, task_name, model_id, prompt_version, round(avg(m_acc),4) sc FROM v_results WHERE NOT (ts<TIMESTAMP '2024-01-16' AND model_id='m2' AND task_name='click') GROUP BY 1,2,3,4)
  SELECT coalesce(b.task_name,c.task_name) task_name, coalesce(b.model_id,c.model_id) model_id, b.sc baseline_score, c.sc current_score, round(c.sc-b.sc,6) delta, round(c.sc-b.sc,6) < -0.02::DOUBLE regressed,
  CASE WHEN b.sc IS NULL THEN 'current_only' WHEN c.sc IS NULL THEN 'baseline_only' ELSE 'both' END side
- FROM (SELECT * REPLACE ('m'||((replace(model_id,'m','')::INT+1)%4) AS model_id) FROM s WHERE side=0) b FULL JOIN (SELECT * FROM s WHERE side=1) c ON b.task_name=c.task_name AND b.model_id=c.model_id AND b.prompt_version=c.prompt_version""", ("v_results",))
+ FROM (SELECT * FROM s WHERE side=0) b FULL JOIN (SELECT * FROM s WHERE side=1 AND NOT (model_id='m1' AND task_name='view')) c ON b.task_name=c.task_name AND b.model_id=c.model_id AND b.prompt_version=c.prompt_version""", ("v_results",))
 def jn_baseline(t: Tables):
-    """Even rows as the baseline run, odd rows as the current one; one group is missing on one side."""
+    """The first half of the month as the baseline run, the rest as the current one; each lacks one group."""
     scored = t.results.select(
-        "event_id", "task_name", "prompt_version", "model_id", F.lit("v1").alias("scorer_version"), F.col("task_metrics")[0]["value"].alias("acc")
+        "ts", "task_name", "prompt_version", "model_id", F.lit("v1").alias("scorer_version"), F.col("task_metrics")[0]["value"].alias("acc")
     )
     def run(rows):
         return rows.groupBy(*C.BASELINE_KEYS).agg(F.round(F.avg("acc"), 4).alias("primary_score")).withColumn("primary_metric", F.lit("acc"))
-    even = scored.where("event_id % 2 = 0 and not (model_id = 'm2' and task_name = 'click')")
-    shifted = even.withColumn("model_id", F.concat(F.lit("m"), ((F.substring("model_id", 2, 9).cast("int") + 1) % 4).cast("string")))
-    out = C.compare_runs(run(shifted), run(scored.where("event_id % 2 = 1")))
+    early = scored.where("ts < timestamp '2024-01-16' and not (model_id = 'm2' and task_name = 'click')")
+    late = scored.where("ts >= timestamp '2024-01-16' and not (model_id = 'm1' and task_name = 'view')")
+    out = C.compare_runs(run(early), run(late))
     return out.select("task_name", "model_id", "baseline_score", "current_score", "delta", "regressed", "side")
 
 

@@ -145,7 +145,7 @@ def agg_value_counts(t: Tables):
     return A.value_counts(t.stocks, "core_flag", "n")
 
 
-_DESC_COLS = ["avg_pcp", "core_avg_pcp", "rise_count", "fund_flow", "core_stocks_count"]
+_DESC_COLS = ["avg_pcp", "core_avg_pcp", "rise_count", "fund_flow_yi", "core_stocks_count"]
 
 
 @query("agg_describe", " UNION ALL ".join(

@@ -1,7 +1,7 @@
 """Whole runs as one lazy plan: a task over samples x models x repeats, and a workflow over samples.
 
 Calls are recorded data. A task run expands the grid, drops finished work, builds requests, takes cached
-answers, joins recorded calls, parses, scores, prices and types errors.
+answers, joins recorded calls, parses, scores, prices and types errors. Each plan touches every input once.
 """
 
 from __future__ import annotations
@@ -11,40 +11,62 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.keys import cache_id, cache_key
+from scorelake.functions.errors import derive_error
+from scorelake.functions.keys import cache_id, cache_key, call_cost
 from scorelake.functions.outputs import apply_schema, parse_outputs
 from scorelake.operators import grid as G
-from scorelake.operators.metrics import with_metrics
-from scorelake.operators.projections import (
-    build_requests, called_rows, error_rows, map_fields, map_literal, merge_maps, result_rows,
-)
-from scorelake.operators.workflow import end_to_end, gate
-from scorelake.schemas import RESUME_KEYS, STEP_TASK
-from scorelake.spec import TASKS, TaskSpec, WorkflowSpec, resolve_rules
+from scorelake.operators.metrics import task_metrics
+from scorelake.operators.projections import build_requests, called_rows, map_fields, map_literal, merge_maps, utc_now_text
+from scorelake.operators.workflow import gate
+from scorelake.schemas import METRIC_LIST, RESULT_ROW, RESULT_SCHEMA_VERSION, STEP_E2E, STEP_TASK, as_struct
+from scorelake.spec import TASKS, TaskSpec, WorkflowSpec, WorkflowStep, resolve_rules
 
 CALL_COLUMNS = [
     "content", "prompt_tokens", "completion_tokens", "latency_ms", "success", "error", "retry_count",
     "error_type", "error_stage", "error_code",
 ]
+NO_ANSWER = ("gateway_error: no recorded answer", "gateway_failure", "gateway", "gateway_error")
 
 
-def score_calls(calls: DataFrame, task: TaskSpec, keys: list[str], sample: str = "sample") -> DataFrame:
+def call_values(column, missing: Column) -> dict[str, Column]:
+    """Call columns with their defaults; a missing call becomes a failed one with a gateway error."""
+    text, kind, stage, code = NO_ANSWER
+    blank = lambda c: F.coalesce(column(c), F.lit(""))
+    return {
+        "content": blank("content"),
+        **{c: F.coalesce(column(c), F.lit(0)) for c in ("prompt_tokens", "completion_tokens", "retry_count")},
+        "latency_ms": F.coalesce(column("latency_ms"), F.lit(0.0)),
+        "success": F.coalesce(column("success"), F.lit(False)),
+        "error": F.when(missing, text).otherwise(blank("error")),
+        "error_type": F.when(missing, kind).otherwise(blank("error_type")),
+        "error_stage": F.when(missing, stage).otherwise(blank("error_stage")),
+        "error_code": F.when(missing, code).otherwise(blank("error_code")),
+    }
+
+
+def score_calls(calls: DataFrame, task: TaskSpec, sample: str = "sample", out: str = "", skip: str | None = None) -> DataFrame:
     """Parse and score answered calls that carry their sample as a struct.
 
-    Metrics run on failed calls too, with nothing parsed. Adds parsed_json, parse flags and task_metrics.
+    Reads ``<out>content`` and ``<out>success`` and adds ``<out>parsed_json``, ``<out>parse_success`` and
+    ``<out>task_metrics``. Metrics run on failed calls too, with nothing parsed; rows with the ``skip`` flag
+    have none.
     """
-    answered = F.when(F.col("success"), F.col("content"))
-    rows = calls.withColumns({"_answer": answered, "parse_applicable": F.lit(task.parse_applicable)})
+    parsed = f"{out}parsed"
     if task.parse_schema:
-        rows = parse_outputs(rows, "_answer", "_parse")
-        rows = rows.withColumn("parsed", apply_schema(F.col("_parse.data"), task.parse_schema)).drop("_parse")
+        answer = f"{out}_answer"
+        rows = calls.withColumn(answer, F.when(F.col(f"{out}success"), F.col(f"{out}content")))
+        rows = parse_outputs(rows, answer, f"{out}_parse")
+        rows = rows.withColumn(parsed, apply_schema(F.col(f"{out}_parse.data"), task.parse_schema)).drop(answer, f"{out}_parse")
     else:
-        rows = rows.withColumn("parsed", F.lit(None).cast("struct<none:string>"))
-    rules = resolve_rules(task.answer_type, task.metrics)
-    rows = with_metrics(rows.withColumn("sample", F.col(sample)), rules, keys)
+        rows = calls.withColumn(parsed, F.lit(None).cast("struct<none:string>"))
+    scores = task_metrics(rows.schema, resolve_rules(task.answer_type, task.metrics), parsed, sample)
+    if skip:
+        scores = F.when(F.col(skip), F.array().cast(METRIC_LIST)).otherwise(scores)
     return rows.withColumns({
-        "parse_success": F.col("parsed").isNotNull(), "parsed_json": F.to_json("parsed", {"ignoreNullFields": "false"}),
-    }).drop("_answer", "parsed")
+        f"{out}parse_success": F.col(parsed).isNotNull(),
+        f"{out}parsed_json": F.to_json(parsed, {"ignoreNullFields": "false"}),
+        f"{out}task_metrics": scores,
+    }).drop(parsed)
 
 
 def pending_requests(
@@ -84,42 +106,47 @@ def task_run(
     mapped = map_fields(requests, task.field_mapping)
     extra = [c for c in task.field_mapping.values() if c in mapped.columns and c not in names]
     base = mapped.withColumn("sample", F.struct(*names, *extra)).select(
-        *keys, "task_name", "step_id", "prompt_version", "params", "price", "sample", *(["cache_key"] if cache is not None else [])
+        *keys, "task_name", "prompt_version", "params", "price", "sample", *(["cache_key"] if cache is not None else [])
     )
-    recorded = calls.select(*keys, *CALL_COLUMNS, F.lit(True).alias("_recorded"))
+    recorded = calls.select(*keys, F.struct(*CALL_COLUMNS).alias("_call"))
     if cache is None:
-        joined = base.join(recorded, keys, "left").withColumn("from_cache", F.lit(False))
+        joined = base.withColumns({"from_cache": F.lit(False), "_hit": F.lit(None).cast(recorded.schema["_call"].dataType)})
     else:
-        stored = cache.select("cache_key", *CALL_COLUMNS)
-        hits = G.cache_lookup(base, stored)
-        mine = recorded.select(*keys, "_recorded", *[F.col(c).alias(f"_r_{c}") for c in CALL_COLUMNS])
-        joined = hits.join(mine, keys, "left")
-        joined = joined.withColumns({
-            c: F.when(F.col("from_cache"), F.col(c)).otherwise(F.col(f"_r_{c}")) for c in CALL_COLUMNS
-        }).drop(*[f"_r_{c}" for c in CALL_COLUMNS])
-    missing = ~F.coalesce("_recorded", F.lit(False)) & ~F.col("from_cache")
-    message = "gateway_error: no recorded answer"
+        hits = G.cache_lookup(base, cache.select("cache_key", *CALL_COLUMNS))
+        joined = hits.withColumn("_hit", F.when(F.col("from_cache"), F.struct(*CALL_COLUMNS))).drop(*CALL_COLUMNS)
+    joined = joined.join(recorded, keys, "left").withColumn("_call", F.coalesce("_hit", "_call")).drop("_hit")
+    missing = F.col("_call").isNull()
     filled = joined.withColumns({
-        "content": F.coalesce("content", F.lit("")),
-        **{c: F.coalesce(c, F.lit(0)) for c in ("prompt_tokens", "completion_tokens", "retry_count")},
-        "latency_ms": F.coalesce("latency_ms", F.lit(0.0)),
-        "success": F.coalesce("success", F.lit(False)),
-        "error": F.when(missing, message).otherwise(F.coalesce("error", F.lit(""))),
-        "error_type": F.when(missing, "gateway_failure").otherwise(F.coalesce("error_type", F.lit(""))),
-        "error_stage": F.when(missing, "gateway").otherwise(F.coalesce("error_stage", F.lit(""))),
-        "error_code": F.when(missing, "gateway_error").otherwise(F.coalesce("error_code", F.lit(""))),
-        "_missing": missing,
-    })
-    scored = score_calls(filled, task, keys)
-    # A call that never happened has no scores at all.
-    scored = scored.withColumn(
-        "task_metrics", F.when(F.col("_missing"), F.array().cast(scored.schema["task_metrics"].dataType)).otherwise(F.col("task_metrics"))
-    )
+        **call_values(lambda c: F.col(f"_call.{c}"), missing), "_missing": missing,
+        "parse_applicable": F.lit(task.parse_applicable),
+    }).drop("_call")
+    scored = score_calls(filled, task, skip="_missing")
     return called_rows(scored, {
         "run_id": F.lit(run_id), "mode": F.lit("task"), "task_version": F.lit(task.version), "step_id": F.lit(STEP_TASK),
     })
 
 
+# --- workflow --------------------------------------------------------------------------------------------
+
+def _result_struct(values: dict[str, Column]) -> Column:
+    """A struct in the result schema; fields not given take a blank, zero or null."""
+    blanks = {"string": F.lit(""), "double": F.lit(0.0), "int": F.lit(0), "boolean": F.lit(False)}
+    out = []
+    for field in as_struct(RESULT_ROW).fields:
+        kind = field.dataType.simpleString()
+        value = values[field.name] if field.name in values else blanks.get(kind, F.lit(None))
+        out.append(value.cast(field.dataType).alias(field.name))
+    return F.struct(*out)
+
+
+def _step_calls(calls: DataFrame, spec: WorkflowSpec) -> DataFrame:
+    """Recorded calls of all steps side by side, one row per sample: one shuffle for any number of steps."""
+    call = F.struct(*CALL_COLUMNS, "from_cache")
+    return calls.groupBy("sample_id").agg(*[
+        F.any_value(F.when(F.col("step_id") == s.id, call), True).alias(f"_call{i}") for i, s in enumerate(spec.steps)
+    ])
+
+
 def workflow_run(
     samples: DataFrame, models: DataFrame, calls: DataFrame, spec: WorkflowSpec, step_models: dict[str, str],
     tasks: dict[str, TaskSpec] = TASKS, run_id: str = "run", params: dict[str, str] | None = None,
@@ -127,115 +154,125 @@ def workflow_run(
 ) -> DataFrame:
     """Step rows and end-to-end rows of a workflow over all samples.
 
-    ``calls`` are recorded answers by (sample_id, step_id); ``step_models`` gives every step its model. The
-    loop is over the few listed steps, never over samples: each step is one projection, the gating is column
-    logic per sample, and the end-to-end rows are one grouped roll-up.
+    ``calls`` are recorded answers by (sample_id, step_id); ``step_models`` gives every step its model. A
+    sample and the calls of its few listed steps meet in one row; parsing, gating, scoring and the roll-up
+    are columns of that row, which is then unfolded into its result rows. The loop is over the listed steps.
     """
     if done is not None:
         samples = G.unfinished_workflow_samples(samples, done, spec.name)
     names = samples.columns
-    base = samples.withColumn("sample", F.struct(*names)).select("sample_id", "sample")
-    per_step: list[DataFrame] = []
-    for order, step in enumerate(spec.steps):
-        task = tasks[step.task]
-        mine = calls.where(F.col("step_id") == step.id).select("sample_id", *CALL_COLUMNS, "from_cache", F.lit(True).alias("_recorded"))
-        mapped = base
-        extra = {s: d for s, d in task.field_mapping.items() if s in names}
-        if extra:
-            mapped = base.withColumn("sample", F.struct("sample.*", *[F.col(f"sample.{s}").alias(d) for s, d in extra.items()]))
-        joined = mapped.join(mine, "sample_id", "left")
-        missing = ~F.coalesce("_recorded", F.lit(False))
-        filled = joined.withColumns({
-            "content": F.coalesce("content", F.lit("")),
-            **{c: F.coalesce(c, F.lit(0)) for c in ("prompt_tokens", "completion_tokens", "retry_count")},
-            "latency_ms": F.coalesce("latency_ms", F.lit(0.0)),
-            "success": F.coalesce("success", F.lit(False)),
-            "from_cache": F.coalesce("from_cache", F.lit(False)),
-            "error": F.when(missing, "gateway_error: no recorded answer").otherwise(F.coalesce("error", F.lit(""))),
-            "error_type": F.when(missing, "gateway_failure").otherwise(F.coalesce("error_type", F.lit(""))),
-            "error_stage": F.when(missing, "gateway").otherwise(F.coalesce("error_stage", F.lit(""))),
-            "error_code": F.when(missing, "gateway_error").otherwise(F.coalesce("error_code", F.lit(""))),
-            "executed": ~missing,
+    rows = samples.join(_step_calls(calls, spec), "sample_id", "left").withColumn("sample", F.struct(*names))
+    rows = rows.select("sample_id", "sample", *[f"_call{i}" for i in range(len(spec.steps))])
+    for i, step in enumerate(spec.steps):
+        task, p = tasks[step.task], f"s{i}_"
+        missing = F.col(f"_call{i}").isNull()
+        rows = rows.withColumns({
+            f"{p}missing": missing,
+            **{p + c: v for c, v in call_values(lambda c, i=i: F.col(f"_call{i}.{c}"), missing).items()},
+            f"{p}from_cache": F.coalesce(F.col(f"_call{i}.from_cache"), F.lit(False)),
         })
-        scored = score_calls(filled, task, ["sample_id"]).withColumns({
-            "ord": F.lit(order),
-            "step_id": F.lit(step.id),
-            "input_from": F.lit(step.input_from),
-            "model_id": F.lit(step_models[step.id]),
-            "task_name": F.lit(task.name),
-            "task_version": F.lit(task.version),
-            "prompt_version": F.lit(task.prompt_version),
-            "params": merge_maps(map_literal(task.default_params), map_literal(params or {}), map_literal(step.params_override)),
-        }).drop("sample", "_recorded")
-        per_step.append(scored)
-    steps = G.with_price(reduce(lambda a, b: a.unionByName(b), per_step), models)
-
-    # What each reader may rely on, one row per sample; then which steps run at all.
-    good = F.col("executed") & F.col("success") & (F.col("parse_success") | ~F.col("parse_applicable"))
-    flags = steps.groupBy("sample_id").agg(*[
-        F.bool_or(F.when(F.col("step_id") == s.id, good)).alias(f"_ok_{i}") for i, s in enumerate(spec.steps)
-    ])
-    states = {s.id: F.col(f"_ok_{i}") for i, s in enumerate(spec.steps)}
-    runs = gate(states, {s.id: s.input_from for s in spec.steps})
-    plan = F.explode(F.array(*[F.struct(F.lit(s.id).alias("step_id"), runs[s.id].alias("runs")) for s in spec.steps]))
-    gated = steps.join(flags.select("sample_id", plan.alias("p")).select("sample_id", "p.*"), ["sample_id", "step_id"])
-
-    earlier = {s.id: [t.id for t in spec.steps[:i]] for i, s in enumerate(spec.steps)}
-    absent = [s.id for s in spec.steps if s.input_from != "sample" and s.input_from not in earlier[s.id]]
-    is_missing = F.col("step_id").isin(*absent) if absent else F.lit(False)
-    state = F.when(is_missing, "missing").otherwise("parse_failed")
-    code = F.concat(F.lit("upstream_"), state)
-    message = F.concat(code, F.lit(": upstream_"), "input_from", F.lit("_"), state)
-    common = {"run_id": F.lit(run_id), "workflow_name": F.lit(spec.name), "workflow_version": F.lit(spec.version), "mode": F.lit("workflow_step")}
-    ran = called_rows(gated.where("runs"), common)
-    skipped = error_rows(
-        gated.where("not runs").select("sample_id", "step_id", "input_from", "model_id", "task_name", "params", "parse_applicable"),
-        {**common, "step_id": F.col("step_id"), "task_version": F.lit("skipped"), "prompt_version": F.lit("skipped")},
-        message, code, F.lit("upstream"), code,
-    )
-    step_rows = ran.unionByName(skipped)
+        mapped = {s: d for s, d in task.field_mapping.items() if s in names}
+        sample = "sample"
+        if mapped:
+            sample = f"{p}sample"
+            rows = rows.withColumn(sample, F.struct("sample.*", *[F.col(f"sample.{s}").alias(d) for s, d in mapped.items()]))
+        rows = score_calls(rows, task, sample, out=p, skip=f"{p}missing")
 
-    measured = gated.select(
-        "sample_id", "ord", (F.col("runs") & F.col("executed")).alias("executed"), "success", "parse_applicable", "parse_success",
-        F.when(F.col("runs"), F.col("parsed_json")).alias("parsed"), "latency_ms",
-        (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), "retry_count",
-        _cost().alias("cost_estimate"),
-    )
-    whole = end_to_end(measured, ["sample_id"])
-    unknown = F.when(F.col("success"), F.lit("")).otherwise(F.lit("unknown_error"))
-    mismatch = F.col("success") & F.col("parse_applicable") & ~F.col("parse_success")
-    e2e = result_rows(whole, {
-        **common,
-        "mode": F.lit("workflow_e2e"),
-        "task_name": F.lit(spec.name),
-        "task_version": F.lit(spec.version),
-        "prompt_version": F.lit("workflow"),
-        "model_id": F.lit("+".join(step_models[s.id] for s in spec.steps)),
-        "params": map_literal(params or {}),
-        "error_detail": F.col("error"),
-        "error_type": F.when(mismatch, "schema_mismatch").otherwise(unknown),
-        "error_stage": F.when(mismatch, "parse").otherwise(F.when(F.col("success"), "").otherwise("unknown")),
-        "error_code": F.when(mismatch, "parse_empty_or_invalid").otherwise(unknown),
-        "timestamp": F.lit(None),
+    prices = _prices(models, step_models, spec)
+    good = {
+        s.id: ~F.col(f"s{i}_missing") & F.col(f"s{i}_success") & (F.col(f"s{i}_parse_success") if tasks[s.task].parse_applicable else F.lit(True))
+        for i, s in enumerate(spec.steps)
+    }
+    runs = gate(good, {s.id: s.input_from for s in spec.steps})
+    rows = rows.withColumns({
+        **{f"s{i}_runs": runs[s.id] for i, s in enumerate(spec.steps)},
+        **{f"s{i}_price": prices[step_models[s.id]] for i, s in enumerate(spec.steps)},
     })
-    return step_rows.unionByName(e2e)
+    common = {"schema_version": F.lit(RESULT_SCHEMA_VERSION), "run_id": F.lit(run_id), "timestamp": utc_now_text(), "sample_id": F.col("sample_id"),
+              "workflow_name": F.lit(spec.name), "workflow_version": F.lit(spec.version)}
+    built = [_step_struct(i, s, spec, tasks[s.task], step_models[s.id], params or {}, common) for i, s in enumerate(spec.steps)]
+    whole = _e2e_struct(spec, step_models, tasks, params or {}, common)
+    return rows.select(F.explode(F.array(*built, whole)).alias("r")).select("r.*")
 
 
-def _cost() -> Column:
-    from scorelake.functions.keys import call_cost
+def _prices(models: DataFrame, step_models: dict[str, str], spec: WorkflowSpec) -> dict[str, Column]:
+    """Price struct per used model as a scalar subquery; a model the registry does not know fails the job."""
+    used = {step_models[s.id] for s in spec.steps}
+    out = {}
+    for m in used:
+        found = models.where(F.col("model_id") == m).agg(
+            F.count("*").alias("n"), F.any_value("price_config").alias("price")
+        )
+        checked = F.when(F.col("n") > 0, F.col("price")).otherwise(F.raise_error(F.lit(f"unknown model {m}")).cast(models.schema["price_config"].dataType))
+        out[m] = found.select(checked).scalar()
+    return out
 
-    return call_cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("price"), F.col("from_cache"))
 
+def _step_struct(i: int, step: WorkflowStep, spec: WorkflowSpec, task: TaskSpec, model_id: str, params: dict[str, str], common: dict[str, Column]) -> Column:
+    p = f"s{i}_"
+    col = lambda c: F.col(p + c)
+    named = {
+        **common, "mode": F.lit("workflow_step"), "task_name": F.lit(task.name), "step_id": F.lit(step.id), "model_id": F.lit(model_id),
+        "params": merge_maps(map_literal(task.default_params), map_literal(params), map_literal(step.params_override)),
+        "parse_applicable": F.lit(task.parse_applicable), "task_metrics": F.array().cast(METRIC_LIST),
+    }
+    state = "parse_failed" if step.input_from in [s.id for s in spec.steps[:i]] else "missing"
+    code = f"upstream_{state}"
+    text = F.lit(f"{code}: upstream_{step.input_from}_{state}")
+    skipped = _result_struct({
+        **named, "task_version": F.lit("skipped"), "prompt_version": F.lit("skipped"), "error": text, "error_detail": text,
+        "error_type": F.lit(code), "error_stage": F.lit("upstream"), "error_code": F.lit(code),
+    })
+    typed = derive_error(col("success"), F.lit(task.parse_applicable), col("parse_success"), col("error"), col("error_type"), col("error_stage"), col("error_code"))
+    ran = _result_struct({
+        **named, "task_version": F.lit(task.version), "prompt_version": F.lit(task.prompt_version),
+        **{c: col(c) for c in ("success", "error", "parse_success", "prompt_tokens", "completion_tokens", "retry_count", "from_cache", "task_metrics")},
+        **{c: typed[c] for c in ("error_type", "error_stage", "error_code", "error_detail")},
+        "latency_ms": F.round(col("latency_ms"), 2), "total_tokens": col("prompt_tokens") + col("completion_tokens"),
+        "cost_estimate": _step_cost(i), "output_text": col("content"), "parsed": col("parsed_json"),
+    })
+    return F.when(col("runs"), ran).otherwise(skipped)
 
-def run_registry_row(
-    spark, run_id: str, config: dict[str, str], fingerprint: DataFrame, snapshot: DataFrame, max_models: int = 10_000,
-) -> DataFrame:
-    """One row per run. The snapshot is (key, params); registries are small, and the bound is enforced."""
-    models = snapshot.select(F.struct("key", "params").alias("m")).limit(max_models).agg(F.collect_list("m").alias("model_snapshot"))
-    return fingerprint.select(
-        F.lit(run_id).alias("run_id"), map_literal(config).alias("config"), "dataset_rows", "dataset_sha256",
-        models.scalar().alias("model_snapshot"),
-    )
+
+def _step_cost(i: int) -> Column:
+    return call_cost(*[F.col(f"s{i}_{c}") for c in ("prompt_tokens", "completion_tokens", "price", "from_cache")])
+
+
+def _e2e_struct(spec: WorkflowSpec, step_models: dict[str, str], tasks: dict[str, TaskSpec], params: dict[str, str], common: dict[str, Column]) -> Column:
+    """Roll-up over the step columns; the rules are those of operators.workflow.end_to_end."""
+    n = len(spec.steps)
+    executed = [F.col(f"s{i}_runs") & ~F.col(f"s{i}_missing") for i in range(n)]
+    needs = [tasks[s.task].parse_applicable for s in spec.steps]
+    ok = reduce(lambda a, b: a & b, [
+        executed[i] & F.col(f"s{i}_success") & (F.col(f"s{i}_parse_success") if needs[i] else F.lit(True)) for i in range(n)
+    ])
+    total = lambda c: reduce(lambda a, b: a + b, [F.when(executed[i], c(i)).otherwise(F.lit(0)) for i in range(n)])
+    applicable = reduce(lambda later, i: F.when(executed[i], F.lit(needs[i])).otherwise(later), range(n), F.lit(True))
+    output = F.when(executed[-1], F.col(f"s{n - 1}_parsed_json"))
+    parsed_ok = applicable & output.isNotNull()
+    text = F.when(ok, "").otherwise("workflow_step_failed")
+    typed = derive_error(ok, applicable, parsed_ok, text)
+    return _result_struct({
+        **common, "mode": F.lit("workflow_e2e"), "task_name": F.lit(spec.name), "task_version": F.lit(spec.version), "step_id": F.lit(STEP_E2E),
+        "prompt_version": F.lit("workflow"), "model_id": F.lit("+".join(step_models[s.id] for s in spec.steps)), "params": map_literal(params),
+        "success": ok, "error": text, **{c: typed[c] for c in ("error_type", "error_stage", "error_code", "error_detail")},
+        "parse_applicable": applicable, "parse_success": parsed_ok,
+        "latency_ms": F.round(total(lambda i: F.col(f"s{i}_latency_ms")), 2),
+        "total_tokens": total(lambda i: F.col(f"s{i}_prompt_tokens") + F.col(f"s{i}_completion_tokens")),
+        "retry_count": total(lambda i: F.col(f"s{i}_retry_count")), "cost_estimate": F.round(total(_step_cost), 8),
+        "parsed": output, "task_metrics": F.array().cast(METRIC_LIST),
+    })
+
+
+# --- run registry ----------------------------------------------------------------------------------------
+
+def run_registry_row(run_id: str, config: dict[str, str], fingerprint: DataFrame) -> DataFrame:
+    """One row per run: its settings and the fingerprint of its input."""
+    return fingerprint.select(F.lit(run_id).alias("run_id"), map_literal(config).alias("config"), "dataset_rows", "dataset_sha256")
+
+
+def snapshot_rows(run_id: str, snapshot: DataFrame) -> DataFrame:
+    return snapshot.withColumn("run_id", F.lit(run_id))
 
 
-__all__ = ["task_run", "workflow_run", "pending_requests", "score_calls", "run_registry_row", "RESUME_KEYS"]
+__all__ = ["task_run", "workflow_run", "pending_requests", "score_calls", "run_registry_row", "snapshot_rows"]

@@ -16,11 +16,11 @@ def append_results(rows: DataFrame, path: str, fmt: str = "json") -> None:
 def write_by_model(rows: DataFrame, folder: str) -> None:
     """Results split by task and model; marks unsafe in file names become ``-``.
 
-    Rows are spread by a salt within each pair, so one dominant model is written by many tasks.
+    The rebalance groups each pair's rows into few files, and at run time splits a pair that is too big for
+    one task, so a dominant model is written by many.
     """
-    salt = F.pmod(F.xxhash64("sample_id", "repeat_idx"), F.lit(64))
     safe = rows.withColumn("model_id", safe_name(F.col("model_id")))
-    safe.repartition("task_name", "model_id", salt).write.mode("overwrite").partitionBy("task_name", "model_id").json(folder)
+    safe.hint("rebalance", F.col("task_name"), F.col("model_id")).write.mode("overwrite").partitionBy("task_name", "model_id").json(folder)
 
 
 def write_csv(df: DataFrame, path: str, *order: Column | str) -> None:
@@ -45,9 +45,10 @@ def write_samples(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
-def append_run(run: DataFrame, path: str) -> None:
-    """One row per run: settings, environment, fingerprint and masked model snapshot."""
-    run.write.mode("append").parquet(path)
+def append_run(run: DataFrame, snapshot: DataFrame, folder: str) -> None:
+    """One row per run (settings, environment, fingerprint) and its masked model snapshot, a row per model."""
+    run.write.mode("append").parquet(f"{folder}/runs")
+    snapshot.write.mode("append").parquet(f"{folder}/model_snapshots")
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -80,7 +81,8 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, changed: Da
         # A touched bucket that ends up empty must still be overwritten: a row without a key stands for it.
         markers = keys.select("bucket").distinct()
         fresh = kept.select(*fresh.columns).unionByName(fresh).unionByName(markers, allowMissingColumns=True)
-    writer = fresh.repartition("bucket").write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic")
+    # Rebalanced: few files per bucket, and a bucket with a dominant key is split over tasks.
+    writer = fresh.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic")
     writer.mode("overwrite").parquet(path)
 
 
