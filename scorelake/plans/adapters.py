@@ -43,6 +43,13 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for work that is heavy per row. A table in fewer files than there are slots is dealt out once
+        by key; one in many files is left as it is, so no shuffle is added at scale."""
+        df = self.table(name)
+        slots = self.spark.sparkContext.defaultParallelism
+        return df if len(df.inputFiles()) >= slots else df.repartition(slots, key)
+
     @cached_property
     def models(self) -> DataFrame:
         rows = [(m, "openai_compatible", {"temperature": "0", "api_key": f"sk-{m}", "seed": "42"}, _PRICES[m]) for m in MODEL_IDS]
@@ -90,7 +97,7 @@ class Tables:
     @cached_property
     def outputs(self) -> DataFrame:
         """Raw output text of every document in seven shapes; the class follows from the id."""
-        d = self.table("documents")
+        d = self.spread("documents", "doc_id")
         plain = F.to_json(F.struct(
             F.col("lang").alias("label"), F.col("n_chars").alias("score"), (F.col("n_chars") / F.lit(8.0)).alias("ratio"),
             F.col("text").alias("summary"), F.array("source", "lang").alias("tags"),
@@ -277,7 +284,7 @@ class Tables:
     def pair_reason(self) -> DataFrame:
         """Answer is the second word; the lines of the whole text are the steps, the source is a claim."""
         words = F.split(F.regexp_replace("text", r"\n", " "), " ")
-        return self.table("documents").select(
+        return self.spread("documents", "doc_id").select(
             "doc_id",
             F.struct(
                 F.get(words, F.lit(1)).alias("final_answer"), F.split("text", "\n").alias("steps"),

@@ -172,7 +172,7 @@ _TASK = TaskSpec.from_dict({
 
 
 def _probe_samples(t: Tables):
-    return t.table("documents").select(F.col("doc_id").cast("string").alias("sample_id"), "lang", "text")
+    return t.spread("documents", "doc_id").select(F.col("doc_id").cast("string").alias("sample_id"), "lang", "text")
 
 
 def _probe_calls(t: Tables, models=("m0", "m3")):

@@ -16,7 +16,7 @@ from scorelake.functions.keys import cache_id, cache_key, call_cost
 from scorelake.functions.outputs import apply_schema, parse_outputs
 from scorelake.operators import grid as G
 from scorelake.operators.metrics import task_metrics
-from scorelake.operators.projections import build_requests, called_rows, map_fields, map_literal, merge_maps, utc_now_text
+from scorelake.operators.projections import build_requests, called_rows, map_fields, map_literal, utc_now_text
 from scorelake.operators.workflow import gate
 from scorelake.schemas import METRIC_LIST, RESULT_ROW, RESULT_SCHEMA_VERSION, STEP_E2E, STEP_TASK, as_struct
 from scorelake.spec import TASKS, TaskSpec, WorkflowSpec, WorkflowStep, resolve_rules
@@ -77,8 +77,7 @@ def pending_requests(
     work = G.work_grid(samples, task.name, model_ids, repeats)
     if done is not None:
         work = G.pending_work(work, done)
-    merged = merge_maps(map_literal(task.default_params), map_literal(params or {}))
-    requests = build_requests(work, task).withColumn("params", merged)
+    requests = build_requests(work, task).withColumn("params", map_literal({**task.default_params, **(params or {})}))
     priced = G.with_price(requests, models)
     if not with_cache_key:
         return priced
@@ -196,16 +195,13 @@ def workflow_run(
 
 
 def _prices(models: DataFrame, step_models: dict[str, str], spec: WorkflowSpec) -> dict[str, Column]:
-    """Price struct per used model as a scalar subquery; a model the registry does not know fails the job."""
-    used = {step_models[s.id] for s in spec.steps}
-    out = {}
-    for m in used:
-        found = models.where(F.col("model_id") == m).agg(
-            F.count("*").alias("n"), F.any_value("price_config").alias("price")
-        )
-        checked = F.when(F.col("n") > 0, F.col("price")).otherwise(F.raise_error(F.lit(f"unknown model {m}")).cast(models.schema["price_config"].dataType))
-        out[m] = found.select(checked).scalar()
-    return out
+    """Price struct per used model, from one scalar subquery; a model the registry does not know fails the job."""
+    used = sorted({step_models[s.id] for s in spec.steps})
+    entry = F.struct("model_id", "price_config")
+    known = models.where(F.col("model_id").isin(*used)).dropDuplicates(["model_id"])
+    prices = known.agg(F.map_from_entries(F.collect_list(entry)).alias("p")).scalar()
+    unknown = lambda m: F.raise_error(F.lit(f"unknown model {m}")).cast(models.schema["price_config"].dataType)
+    return {m: F.when(F.map_contains_key(prices, F.lit(m)), prices[m]).otherwise(unknown(m)) for m in used}
 
 
 def _step_struct(i: int, step: WorkflowStep, spec: WorkflowSpec, task: TaskSpec, model_id: str, params: dict[str, str], common: dict[str, Column]) -> Column:
@@ -213,7 +209,7 @@ def _step_struct(i: int, step: WorkflowStep, spec: WorkflowSpec, task: TaskSpec,
     col = lambda c: F.col(p + c)
     named = {
         **common, "mode": F.lit("workflow_step"), "task_name": F.lit(task.name), "step_id": F.lit(step.id), "model_id": F.lit(model_id),
-        "params": merge_maps(map_literal(task.default_params), map_literal(params), map_literal(step.params_override)),
+        "params": map_literal({**task.default_params, **params, **step.params_override}),
         "parse_applicable": F.lit(task.parse_applicable), "task_metrics": F.array().cast(METRIC_LIST),
     }
     state = "parse_failed" if step.input_from in [s.id for s in spec.steps[:i]] else "missing"
