@@ -263,15 +263,16 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
     return df.groupBy(row).agg(*cells)
 
 
-def crosstab_long(pairs: DataFrame, row: str, column: str) -> DataFrame:
-    """Count matrix in long form, 0 filled, over the rows and columns that occur in ``pairs``.
+def crosstab_long(counted: DataFrame, row: str, column: str, n: str = "n") -> DataFrame:
+    """Count matrix in long form, 0 filled, over the rows and columns that occur in the counted pairs.
 
-    Meant for a matrix already cut to its top rows and columns; the column names travel as one array.
+    Meant for a matrix already cut to its top rows and columns: a row's cells, and the column names, travel
+    as one small map and one small list.
     """
-    names = pairs.select(column).distinct().agg(F.collect_list(column)).scalar()
-    grid = pairs.select(row).distinct().select(row, F.explode(names).alias(column))
-    counted = pairs.groupBy(row, column).agg(F.count("*").alias("n"))
-    return grid.join(counted, [row, column], "left").select(row, column, F.coalesce("n", F.lit(0)).alias("n"))
+    names = counted.select(column).distinct().agg(F.collect_list(column)).scalar()
+    cells = counted.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(column, n))).alias("_cells"))
+    grid = cells.select(row, "_cells", F.explode(names).alias(column))
+    return grid.select(row, column, F.coalesce(F.try_element_at("_cells", F.col(column)), F.lit(0)).alias(n))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

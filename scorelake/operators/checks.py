@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.text import strip_ws
+from scorelake.operators.grid import literal_rows
 from scorelake.spec import PRESETS, MetricRule
 
 # Answer types of the contract, core mark, and builder thresholds.
@@ -70,12 +71,11 @@ def answer_contract_violations(answers: DataFrame) -> DataFrame:
 def rule_table(spark, presets=PRESETS, extra: dict[str, tuple[MetricRule, ...]] | None = None) -> DataFrame:
     rows = [(t, m.type, m.name or "") for t, p in presets.items() for m in p.metrics]
     rows += [(t, m.type, m.name or "") for t, rules in (extra or {}).items() for m in rules]
-    return spark.createDataFrame(rows, "owner string, metric_type string, metric_name string")
+    return literal_rows(spark, rows, "owner string, metric_type string, metric_name string")
 
 
 def unknown_metric_types(rules: DataFrame, known: list[str]) -> DataFrame:
-    names = rules.sparkSession.createDataFrame([(k,) for k in known], "metric_type string")
-    return rules.join(names, "metric_type", "left_anti")
+    return rules.where(~F.col("metric_type").isin(*known))
 
 
 def unresolved_keys(models: DataFrame, column: str = "api_key") -> DataFrame:

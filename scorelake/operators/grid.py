@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.schemas import RESUME_KEYS, STEP_E2E, STEP_TASK
+from scorelake.schemas import RESUME_KEYS, STEP_E2E, STEP_TASK, as_struct
 
 
 def work_grid(samples: DataFrame, task_name: str, model_ids: list[str], repeats: int) -> DataFrame:
@@ -144,12 +144,27 @@ def ids_to_load(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return wanted.join(stored.select(key).distinct(), key, "left_anti")
 
 
+def literal_rows(spark, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few driver-side rows as a table made inside the plan; no Python data is shipped."""
+    names = as_struct(ddl).fieldNames()
+    structs = [F.struct(*[_literal(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    schema = f"array<{as_struct(ddl).simpleString()}>"
+    items = F.array(*structs) if structs else F.array()
+    return spark.range(1).select(F.inline(items.cast(schema)))
+
+
+def _literal(value) -> Column:
+    if isinstance(value, dict):
+        return F.map_from_arrays(F.lit(list(value)).cast("array<string>"), F.lit(list(value.values())).cast("array<string>"))
+    if isinstance(value, tuple):
+        return F.struct(*[F.lit(v) for v in value])
+    return F.lit(value).cast("array<string>") if value == [] else F.lit(value)
+
+
 def literal_models(spark, rows: list[tuple]) -> DataFrame:
     """Models dimension from (model_id, provider, default_params, (in, out) or None)."""
-    return spark.createDataFrame(
-        rows, "model_id string, provider string, default_params map<string,string>, "
-        "price_config struct<input_per_1k:double,output_per_1k:double>"
-    )
+    return literal_rows(spark, rows, "model_id string, provider string, default_params map<string,string>, "
+                        "price_config struct<input_per_1k:double,output_per_1k:double>")
 
 
 def flag_unknown_models(rows: DataFrame, models: DataFrame) -> DataFrame:

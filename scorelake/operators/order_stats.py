@@ -49,7 +49,7 @@ def _bucket(v: Column) -> Column:
 def values_at_ranks(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, Rank]]) -> DataFrame:
     """Per key, the value at each wanted rank of its non-null values: ``{out: (value, rank of n)}``.
 
-    Keys must not be null. A key without any value has no row.
+    A null key, and a key without any value, has no row.
     """
     sources: dict[str, str] = {}
     pairs, targets = [], []
@@ -63,8 +63,13 @@ def values_at_ranks(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Colu
         df.select(*keys, items[0].alias("_x")) if len(items) == 1
         else df.select(*keys, F.explode(F.array(*items)).alias("_x"))
     ).select(*keys, "_x._m", "_x._v").where("_v is not null")
+    # The join below would infer the same conditions for its own copy of the counts only; stated here, both
+    # readers have one plan and share one shuffle.
+    for key in keys:
+        long = long.where(F.col(key).isNotNull())
     counts = (
         long.groupBy(*keys, "_m", "_v").agg(F.count("*").alias("_c")).withColumn("_b", _bucket(F.col("_v")))
+        .where("_b is not null and _m is not null")
     )
     group = [*keys, "_m"]
     by_bucket = counts.groupBy(*group, "_b").agg(F.sum("_c").alias("_bc"))

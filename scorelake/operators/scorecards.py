@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.operators.grid import literal_rows
 from scorelake.spec import PRESETS, ScorerPreset
 
 TOLERANCE = 0.02
@@ -17,9 +18,7 @@ def preset_rows(spark, presets: dict[str, ScorerPreset] = PRESETS) -> DataFrame:
          [m.name for m in p.metrics if m.type == p.primary_metric and m.name])
         for p in presets.values()
     ]
-    return spark.createDataFrame(
-        rows, "answer_type string, primary_metric string, pass_threshold double, named_by_type array<string>"
-    )
+    return literal_rows(spark, rows, "answer_type string, primary_metric string, pass_threshold double, named_by_type array<string>")
 
 
 def join_presets(df: DataFrame, presets: dict[str, ScorerPreset] = PRESETS) -> DataFrame:

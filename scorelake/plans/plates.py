@@ -75,17 +75,30 @@ def heat_scores(derived: DataFrame) -> DataFrame:
     return scaled.withColumn("heat_score", weighted({"s_fund": 0.4, "s_rise": 0.35, "s_core": 0.25}))
 
 
-def leader_scores(stocks: DataFrame, derived: DataFrame) -> DataFrame:
-    """Per core stock: plates, mean change, summed flow, five plate names, and the weighted score."""
-    rows = name_join(core_only(stocks).select("plate_id", "symbol"), derived, ["name", "avg_pcp_pct", "fund_flow_yi"])
+def _core_with_plates(stocks: DataFrame, derived: DataFrame) -> DataFrame:
+    return name_join(core_only(stocks).select("plate_id", "symbol"), derived, ["name", "avg_pcp_pct", "fund_flow_yi"])
+
+
+def leader_measures(stocks: DataFrame, derived: DataFrame) -> DataFrame:
+    """Per core stock: plates, mean change and summed flow."""
     exact = lambda c: F.sum(F.col(c).cast("decimal(38,12)"))
-    base = rows.groupBy("symbol").agg(
+    return _core_with_plates(stocks, derived).groupBy("symbol").agg(
         F.countDistinct("plate_id").alias("plate_count"),
         (exact("avg_pcp_pct").cast("double") / F.nullif(F.count("avg_pcp_pct"), F.lit(0))).alias("avg_plate_pcp"),
         F.coalesce(exact("fund_flow_yi").cast("double"), F.lit(0.0)).alias("total_fund_flow"),
     )
-    agg = base.join(first_names(rows, "symbol", "name", 5, "plates"), "symbol", "left")
-    scaled = min_max_scale(agg, {"s_cross": "plate_count", "s_pcp": "avg_plate_pcp", "s_fund": "total_fund_flow"})
+
+
+def with_plate_names(picked: DataFrame, stocks: DataFrame, derived: DataFrame, k: int = 5) -> DataFrame:
+    """Add the first plate names of the given stocks; other stocks' names are not looked at."""
+    mine = core_only(stocks).select("plate_id", "symbol").join(picked.select("symbol"), "symbol", "left_semi")
+    return picked.join(first_names(name_join(mine, derived, ["name"]), "symbol", "name", k, "plates"), "symbol", "left")
+
+
+def leader_scores(stocks: DataFrame, derived: DataFrame) -> DataFrame:
+    """Measures scaled over all core stocks, and the weighted score."""
+    measures = leader_measures(stocks, derived)
+    scaled = min_max_scale(measures, {"s_cross": "plate_count", "s_pcp": "avg_plate_pcp", "s_fund": "total_fund_flow"})
     return scaled.withColumn("leader_score", weighted({"s_cross": 0.3, "s_pcp": 0.4, "s_fund": 0.3}))
 
 
@@ -101,12 +114,16 @@ def plates_per_stock(stocks: DataFrame) -> DataFrame:
 
 
 def core_matrix(stocks: DataFrame, plates: DataFrame, k: int = 20) -> DataFrame:
-    """Counts of the top core stocks against the top plates, long form, 0 filled."""
-    rows = name_join(core_only(stocks).select("plate_id", "symbol"), plates, ["name"])
-    top_symbols = nlargest(distinct_counts(rows, ["symbol"], {"n": "name"}), k, "n", "symbol").select("symbol")
-    top_names = nlargest(group_sizes(rows.where(F.col("name").isNotNull()), ["name"], "n"), k, "n", "name").select("name")
-    cut = rows.join(top_symbols, "symbol", "left_semi").join(top_names, "name", "left_semi")
-    return crosstab_long(cut.select("symbol", "name"), "symbol", "name")
+    """Counts of the top core stocks against the top plates, long form, 0 filled.
+
+    Pairs are counted once; both rankings and the matrix are read from the counted pairs.
+    """
+    rows = name_join(core_only(stocks).select("plate_id", "symbol"), plates, ["name"]).where(F.col("name").isNotNull())
+    pairs = group_sizes(rows, ["symbol", "name"], "n")
+    top_symbols = nlargest(pairs.groupBy("symbol").agg(F.count("*").alias("names")), k, "names", "symbol").select("symbol")
+    top_names = nlargest(pairs.groupBy("name").agg(F.sum("n").alias("rows")), k, "rows", "name").select("name")
+    cut = pairs.join(top_symbols, "symbol", "left_semi").join(top_names, "name", "left_semi")
+    return crosstab_long(cut, "symbol", "name")
 
 
 def chains_per_plate(chains: DataFrame, plates: DataFrame) -> DataFrame:

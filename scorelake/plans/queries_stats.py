@@ -135,7 +135,7 @@ _LEADER = """SELECT symbol, count(DISTINCT plate_id) plate_count, sum(avg_pcp_pc
 
 @query("agg_leader", f"SELECT symbol, plate_count, round(avg_plate_pcp,9) avg_plate_pcp, round(total_fund_flow,9) total_fund_flow, plates FROM ({_LEADER})", ("v_stocks", "v_derived"))
 def agg_leader(t: Tables):
-    return PL.leader_scores(t.stocks, t.derived).select(
+    return PL.with_plate_names(PL.leader_measures(t.stocks, t.derived), t.stocks, t.derived).select(
         "symbol", "plate_count", F.round("avg_plate_pcp", 9).alias("avg_plate_pcp"), F.round("total_fund_flow", 9).alias("total_fund_flow"), "plates"
     )
 
@@ -466,7 +466,8 @@ _LEAD = f""", a AS ({_LEADER}), z AS (SELECT *, round(s_cross*0.3::DOUBLE+s_pcp*
 @query("rep_leader", _LEAD + "SELECT symbol, leader_score, plate_count, plates FROM z ORDER BY leader_score DESC NULLS LAST, symbol LIMIT 50", ("v_stocks", "v_derived"))
 def rep_leader(t: Tables):
     scored = PL.leader_scores(t.stocks, t.derived).withColumn("leader_score", F.round("leader_score", 9))
-    return R.nlargest(scored, 50, "leader_score", "symbol").select("symbol", "leader_score", "plate_count", "plates")
+    top = R.nlargest(scored, 50, "leader_score", "symbol")
+    return PL.with_plate_names(top, t.stocks, t.derived).select("symbol", "leader_score", "plate_count", "plates")
 
 
 @query("rep_core_vs_all", """SELECT id, avg_pcp_pct, core_avg_pcp_pct, fund_flow_yi, greatest(5,least(200,total_stocks))::BIGINT marker_size FROM v_derived WHERE avg_pcp_pct IS NOT NULL AND core_avg_pcp_pct IS NOT NULL""", ("v_derived",))

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def test_samples_skip_blank_lines_and_reject_bad_ones(spark, tmp_path):
         S.read_samples(spark, str(good), NEWS_SAMPLE, -1)
     bad = tmp_path / "bad.jsonl"
     bad.write_text('{"sample_id": "1"}\n{broken\n')
-    with pytest.raises(PySparkException):
+    with pytest.raises((PySparkException, Py4JJavaError), match="FAILFAST"):
         S.read_samples(spark, str(bad), NEWS_SAMPLE).collect()
     assert first_rows(spark.range(3), None, "id").count() == 3
 
