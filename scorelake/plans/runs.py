@@ -44,29 +44,26 @@ def call_values(column, missing: Column) -> dict[str, Column]:
     }
 
 
-def score_calls(calls: DataFrame, task: TaskSpec, sample: str = "sample", out: str = "", skip: str | None = None) -> DataFrame:
+def score_calls(calls: DataFrame, task: TaskSpec, sample: str = "sample", skip: str | None = None) -> DataFrame:
     """Parse and score answered calls that carry their sample as a struct.
 
-    Reads ``<out>content`` and ``<out>success`` and adds ``<out>parsed_json``, ``<out>parse_success`` and
-    ``<out>task_metrics``. Metrics run on failed calls too, with nothing parsed; rows with the ``skip`` flag
-    have none.
+    Reads ``content`` and ``success``; adds ``parsed_json``, ``parse_success`` and ``task_metrics``. Metrics run
+    on failed calls too, with nothing parsed; rows with the ``skip`` flag have none.
     """
-    parsed = f"{out}parsed"
     if task.parse_schema:
-        answer = f"{out}_answer"
-        rows = calls.withColumn(answer, F.when(F.col(f"{out}success"), F.col(f"{out}content")))
-        rows = parse_outputs(rows, answer, f"{out}_parse")
-        rows = rows.withColumn(parsed, apply_schema(F.col(f"{out}_parse.data"), task.parse_schema)).drop(answer, f"{out}_parse")
+        rows = calls.withColumn("_answer", F.when(F.col("success"), F.col("content")))
+        rows = parse_outputs(rows, "_answer", "_parse")
+        rows = rows.withColumn("parsed", apply_schema(F.col("_parse.data"), task.parse_schema)).drop("_answer", "_parse")
     else:
-        rows = calls.withColumn(parsed, F.lit(None).cast("struct<none:string>"))
-    scores = task_metrics(rows.schema, resolve_rules(task.answer_type, task.metrics), parsed, sample)
+        rows = calls.withColumn("parsed", F.lit(None).cast("struct<none:string>"))
+    scores = task_metrics(rows.schema, resolve_rules(task.answer_type, task.metrics), "parsed", sample)
     if skip:
         scores = F.when(F.col(skip), F.array().cast(METRIC_LIST)).otherwise(scores)
     return rows.withColumns({
-        f"{out}parse_success": F.col(parsed).isNotNull(),
-        f"{out}parsed_json": F.to_json(parsed, {"ignoreNullFields": "false"}),
-        f"{out}task_metrics": scores,
-    }).drop(parsed)
+        "parse_success": F.col("parsed").isNotNull(),
+        "parsed_json": F.to_json("parsed", {"ignoreNullFields": "false"}),
+        "task_metrics": scores,
+    }).drop("parsed")
 
 
 def pending_requests(
@@ -138,10 +135,17 @@ def _result_struct(values: dict[str, Column]) -> Column:
     return F.struct(*out)
 
 
-def _step_calls(calls: DataFrame, spec: WorkflowSpec) -> DataFrame:
-    """Recorded calls of all steps side by side, one row per sample: one shuffle for any number of steps."""
-    call = F.struct(*CALL_COLUMNS, "from_cache")
-    return calls.groupBy("sample_id").agg(*[
+def _step_calls(calls: DataFrame, spec: WorkflowSpec, tasks: dict[str, TaskSpec]) -> DataFrame:
+    """Recorded calls of all steps side by side, one row per sample: one shuffle for any number of steps.
+
+    Answers are parsed while they are still one row per call, by one parser for all steps.
+    """
+    listed = calls.where(F.col("step_id").isin(*[s.id for s in spec.steps]))
+    parsed = [s.id for s in spec.steps if tasks[s.task].parse_applicable]
+    to_parse = F.col("step_id").isin(*parsed) & F.col("success") if parsed else F.lit(False)
+    rows = parse_outputs(listed.withColumn("_answer", F.when(to_parse, F.col("content"))), "_answer", "_parse")
+    call = F.struct(*CALL_COLUMNS, "from_cache", F.col("_parse.data").alias("data"))
+    return rows.groupBy("sample_id").agg(*[
         F.any_value(F.when(F.col("step_id") == s.id, call), True).alias(f"_call{i}") for i, s in enumerate(spec.steps)
     ])
 
@@ -160,22 +164,33 @@ def workflow_run(
     if done is not None:
         samples = G.unfinished_workflow_samples(samples, done, spec.name)
     names = samples.columns
-    rows = samples.join(_step_calls(calls, spec), "sample_id", "left").withColumn("sample", F.struct(*names))
+    rows = samples.join(_step_calls(calls, spec, tasks), "sample_id", "left").withColumn("sample", F.struct(*names))
     rows = rows.select("sample_id", "sample", *[f"_call{i}" for i in range(len(spec.steps))])
+    values: dict[str, Column] = {}
+    sides: dict[int, str] = {}
     for i, step in enumerate(spec.steps):
-        task, p = tasks[step.task], f"s{i}_"
-        missing = F.col(f"_call{i}").isNull()
-        rows = rows.withColumns({
-            f"{p}missing": missing,
-            **{p + c: v for c, v in call_values(lambda c, i=i: F.col(f"_call{i}.{c}"), missing).items()},
-            f"{p}from_cache": F.coalesce(F.col(f"_call{i}.from_cache"), F.lit(False)),
-        })
-        mapped = {s: d for s, d in task.field_mapping.items() if s in names}
-        sample = "sample"
+        task, p, missing = tasks[step.task], f"s{i}_", F.col(f"_call{i}").isNull()
+        values[f"{p}missing"] = missing
+        values |= {p + c: v for c, v in call_values(lambda c, i=i: F.col(f"_call{i}.{c}"), missing).items()}
+        values[f"{p}from_cache"] = F.coalesce(F.col(f"_call{i}.from_cache"), F.lit(False))
+        values[f"{p}parsed"] = (
+            apply_schema(F.col(f"_call{i}.data"), task.parse_schema) if task.parse_schema else F.lit(None).cast("struct<none:string>")
+        )
+        mapped = {src: dst for src, dst in task.field_mapping.items() if src in names}
+        sides[i] = f"{p}sample" if mapped else "sample"
         if mapped:
-            sample = f"{p}sample"
-            rows = rows.withColumn(sample, F.struct("sample.*", *[F.col(f"sample.{s}").alias(d) for s, d in mapped.items()]))
-        rows = score_calls(rows, task, sample, out=p, skip=f"{p}missing")
+            values[sides[i]] = F.struct("sample.*", *[F.col(f"sample.{src}").alias(dst) for src, dst in mapped.items()])
+    rows = rows.select("sample_id", "sample", *[v.alias(k) for k, v in values.items()])
+    scores: dict[str, Column] = {}
+    for i, step in enumerate(spec.steps):
+        task, p = tasks[step.task], f"s{i}_"
+        metrics = task_metrics(rows.schema, resolve_rules(task.answer_type, task.metrics), f"{p}parsed", sides[i])
+        scores |= {
+            f"{p}parse_success": F.col(f"{p}parsed").isNotNull(),
+            f"{p}parsed_json": F.to_json(f"{p}parsed", {"ignoreNullFields": "false"}),
+            f"{p}task_metrics": F.when(F.col(f"{p}missing"), F.array().cast(METRIC_LIST)).otherwise(metrics),
+        }
+    rows = rows.withColumns(scores)
 
     prices = _prices(models, step_models, spec)
     good = {
