@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.errors import derive_error
+from scorelake.functions.errors import UNKNOWN, derive_error
 from scorelake.functions.keys import cache_id, cache_key, call_cost
 from scorelake.functions.outputs import apply_schema, parse_outputs
 from scorelake.operators import grid as G
@@ -262,11 +262,13 @@ def _e2e_struct(spec: WorkflowSpec, step_models: dict[str, str], tasks: dict[str
     output = F.when(executed[-1], F.col(f"s{n - 1}_parsed_json"))
     parsed_ok = applicable & output.isNotNull()
     text = F.when(ok, "").otherwise("workflow_step_failed")
-    typed = derive_error(ok, applicable, parsed_ok, text)
+    # The one message a failed roll-up can have is of unknown type.
+    kind, stage, code = UNKNOWN
+    failed = lambda word: F.when(ok, "").otherwise(word)
     return _result_struct({
         **common, "mode": F.lit("workflow_e2e"), "task_name": F.lit(spec.name), "task_version": F.lit(spec.version), "step_id": F.lit(STEP_E2E),
         "prompt_version": F.lit("workflow"), "model_id": F.lit("+".join(step_models[s.id] for s in spec.steps)), "params": map_literal(params),
-        "success": ok, "error": text, **{c: typed[c] for c in ("error_type", "error_stage", "error_code", "error_detail")},
+        "success": ok, "error": text, "error_detail": text, "error_type": failed(kind), "error_stage": failed(stage), "error_code": failed(code),
         "parse_applicable": applicable, "parse_success": parsed_ok,
         "latency_ms": F.round(total(lambda i: F.col(f"s{i}_latency_ms")), 2),
         "total_tokens": total(lambda i: F.col(f"s{i}_prompt_tokens") + F.col(f"s{i}_completion_tokens")),

@@ -15,6 +15,8 @@ _NEEDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites are not recorded for every column: building wide plans takes half the time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Rows can hold long texts; smaller batches keep a Python worker's memory flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
