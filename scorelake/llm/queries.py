@@ -8,13 +8,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorelake.llm.common import table
 from scorelake.llm.quality_rules import quality_query
+from scorelake.llm.secret_scan import secrets_query
+from scorelake.llm.simhash_groups import simhash_query
+from scorelake.llm.source_mixing import mixing_query
+from scorelake.llm.spaced_seeds import decontamination_query
+from scorelake.llm.token_shards import token_output
+from scorelake.llm.warc_segments import warc_query
+
+
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets_query(table(spark, folder, "documents"))
 
 
 def op4_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_query(table(spark, folder, "documents"))
 
 
+def op5_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_query(table(spark, folder, "pages"))
+
+
+def op6_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing_query(table(spark, folder, "documents"))
+
+
+def op7_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination_query(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op9_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return token_output(table(spark, folder, "documents"))
+
+
+def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_query(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_adaptive_quality,)
+    f.__name__: f for f in (
+        op3_secret_scan, op4_adaptive_quality, op5_warc_segments, op6_temperature_mixing, op7_spaced_seeds, op9_token_shards, op10_simhash_groups)
 }
 CHECKS: dict[str, str] = {}
