@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scorelake.llm.byte_cnn import language_query
 from scorelake.llm.common import table
+from scorelake.llm.pitman_yor import language_model_query
 from scorelake.llm.quality_rules import quality_query
 from scorelake.llm.secret_scan import secrets_query
 from scorelake.llm.simhash_groups import simhash_query
 from scorelake.llm.source_mixing import mixing_query
 from scorelake.llm.spaced_seeds import decontamination_query
+from scorelake.llm.surrogates import surrogate_query
 from scorelake.llm.token_shards import token_output
 from scorelake.llm.warc_segments import warc_query
 
 
+def op1_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogate_query(table(spark, folder, "documents"))
+
+
+def op2_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model_query(table(spark, folder, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets_query(table(spark, folder, "documents"))
 
@@ -36,6 +47,10 @@ def op7_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination_query(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    return language_query(table(spark, folder, "documents"))
+
+
 def op9_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     return token_output(table(spark, folder, "documents"))
 
@@ -46,6 +61,7 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_secret_scan, op4_adaptive_quality, op5_warc_segments, op6_temperature_mixing, op7_spaced_seeds, op9_token_shards, op10_simhash_groups)
+        op1_pii_surrogates, op2_pitman_yor, op3_secret_scan, op4_adaptive_quality, op5_warc_segments, op6_temperature_mixing, op7_spaced_seeds,
+        op8_byte_cnn, op9_token_shards, op10_simhash_groups)
 }
 CHECKS: dict[str, str] = {}
