@@ -32,7 +32,7 @@ _FENCE = r"```(?:json|JSON|javascript|js|python|py)?\s*([\s\S]*?)```"
 
 _PLAIN_OF = dict(zip(_WIDE_MARKS, _PLAIN_MARKS)) | dict.fromkeys(_DROPPED_MARKS, "")
 _ANY_MARK = re.compile(f"[{_WIDE_MARKS}{_DROPPED_MARKS}]")
-_TRAILING_COMMA = r",\s*([}\]])"
+_TRAILING_COMMA = r",(?:\s*,)*\s*([}\]])"
 _NOT_BLANK = r"(?U)[^\s\x1c-\x1f\ufeff\u200b-\u200d]"
 _SENTINEL = "\u0001end-of-output"
 
@@ -46,12 +46,11 @@ def plain_marks(c: Column) -> Column:
 
 def fenced_block(c: Column) -> Column:
     """Body of the first fenced block, null when there is none."""
-    return F.when(c.rlike(_FENCE), strip_ws(F.regexp_extract(c, _FENCE, 1)))
+    return strip_ws(F.get(F.regexp_extract_all(c, F.lit(_FENCE), F.lit(1)), F.lit(0)))
 
 
 def drop_trailing_commas(c: Column) -> Column:
-    # Adjacent commas need another pass each; two runs settle ",,]" and the UDF tier handles longer chains.
-    return F.regexp_replace(F.regexp_replace(c, _TRAILING_COMMA, "$1"), _TRAILING_COMMA, "$1")
+    return F.regexp_replace(c, _TRAILING_COMMA, "$1")
 
 
 def _wrapped(text: Column) -> Column:
@@ -107,10 +106,7 @@ def balanced_span(text: str) -> tuple[str | None, bool]:
 def _repair(text: str) -> str:
     if "//" in text or "/*" in text:
         text = _COMMENT_OR_STRING.sub(lambda m: m.group(1) or "", text)
-    shorter = re.sub(_TRAILING_COMMA, r"\1", text)
-    while shorter != text:
-        text, shorter = shorter, re.sub(_TRAILING_COMMA, r"\1", shorter)
-    return text.strip()
+    return re.sub(_TRAILING_COMMA, r"\1", text).strip()
 
 
 def _as_object(reader: Any, text: str) -> dict | None:
@@ -277,6 +273,8 @@ def _number(value: Column) -> Column:
 
 def field_int(data: Column, field: str, default: int, lo: int, hi: int) -> Column:
     """Whole number, clamped. Fractions are cut; text must be a whole number; the default is clamped too."""
+    if not -(2**31) <= lo <= hi < 2**31:
+        raise ValueError(f"{field}: bounds must be ordered whole numbers of 32 bits")
     value = _raw_value(data, field)
     text = F.trim(_text(value))
     # Wider than 18 digits is far beyond any range in use: keep the sign and let the clamp decide.

@@ -63,9 +63,11 @@ def percent_text(c: Column, digits: int = 1) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """A double as plain digits (no exponent), at most 8 of them after the point."""
-    digits = F.regexp_replace(c.cast("decimal(38,8)").cast("string"), "0+$", "")
-    return F.regexp_replace(digits, r"\.$", ".0")
+    """A double as plain digits: all that its shortest text has, without an exponent where 38 digits hold it."""
+    own = c.cast("string")
+    digits = F.regexp_replace(own.try_cast("decimal(38,18)").cast("string"), "0+$", "")
+    plain = F.regexp_replace(digits, r"\.$", ".0")
+    return F.when(own.contains("E"), F.when(plain.try_cast("double") == c, plain).otherwise(own)).otherwise(own)
 
 
 def sign_colour(c: Column) -> Column:

@@ -19,9 +19,36 @@ from scorelake.schemas import STEP_TASK, SUMMARY_KEYS, SUMMARY_SCHEMA_VERSION
 _EXACT = "decimal(38,10)"
 
 
+def summable(c: Column) -> Column:
+    """The value if it can be summed exactly to ten digits after the point, else null: not finite, or beyond 1e20."""
+    x = c.cast("double")
+    return F.when(F.abs(x) < 1e20, x)
+
+
 def exact_sum(c: Column) -> Column:
-    """Sum that does not depend on the order of rows; 0 for no rows."""
-    return F.coalesce(F.sum(c.cast(_EXACT)).cast("double"), F.lit(0.0))
+    """Sum of the summable values, whatever the order of rows; 0 for no rows. For money and latency."""
+    return F.coalesce(F.sum(summable(c).cast(_EXACT)).cast("double"), F.lit(0.0))
+
+
+def exact_mean(c: Column) -> Column:
+    """Mean of what is summed; 0 where nothing is."""
+    return F.coalesce(exact_sum(c) / F.nullif(F.count(summable(c)), F.lit(0)), F.lit(0.0))
+
+
+def finite(c: Column) -> Column:
+    """The value if it is a finite number, else null."""
+    x = c.cast("double")
+    return F.when(F.abs(x) <= 1.7976931348623157e308, x)
+
+
+def finite_mean(c: Column, digits: int) -> Column:
+    """Mean of the finite values only, null without any; digits after the tenth count."""
+    return F.round(F.avg(finite(c)), digits)
+
+
+def not_finite(c: Column) -> Column:
+    """Number of values that are there but left out of the means."""
+    return F.count_if(c.isNotNull() & finite(c).isNull())
 
 
 def _or(name: str, default) -> Column:
@@ -52,7 +79,7 @@ def _base_measures() -> list[Column]:
         n.alias("request_count"),
         F.count_if("success").alias("success_count"),
         _rate(F.count_if("success"), n).alias("success_rate"),
-        F.round(exact_sum(F.col("latency_ms")) / n, 2).alias("avg_latency_ms"),
+        F.round(exact_mean(F.col("latency_ms")), 2).alias("avg_latency_ms"),
         F.round(F.sum(F.col("total_tokens").cast("bigint")) / n, 2).alias("avg_total_tokens"),
         _rate(F.count_if(F.col("parse_applicable") & F.col("parse_success")), parsed).alias("parse_rate"),
         F.sum(F.col("retry_count").cast("bigint")).alias("retry_count"),
@@ -93,15 +120,15 @@ def p95(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
 
 
 def task_metric_averages(results: DataFrame) -> DataFrame:
-    """Long form (task, model, step, metric, avg); a metric no row has a number for stays, with null."""
+    """Long form (task, model, step, metric, avg over finite values); a metric no row has a number for stays, with null.
+
+    Model output can put infinities and NaN into metrics; :func:`not_finite` counts them.
+    """
     return (
         keyed_results(results)
         .select(*SUMMARY_KEYS, F.explode("task_metrics").alias("m"))
         .groupBy(*SUMMARY_KEYS, F.col("m.name").alias("metric"))
-        .agg(
-            F.round(F.sum(F.col("m.value").cast(_EXACT)).cast("double") / F.nullif(F.count("m.value"), F.lit(0)), 4)
-            .alias("avg_value")
-        )
+        .agg(finite_mean(F.col("m.value"), 4).alias("avg_value"))
     )
 
 
@@ -143,7 +170,7 @@ def batch_stats(calls: DataFrame, keys: list[str]) -> DataFrame:
     )
     timed = calls.where("success and latency_ms > 0")
     spread = timed.groupBy(*keys).agg(
-        (exact_sum(F.col("latency_ms")) / F.count("*")).alias("avg_ms"),
+        exact_mean(F.col("latency_ms")).alias("avg_ms"),
         F.min("latency_ms").alias("min_ms"),
         F.max("latency_ms").alias("max_ms"),
     )
@@ -162,11 +189,11 @@ def overlap_stats(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Spread of F1 (average, upper median, max, min) and average precision and recall."""
     base = scored.groupBy(*keys).agg(
         F.count("*").alias("samples"),
-        F.round(exact_sum(F.col("f1")) / F.count("*"), 6).alias("avg_f1"),
+        F.round(exact_mean(F.col("f1")), 6).alias("avg_f1"),
         F.max("f1").alias("max_f1"),
         F.min("f1").alias("min_f1"),
-        F.round(exact_sum(F.col("precision")) / F.count("*"), 6).alias("avg_precision"),
-        F.round(exact_sum(F.col("recall")) / F.count("*"), 6).alias("avg_recall"),
+        F.round(exact_mean(F.col("precision")), 6).alias("avg_precision"),
+        F.round(exact_mean(F.col("recall")), 6).alias("avg_recall"),
     )
     return base.join(values_at_ranks(scored, keys, {"median_f1": (F.col("f1"), upper_median)}), keys, "left")
 
@@ -196,8 +223,8 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(pairs.alias("x")).select("x.column", "x.value")
     base = long.groupBy("column").agg(
         F.count("value").alias("count"),
-        F.round(F.sum(F.col("value").cast(_EXACT)).cast("double") / F.nullif(F.count("value"), F.lit(0)), 6).alias("mean"),
-        F.round(F.stddev_samp("value"), 6).alias("std"),
+        finite_mean(F.col("value"), 6).alias("mean"),
+        F.round(F.stddev_samp(finite(F.col("value"))), 6).alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
@@ -263,13 +290,14 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
     return df.groupBy(row).agg(*cells)
 
 
-def crosstab_long(counted: DataFrame, row: str, column: str, n: str = "n") -> DataFrame:
+def crosstab_long(counted: DataFrame, row: str, column: str, n: str = "n", most: int = 1_000) -> DataFrame:
     """Count matrix in long form, 0 filled, over the rows and columns that occur in the counted pairs.
 
-    Meant for a matrix already cut to its top rows and columns: a row's cells, and the column names, travel
-    as one small map and one small list.
+    A row's cells, and the column names, travel as one map and one list, so more than ``most`` columns are refused.
     """
-    names = counted.select(column).distinct().agg(F.collect_list(column)).scalar()
+    listed = F.collect_list(column)
+    few = F.when(F.count(F.lit(1)) <= most, listed).otherwise(F.raise_error(F.lit(f"more than {most} columns in the matrix")).cast("array<string>"))
+    names = counted.select(F.col(column).cast("string").alias(column)).distinct().limit(most + 1).agg(few).scalar()
     cells = counted.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(column, n))).alias("_cells"))
     grid = cells.select(row, "_cells", F.explode(names).alias(column))
     return grid.select(row, column, F.coalesce(F.try_element_at("_cells", F.col(column)), F.lit(0)).alias(n))

@@ -81,9 +81,3 @@ def unknown_metric_types(rules: DataFrame, known: list[str]) -> DataFrame:
 def unresolved_keys(models: DataFrame, column: str = "api_key") -> DataFrame:
     """Models whose key still holds a ``${NAME}`` placeholder."""
     return models.where(F.contains(F.col(column), F.lit("${")))
-
-
-def require_none(violations: DataFrame, what: str) -> None:
-    """Fail before a run starts when a check found anything; looks at one row only."""
-    if not violations.isEmpty():
-        raise ValueError(f"{what}: the check found offending rows")

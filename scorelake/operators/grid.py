@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.schemas import RESUME_KEYS, STEP_E2E, STEP_TASK, as_struct
@@ -58,30 +58,42 @@ def unfinished_workflow_samples(samples: DataFrame, done: DataFrame, workflow: s
 def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Left join on ``cache_key``; an entry without content is bad and counts as a miss.
 
-    Adds the cached call columns and ``from_cache``; pending rows are those with ``from_cache`` false.
+    Of several entries of a key the one written last counts (``written_at``, where the cache has it), then the one whose
+    text has the larger digest. Adds the cached call columns and ``from_cache``; pending rows are those with it false.
     """
-    entries = cache.where(F.col("content").isNotNull()).dropDuplicates(["cache_key"])
-    hit = entries.withColumn("_hit", F.lit(True)).drop("from_cache")
+    entries = newest_per_key(cache.where(F.col("content").isNotNull()), ["cache_key"], ["written_at"])
+    hit = entries.withColumn("_hit", F.lit(True)).drop("from_cache", "written_at")
     return requests.join(hit, "cache_key", "left").withColumn("from_cache", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def new_cache_entries(calls: DataFrame, cache: DataFrame) -> DataFrame:
-    """Successful calls whose key is not stored yet, one per key."""
-    fresh = calls.where("success").dropDuplicates(["cache_key"])
-    return fresh.join(cache.select("cache_key"), "cache_key", "left_anti")
+def newest_per_key(df: DataFrame, keys: list[str], newest_first: list[str]) -> DataFrame:
+    """One row per key: the newest by those of ``newest_first`` that the table has, then by a digest of all columns.
 
+    The digest makes the order full, so the pick never depends on the order of rows. Spark cuts the ranked window
+    to one row a key within each task before it shuffles.
+    """
+    stated = [F.desc_nulls_last(c) for c in newest_first if c in df.columns]
+    digest = F.desc(F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns])), 256))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*stated, digest))
+    return df.withColumn("_nth", nth).where(F.col("_nth") == 1).drop("_nth")
 
-def with_price(rows: DataFrame, models: DataFrame, max_models: int = 100_000) -> DataFrame:
-    """Add the ``price`` struct of each row's model; a model missing from the registry fails the job.
 
-    The registry is a hand-kept file. Its row count is checked before it is broadcast; beyond the bound the
-    join is an ordinary one.
-    """
-    dim = models.select("model_id", F.col("price_config").alias("price"), F.lit(True).alias("_known"))
-    small = models.select("model_id").limit(max_models + 1).count() <= max_models
-    joined = rows.join(F.broadcast(dim) if small else dim, "model_id", "left")
-    missing = F.raise_error(F.concat(F.lit("unknown model "), F.coalesce("model_id", F.lit("?")))).cast("string")
-    return joined.withColumn("model_id", F.when(F.col("_known"), F.col("model_id")).otherwise(missing)).drop("_known")
+def new_cache_entries(calls: DataFrame, cache: DataFrame | None, keys: list[str] | None = None) -> DataFrame:
+    """Successful calls whose key is not stored yet, one per key (the newest, see :func:`newest_per_key`)."""
+    keys = keys or ["cache_key"]
+    fresh = newest_per_key(calls.where("success"), keys, ["written_at"])
+    return fresh if cache is None else fresh.join(cache.select(*keys), keys, "left_anti")
+
+
+def with_price(rows: DataFrame, models: DataFrame, *extra: str) -> DataFrame:
+    """Add the ``price`` struct of each row's model, and ``extra`` registry columns; a model that the registry does not know, or
+    knows twice, fails the job. How the small registry is joined is left to its measured size."""
+    entry = F.struct(F.col("price_config").alias("price"), *extra)
+    dim = models.groupBy("model_id").agg(F.first(entry).alias("_m"), F.count(F.lit(1)).alias("_known"))
+    joined = rows.join(dim, "model_id", "left")
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.coalesce("model_id", F.lit("?")))).cast("string")
+    checked = F.when(F.col("_known") == 1, F.col("model_id")).when(F.col("_known") > 1, fail("several entries of model ")).otherwise(fail("unknown model "))
+    return joined.withColumn("model_id", checked).select(*rows.columns, "_m.*")
 
 
 def join_truth(rows: DataFrame, truth: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -92,10 +104,6 @@ def join_truth(rows: DataFrame, truth: DataFrame, key: str = "sample_id") -> Dat
     return joined.withColumn(key, guard.cast(rows.schema[key].dataType)).drop("_has_truth")
 
 
-def without_truth(rows: DataFrame, truth: DataFrame, key: str = "sample_id") -> DataFrame:
-    return rows.join(truth.select(key), key, "left_anti")
-
-
 def resolve_upstream(steps: DataFrame) -> DataFrame:
     """Join every step to the step it reads from, in the same sample and earlier in order.
 
@@ -129,10 +137,8 @@ def resolve_upstream(steps: DataFrame) -> DataFrame:
 
 
 def newest_rows(results: DataFrame) -> DataFrame:
-    """One row per result key, the newest; repeats left by a resumed run drop out."""
-    from scorelake.operators.ranking import latest_per_key
-
-    return latest_per_key(results, RESUME_KEYS, F.col("timestamp")).select(*results.columns)
+    """One row per result key, the newest; repeats left by a resumed run drop out, ties by a digest of the row."""
+    return newest_per_key(results, RESUME_KEYS, ["timestamp"])
 
 
 def name_join(df: DataFrame, plates: DataFrame, columns: list[str], key: str = "plate_id") -> DataFrame:

@@ -7,6 +7,7 @@ rule and a :class:`Sides` view and returns named double columns, all of them com
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from collections import Counter
@@ -113,36 +114,42 @@ def _variant_strings(v: Column) -> Column:
     return F.when(kind(v) == "STRING", F.array(one(v))).otherwise(F.transform(items, one))
 
 
-def text_fragments(c: Column, dtype: T.DataType, depth: int = 3) -> Column:
-    """Non-blank texts under the known text keys, in key order, for a column of known type."""
+def text_fragments(c: Column, dtype: T.DataType) -> Column:
+    """Non-blank texts under the known text keys, in key order, for a column of known type, at any depth."""
     empty = F.array().cast("array<string>")
     keep = lambda a: F.filter(a, lambda x: x.isNotNull() & (strip_ws(x) != ""))
     if isinstance(dtype, T.StringType):
         return keep(F.array(c))
     if isinstance(dtype, T.ArrayType):
-        return F.coalesce(F.flatten(F.transform(c, lambda x: text_fragments(x, dtype.elementType, depth))), empty)
+        return F.coalesce(F.flatten(F.transform(c, lambda x: text_fragments(x, dtype.elementType))), empty)
     if isinstance(dtype, T.StructType):
-        found = [text_fragments(c[k], dtype[k].dataType, depth) for k in _TEXT_KEYS if k in dtype.fieldNames()]
+        found = [text_fragments(c[k], dtype[k].dataType) for k in _TEXT_KEYS if k in dtype.fieldNames()]
         return F.concat(*found) if found else empty
     if isinstance(dtype, T.VariantType):
-        return _variant_fragments(c, depth)
+        return keep(F.coalesce(_json_fragments()(F.to_json(c)), empty))
     return empty
 
 
-def _variant_fragments(v: Column, depth: int) -> Column:
-    """As above for a VARIANT, whose shape is known only at run time; nesting is followed to ``depth``."""
-    kind = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    text = F.try_variant_get(v, "$", "string")
-    empty = F.array().cast("array<string>")
-    own = F.when((kind == "STRING") & (strip_ws(text) != ""), F.array(text)).otherwise(empty)
-    if depth == 0:
-        return F.coalesce(own, empty)
-    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-    nested = F.flatten(F.transform(items, lambda x: _variant_fragments(x, depth - 1)))
-    fields = [_variant_fragments(F.try_variant_get(v, f"$.{k}", "variant"), depth - 1) for k in _TEXT_KEYS]
-    return F.coalesce(
-        F.when(kind == "ARRAY", nested).when(kind == "OBJECT", F.concat(*fields)).otherwise(own), empty
-    )
+def _json_fragments():
+    """As above for JSON text, whose shape is known at run time only: the whole value is walked, without recursion."""
+    @F.pandas_udf("array<string>")
+    def walk(texts: pd.Series) -> pd.Series:
+        return pd.Series([_walked(json.loads(t)) if t else [] for t in texts])
+
+    return walk
+
+
+def _walked(value) -> list[str]:
+    out, waiting = [], [value]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, list):
+            waiting += reversed(x)
+        elif isinstance(x, dict):
+            waiting += [x[k] for k in reversed(_TEXT_KEYS) if k in x]
+    return out
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -198,13 +205,32 @@ def custom_ratio(rule: MetricRule, sides: Sides) -> Named:
         elif isinstance(dtype, T.NullType):
             denom = F.lit(0.0)
         else:
-            # Text that is no number cannot be a denominator: the metric is null, see ratio_errors().
+            # Text that is no number cannot be a denominator: the metric is null and the row an error, see scoring_error().
             denom = F.when(value.isNull() | (as_text(value, dtype) == ""), F.lit(1.0)).otherwise(as_double(value, dtype))
     number, dtype = sides.pick("parsed", rule.get("numerator_field"))
     numerator = F.abs(F.coalesce(as_double(number, dtype), F.lit(0.0)))
     return [(name, F.round(numerator / F.when(denom.isNotNull(), F.greatest(denom, F.lit(1.0))), 4))]
 
 
+def _bad_denominator(rule: MetricRule, sides: Sides) -> Column | None:
+    field = rule.get("denominator_sample_field")
+    if "denominator_fixed" in rule.options or not field:
+        return None
+    value, dtype = sides.pick("sample", field)
+    if isinstance(dtype, (T.ArrayType, T.NullType)):
+        return None
+    text = as_text(value, dtype)
+    return F.when(value.isNotNull() & (text != "") & as_double(value, dtype).isNull(), F.concat(
+        F.lit("metrics_error: could not convert to a number: "), text))
+
+
+def scoring_error(schema: T.StructType, rules: list[MetricRule], parsed: str, sample: str) -> Column:
+    """Message of the first rule that cannot be computed for a row, null where all can."""
+    sides = Sides(schema, parsed, sample)
+    found = [e for r in rules if r.type == "custom_ratio" and (e := _bad_denominator(r, sides)) is not None]
+    return F.coalesce(*found, F.lit(None).cast("string"))
+
+
 def exact_match(rule: MetricRule, sides: Sides) -> Named:
     name = rule.name or f"{rule.get('pred_field', '')}_exact_match"
     normalize = bool(rule.get("normalize", True))

@@ -1,8 +1,9 @@
 """Exact order statistics by rank, without gathering a group in one task.
 
 Values are first counted per distinct value (map-side combined). Each value falls into a bucket that grows
-with it; a small per-bucket count tells which bucket holds a wanted rank, and only that bucket's distinct
-values are put in order. A group holding most of the rows is therefore spread over its buckets.
+with it; a small per-bucket count tells which bucket holds a wanted rank. That bucket is cut again into parts of
+equal width between its own least and greatest value, and only the part that holds the rank is put in order.
+So a group holding most of the rows is spread out, whether its values lie far apart or close together.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 Rank = Callable[[Column], Column]
 
-# Buckets per doubling of the value.
+# Buckets per doubling of the value, and parts of a bucket that holds a wanted rank.
 _STEPS = 128
+_PARTS = 4096
 
 
 def nearest_rank(q: str) -> Rank:
@@ -46,6 +48,12 @@ def _bucket(v: Column) -> Column:
     return F.when(v < 0, -steps).otherwise(steps)
 
 
+def _part(v: Column, lo: Column, hi: Column) -> Column:
+    """Part of a bucket, in the order of the values; one part where the bucket has one value."""
+    share = F.coalesce((v - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.0))
+    return F.least(F.floor(share * _PARTS), F.lit(_PARTS - 1)).cast("int")
+
+
 def values_at_ranks(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, Rank]]) -> DataFrame:
     """Per key, the value at each wanted rank of its non-null values: ``{out: (value, rank of n)}``.
 
@@ -72,7 +80,7 @@ def values_at_ranks(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Colu
         .where("_b is not null and _m is not null")
     )
     group = [*keys, "_m"]
-    by_bucket = counts.groupBy(*group, "_b").agg(F.sum("_c").alias("_bc"))
+    by_bucket = counts.groupBy(*group, "_b").agg(F.sum("_c").alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     whole = Window.partitionBy(*group)
     running = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = by_bucket.withColumn("_upto", F.sum("_bc").over(running)).withColumn("_n", F.sum("_bc").over(whole))
@@ -83,15 +91,19 @@ def values_at_ranks(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Colu
     hits = (
         placed.withColumn("_t", F.explode(ranks))
         .where("_t.tag = _m and _t.rank <= _upto and _t.rank > _upto - _bc")
-        .select(*group, "_b", F.col("_t.out").alias("_out"), (F.col("_t.rank") - (F.col("_upto") - F.col("_bc"))).alias("_r"))
-    )
-    inside = Window.partitionBy(*group, "_b", "_out").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+        .select(*group, "_b", "_lo", "_hi", F.col("_t.out").alias("_out"), (F.col("_t.rank") - (F.col("_upto") - F.col("_bc"))).alias("_r"))
     )
+    inside_bucket = counts.join(hits, [*group, "_b"]).withColumn("_p", _part(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    cut = [*group, "_b", "_out"]
+    by_part = inside_bucket.groupBy(*cut, "_p", "_r").agg(F.sum("_c").alias("_pc"))
+    upto = F.sum("_pc").over(Window.partitionBy(*cut).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    part_hits = by_part.withColumn("_pu", upto).where("_r <= _pu and _r > _pu - _pc").select(
+        *cut, "_p", (F.col("_r") - (F.col("_pu") - F.col("_pc"))).alias("_pr"))
+    inside = Window.partitionBy(*cut, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        counts.join(hits, [*group, "_b"])
+        inside_bucket.join(part_hits, [*cut, "_p"])
         .withColumn("_seen", F.sum("_c").over(inside))
-        .where("_seen >= _r and _seen - _c < _r")
+        .where("_seen >= _pr and _seen - _c < _pr")
     )
     return found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_out") == out, F.col("_v"))).alias(out) for _, out, _ in targets]

@@ -141,10 +141,6 @@ def derive_plates(df: DataFrame) -> DataFrame:
     )
 
 
-def derive_stocks(df: DataFrame) -> DataFrame:
-    return df.withColumn("symbol", zero_fill(F.col("symbol").cast("string")))
-
-
 def model_snapshot(models: DataFrame, params: dict[str, str]) -> DataFrame:
     """Per model, its defaults overlaid by the run's parameters, secrets masked."""
     return models.select("model_id", redact_map(merge_maps(F.col("default_params"), map_literal(params))).alias("params"))

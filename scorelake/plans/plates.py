@@ -75,29 +75,29 @@ def heat_scores(derived: DataFrame) -> DataFrame:
     return scaled.withColumn("heat_score", weighted({"s_fund": 0.4, "s_rise": 0.35, "s_core": 0.25}))
 
 
-def _core_with_plates(stocks: DataFrame, derived: DataFrame) -> DataFrame:
+def core_pairs(stocks: DataFrame, derived: DataFrame) -> DataFrame:
+    """Core stocks with what the leader reports need of their plates. Stored once, it serves measures, scaling and names."""
     return name_join(core_only(stocks).select("plate_id", "symbol"), derived, ["name", "avg_pcp_pct", "fund_flow_yi"])
 
 
-def leader_measures(stocks: DataFrame, derived: DataFrame) -> DataFrame:
+def leader_measures(pairs: DataFrame) -> DataFrame:
     """Per core stock: plates, mean change and summed flow."""
     exact = lambda c: F.sum(F.col(c).cast("decimal(38,12)"))
-    return _core_with_plates(stocks, derived).groupBy("symbol").agg(
+    return pairs.groupBy("symbol").agg(
         F.countDistinct("plate_id").alias("plate_count"),
         (exact("avg_pcp_pct").cast("double") / F.nullif(F.count("avg_pcp_pct"), F.lit(0))).alias("avg_plate_pcp"),
         F.coalesce(exact("fund_flow_yi").cast("double"), F.lit(0.0)).alias("total_fund_flow"),
     )
 
 
-def with_plate_names(picked: DataFrame, stocks: DataFrame, derived: DataFrame, k: int = 5) -> DataFrame:
+def with_plate_names(picked: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
     """Add the first plate names of the given stocks; other stocks' names are not looked at."""
-    mine = core_only(stocks).select("plate_id", "symbol").join(picked.select("symbol"), "symbol", "left_semi")
-    return picked.join(first_names(name_join(mine, derived, ["name"]), "symbol", "name", k, "plates"), "symbol", "left")
+    mine = pairs.join(picked.select("symbol"), "symbol", "left_semi")
+    return picked.join(first_names(mine, "symbol", "name", k, "plates"), "symbol", "left")
 
 
-def leader_scores(stocks: DataFrame, derived: DataFrame) -> DataFrame:
-    """Measures scaled over all core stocks, and the weighted score."""
-    measures = leader_measures(stocks, derived)
+def leader_scores(measures: DataFrame) -> DataFrame:
+    """Stored measures scaled over all core stocks, and the weighted score."""
     scaled = min_max_scale(measures, {"s_cross": "plate_count", "s_pcp": "avg_plate_pcp", "s_fund": "total_fund_flow"})
     return scaled.withColumn("leader_score", weighted({"s_cross": 0.3, "s_pcp": 0.4, "s_fund": 0.3}))
 

@@ -13,7 +13,7 @@ from scorelake.plans.adapters import Tables
 from scorelake.plans.registry import query
 from scorelake.plans.runs import run_registry_row, snapshot_rows
 from scorelake.schemas import MODEL_FILE
-from scorelake.session import shared_dir
+from scorelake.session import shared_dir, stored_once
 from scorelake.sources import readers as S
 from scorelake.sources import writers as W
 
@@ -33,6 +33,22 @@ def src_results(t: Tables):
     return S.read_results(t.spark, path).select("sample_id", "task_name", "repeat_idx", "success", "latency_ms")
 
 
+@query("src_results_odd", """SELECT sample_id, CASE event_id%5 WHEN 0 THEN 0 ELSE repeat_idx END AS repeat_idx, latency_ms, CASE WHEN event_id%5<>4 THEN m_acc END acc, success FROM v_results""", ("v_results",))
+def src_results_odd(t: Tables):
+    """Lines with text or fractional repeats, text latencies, and metrics as an object, a list, or of an unknown kind: none is lost."""
+    path = shared_dir(t.spark, "lines")
+    i, text = F.col("event_id") % 5, lambda c: F.col(c).cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), text(c), F.lit('"'))
+    acc = F.coalesce(F.col("task_metrics")[0]["value"].cast("string"), F.lit("null"))
+    repeat = F.when(i == 0, '"bad"').when(i == 1, F.concat(text("repeat_idx"), F.lit(".0"))).when(i == 2, quoted("repeat_idx")).otherwise(text("repeat_idx"))
+    latency = F.when(i == 3, quoted("latency_ms")).otherwise(text("latency_ms"))
+    metrics = F.when(i == 4, '"none"').when(i % 2 == 0, F.concat(F.lit('{"acc":'), acc, F.lit("}"))).otherwise(F.concat(F.lit('[{"name":"acc","value":'), acc, F.lit("}]")))
+    line = F.concat(F.lit('{"sample_id":'), quoted("sample_id"), F.lit(',"repeat_idx":'), repeat, F.lit(',"latency_ms":'), latency, F.lit(',"success":'), text("success"),
+                    F.lit(',"task_metrics":'), metrics, F.lit("}"))
+    t.results.select(line).write.text(path)
+    return S.read_results(t.spark, path).select("sample_id", "repeat_idx", "latency_ms", F.get("task_metrics", F.lit(0))["value"].alias("acc"), "success")
+
+
 @query("src_results_bad_lines", "SELECT count(*) bad_lines FROM events WHERE event_id%13=0")
 def src_results_bad_lines(t: Tables):
     path = shared_dir(t.spark, "lines")
@@ -127,6 +143,15 @@ def src_fingerprint(t: Tables):
     return S.content_fingerprint(t.table("documents"), ["doc_id", "text"])
 
 
+@query("src_file_sha256", "SELECT 2048::BIGINT AS length, sha256(repeat('0123456789abcdef', 128)) sha256 FROM region WHERE r_regionkey=0")
+def src_file_sha256(t: Tables):
+    """A file of known bytes, written through the text sink."""
+    path = shared_dir(t.spark, "file")
+    block = F.concat(F.repeat(F.lit("0123456789abcdef"), 127), F.lit("0123456789abcde"))
+    t.table("region").where("r_regionkey = 0").select(block.alias("value")).coalesce(1).write.option("lineSep", "f").text(path)
+    return S.file_fingerprints(t.spark, f"{path}/part-*").select("length", "sha256")
+
+
 @query("src_calls", """SELECT event_id, coalesce(CASE WHEN event_id%8<>0 THEN task_name END,'') AS content, prompt_tokens, completion_tokens, total_tokens,
  latency_ms, success, CASE WHEN event_id%2=0 THEN error ELSE '' END error, '' error_code FROM v_results""", ("v_results",))
 def src_calls(t: Tables):
@@ -167,6 +192,18 @@ def snk_partitioned(t: Tables):
     return back.groupBy("model_id", "task_name").agg(F.count("*").alias("n"), F.sum("repeat_idx").alias("s"))
 
 
+@query("snk_partitioned_twice", "SELECT 'm'||(event_id%4) model_id, count(*) * CASE WHEN event_id%4=1 THEN 2 ELSE 1 END n FROM events GROUP BY event_id%4")
+def snk_partitioned_twice(t: Tables):
+    """A second write with one model replaces that model's rows and leaves the others."""
+    folder = shared_dir(t.spark, "by-model")
+    slim = t.results.select("sample_id", F.lit("t").alias("task_name"), "model_id", "repeat_idx")
+    W.write_by_model(slim, folder)
+    mine = slim.where("model_id = 'm1'")
+    W.write_by_model(mine.union(mine), folder)
+    back = t.spark.read.schema("sample_id string, repeat_idx int, task_name string, model_id string").option("basePath", folder).json(folder)
+    return back.groupBy("model_id").agg(F.count("*").alias("n"))
+
+
 @query("snk_summary_csv", """SELECT task_name, model_id, n::VARCHAR request_count, a tm_acc_avg FROM (
  SELECT task_name, model_id, count(*) n, NULL::VARCHAR a FROM v_costed WHERE task_name<>'click' GROUP BY 1,2
  UNION ALL SELECT task_name, model_id, count(*) n, round(sum(m_acc)/count(*),4)::VARCHAR FROM v_costed WHERE task_name='click' GROUP BY 1,2)""", ("v_costed",))
@@ -226,7 +263,8 @@ _MD_SUMMARY = """SELECT task_name, model_id, count(*) n, round(count(*) FILTER (
 def snk_markdown(t: Tables):
     """The written report read back, its fixed heading lines left out."""
     path = shared_dir(t.spark, "report")
-    W.write_report(R.default_reporter({"results": t.costed, "summary": A.summarize(t.costed)}), path)
+    results = stored_once(t.costed, "results")
+    W.write_report(R.default_reporter({"results": results, "summary": stored_once(A.summarize(results), "summary")}), path)
     line = F.col("value")
     data = line.rlike(r"^\| .* \|$") & ~line.rlike(r"^\| (---|task_name|model_id|workflow_name|error_type)( |\|)")
     return t.spark.read.text(path).where(data | line.startswith("### ") & ~line.contains("失败") | line.startswith("- sample_id")).select(line.alias("line"))
@@ -248,6 +286,17 @@ def snk_upsert_plates(t: Tables):
     return W.read_upserted(t.spark, f"{folder}/stocks", "plate_id")
 
 
+@query("snk_upsert_newest", "SELECT p_partkey plate_id, 'N'||(p_partkey*10+k)::VARCHAR symbol FROM part, LATERAL (SELECT unnest(range(1, p_size%5+2)) k) WHERE p_partkey%10<>0")
+def snk_upsert_newest(t: Tables):
+    """Two payloads of every plate landed, the newer with other symbols: only the newer is left, once."""
+    folder = shared_dir(t.spark, "upsert")
+    renamed = F.transform("data.stocks", lambda s: s.withField("symbol", F.concat(F.lit("N"), s["symbol"])))
+    both = t.payloads.withColumn("landed", F.lit(1)).unionByName(t.payloads.withColumns({"landed": F.lit(2), "data": F.col("data").withField("stocks", renamed)}))
+    newest = stored_once(S.newest_payloads(both, "landed"), "payloads")
+    W.upsert_plates(t.spark, folder, S.split_payloads(newest, F.lit("2026-01-01 00:00:00")))
+    return W.read_upserted(t.spark, f"{folder}/stocks", "plate_id").select("plate_id", "symbol")
+
+
 @query("chk_api_key", "SELECT s_name model_id FROM supplier WHERE s_suppkey%4=0")
 def chk_api_key(t: Tables):
     return K.unresolved_keys(S.models_from_file(_registry(t))).select("model_id")

@@ -12,7 +12,7 @@ from scorelake.plans import runs as RUN
 from scorelake.plans.adapters import MODEL_IDS, Tables, nth
 from scorelake.plans.queries_stats import _F1
 from scorelake.plans.registry import query
-from scorelake.session import shared_dir
+from scorelake.session import shared_dir, stored_once
 from scorelake.sources import writers as W
 from scorelake.spec import MetricRule, TaskSpec, WorkflowSpec, WorkflowStep, resolve_rules
 
@@ -172,7 +172,7 @@ _TASK = TaskSpec.from_dict({
 
 
 def _probe_samples(t: Tables):
-    return t.spread("documents", "doc_id").select(F.col("doc_id").cast("string").alias("sample_id"), "lang", "text")
+    return t.table("documents").select(F.col("doc_id").cast("string").alias("sample_id"), "lang", "text")
 
 
 def _probe_calls(t: Tables, models=("m0", "m3")):
@@ -268,6 +268,36 @@ def udf_report(t: Tables):
     return reporter({"results": t.results}).select("line")
 
 
+@query("run_task_errors", "SELECT sample_id, false success, 'metrics_failure' error_type, 'metrics' error_stage, 0::BIGINT metrics FROM v_samples WHERE doc_id%2=0 UNION ALL SELECT sample_id, true, '', '', 1 FROM v_samples WHERE doc_id%2=1", ("v_samples",))
+def run_task_errors(t: Tables):
+    """A denominator that is text and no number: the row is an error of its metrics, not a success."""
+    spec = TaskSpec.from_dict({"name": "ratio", "user": "{text}", "parse_schema": [{"field": "n", "type": "int", "default": 0, "lo": 0, "hi": 9}],
+                               "metrics": [{"type": "custom_ratio", "name": "r", "numerator_field": "n", "denominator_sample_field": "whole"}]})
+    samples = t.samples.select("sample_id", "body", F.when(F.col("doc_id") % 2 == 0, "many").otherwise("4").alias("whole")).withColumnRenamed("body", "text")
+    calls = samples.select("sample_id", F.lit("m0").alias("model_id"), F.lit(0).alias("repeat_idx"), F.lit('{"n": 2}').alias("content"), F.lit(1).alias("prompt_tokens"),
+                           F.lit(1).alias("completion_tokens"), F.lit(1.0).alias("latency_ms"), F.lit(True).alias("success"), F.lit(0).alias("retry_count"),
+                           *[F.lit("").alias(c) for c in ("error", "error_type", "error_stage", "error_code")])
+    out = RUN.task_run(samples, t.models, calls, spec, ["m0"])
+    return out.select("sample_id", "success", "error_type", "error_stage", F.size("task_metrics").cast("bigint").alias("metrics"))
+
+
+@query("run_task_cached", "SELECT sample_id, repeat_idx, doc_id%3=0 AND repeat_idx=0 AS from_cache, CASE WHEN doc_id%3=0 AND repeat_idx=0 THEN 'new' ELSE 'called' END AS output_text FROM v_samples, (SELECT unnest([0,1]) repeat_idx) WHERE NOT (doc_id%5=0 AND repeat_idx=1)", ("v_samples",))
+def run_task_cached(t: Tables):
+    """Resume and cache in one run: finished repeats are left out, the last written of two cached answers counts, and of two recorded calls one."""
+    spec = TaskSpec.from_dict({"name": "plain", "user": "{text}"})
+    samples = t.samples.select("sample_id", "doc_id", F.col("body").alias("text"))
+    every = samples.withColumn("repeat_idx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"model_id": F.lit("m0"), "task_name": F.lit("plain"), "step_id": F.lit("__task__")})
+    done = every.where("doc_id % 5 = 0 and repeat_idx = 1").select("sample_id", "task_name", "step_id", "model_id", "repeat_idx")
+    usage = {"prompt_tokens": F.lit(1), "completion_tokens": F.lit(1), "latency_ms": F.lit(1.0), "success": F.lit(True), "retry_count": F.lit(0),
+             **{c: F.lit("") for c in ("error", "error_type", "error_stage", "error_code")}}
+    keyed = RUN.pending_requests(samples, t.models, spec, ["m0"], 2).where("doc_id % 3 = 0 and repeat_idx = 0").select("cache_key")
+    cache = keyed.withColumns({"content": F.lit("old"), "written_at": F.lit(1), **usage}).unionByName(keyed.withColumns({"content": F.lit("new"), "written_at": F.lit(2), **usage}))
+    calls = every.select("sample_id", "model_id", "repeat_idx").withColumns({"content": F.lit("called"), "timestamp": F.lit(2), **usage})
+    calls = calls.unionByName(calls.withColumns({"content": F.lit("stale"), "timestamp": F.lit(1)}))
+    out = RUN.task_run(samples, t.models, calls, spec, ["m0"], 2, done=done, cache=stored_once(cache, "cache"))
+    return out.select("sample_id", "repeat_idx", "from_cache", "output_text")
+
+
 # --- workflow --------------------------------------------------------------------------------------------
 
 _FLOW = WorkflowSpec("flow", "v1", (WorkflowStep("s0", "label"), WorkflowStep("s1", "plain", "$active", "s0"), WorkflowStep("s2", "label", "$active", "s1"), WorkflowStep("s3", "label", "$active", "s9")))
@@ -312,3 +342,29 @@ def run_workflow_e2e(t: Tables):
     return rows.select("sample_id", "model_id", "success", "parse_applicable", "parse_success", "total_tokens", "retry_count", "latency_ms")
 
 
+_REQUESTS = """SELECT sample_id, CASE WHEN doc_id%4=0 THEN 's0' ELSE 's1' END step_id, CASE WHEN doc_id%4=0 THEN 'm0' ELSE 'm1' END model_id, CASE WHEN doc_id%4=0 THEN 'start' ELSE '{"label":"'||lang||'"}' END AS given
+ FROM v_samples WHERE doc_id%4 IN (0,1)"""
+
+
+def _step_requests(t: Tables, cache=None):
+    """Of four samples in a row one has nothing done, one its first step, one a failed first step, one both steps."""
+    tasks = {"first": TaskSpec.from_dict({"name": "first", "user": "start", "parse_schema": [{"field": "label"}]}), "second": TaskSpec.from_dict({"name": "second", "user": "{step_input}"})}
+    flow = WorkflowSpec("flow", "v1", (WorkflowStep("s0", "first"), WorkflowStep("s1", "second", "$active", "s0")))
+    k = F.col("doc_id") % 4
+    done = t.samples.where(k > 0).withColumn("step_id", F.explode(F.when(k == 3, F.array(F.lit("s0"), F.lit("s1"))).otherwise(F.array(F.lit("s0"))))).select(
+        "sample_id", "step_id", (k != 2).alias("success"), (F.col("step_id") == "s0").alias("parse_applicable"), (k != 2).alias("parse_success"),
+        F.to_json(F.struct(F.col("lang").alias("label"))).alias("parsed"), F.lit("text").alias("output_text"))
+    return RUN.workflow_requests(_probe_samples(t), t.models, done, flow, {"s0": "m0", "s1": "m1"}, tasks, cache=cache)
+
+
+@query("run_workflow_requests", _REQUESTS, ("v_samples",))
+def run_workflow_requests(t: Tables):
+    rows = _step_requests(t)
+    return rows.select("sample_id", "step_id", "model_id", F.element_at("messages", -1)["content"].alias("given"))
+
+
+@query("run_workflow_cached", f"SELECT sample_id, step_id, step_id='s1' AS from_cache, CASE WHEN step_id='s1' THEN upper(given) END AS content FROM ({_REQUESTS})", ("v_samples",))
+def run_workflow_cached(t: Tables):
+    asked = _step_requests(t).where("step_id = 's1'")
+    cache = stored_once(asked.select("cache_key", F.upper(F.element_at("messages", -1)["content"]).alias("content")), "cache")
+    return _step_requests(t, cache).select("sample_id", "step_id", "from_cache", "content")

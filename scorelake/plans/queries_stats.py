@@ -15,6 +15,7 @@ from scorelake.plans import plates as PL
 from scorelake.plans import reports as REP
 from scorelake.plans.adapters import Tables
 from scorelake.plans.registry import query
+from scorelake.session import stored_once
 from scorelake.plans.queries_rows import ASSOCIATION, PLATE_VIEWS, _sql_tops
 from scorelake.functions.outputs import parse_outputs
 
@@ -135,7 +136,8 @@ _LEADER = """SELECT symbol, count(DISTINCT plate_id) plate_count, sum(avg_pcp_pc
 
 @query("agg_leader", f"SELECT symbol, plate_count, round(avg_plate_pcp,9) avg_plate_pcp, round(total_fund_flow,9) total_fund_flow, plates FROM ({_LEADER})", ("v_stocks", "v_derived"))
 def agg_leader(t: Tables):
-    return PL.with_plate_names(PL.leader_measures(t.stocks, t.derived), t.stocks, t.derived).select(
+    pairs = stored_once(PL.core_pairs(t.stocks, t.derived), "core-pairs")
+    return PL.with_plate_names(PL.leader_measures(pairs), pairs).select(
         "symbol", "plate_count", F.round("avg_plate_pcp", 9).alias("avg_plate_pcp"), F.round("total_fund_flow", 9).alias("total_fund_flow"), "plates"
     )
 
@@ -304,6 +306,26 @@ def win_latest_payload(t: Tables):
 
 # --- sorts and top-k -------------------------------------------------------------------------------------
 
+_ODD = """SELECT task_name, model_id, m AS metric, v FROM (SELECT task_name, model_id, event_id, CASE event_id%11 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 1e-12::DOUBLE ELSE m_acc END v, 'acc' m FROM v_results)"""
+
+
+@query("agg_task_metrics_odd", f"SELECT task_name, model_id, metric, round(avg(v) FILTER (isfinite(v)),4) avg_value FROM ({_ODD}) GROUP BY 1,2,3", ("v_results",))
+def agg_task_metrics_odd(t: Tables):
+    """Infinite and NaN metric values are left out of the mean, tiny ones are not lost."""
+    i, own = F.col("event_id") % 11, F.col("task_metrics")[0]["value"]
+    odd = F.when(i == 0, F.lit(float("inf"))).when(i == 1, F.lit(float("nan"))).when(i == 2, F.lit(1e-12)).otherwise(own)
+    rows = t.results.withColumn("task_metrics", F.array(F.struct(F.lit("acc").alias("name"), odd.alias("value"))))
+    return A.task_metric_averages(rows).select("task_name", "model_id", "metric", "avg_value")
+
+
+@query("agg_summary_odd", """SELECT task_name, model_id, count(*) request_count, coalesce(round(sum(l::DECIMAL(38,10)) FILTER (isfinite(l))::DOUBLE/count(*) FILTER (isfinite(l)),2),0) avg_latency_ms FROM (
+ SELECT task_name, model_id, CASE event_id%7 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN 'nan'::DOUBLE ELSE latency_ms END l FROM v_results) GROUP BY 1,2""".replace("sum(l::DECIMAL(38,10)) FILTER (isfinite(l))", "sum(CASE WHEN isfinite(l) THEN l END::DECIMAL(38,10))"), ("v_results",))
+def agg_summary_odd(t: Tables):
+    i = F.col("event_id") % 7
+    odd = F.when(i == 0, F.lit(float("inf"))).when(i == 1, F.lit(float("nan"))).otherwise(F.col("latency_ms"))
+    return A.summarize(t.results.withColumn("latency_ms", odd)).select("task_name", "model_id", "request_count", "avg_latency_ms")
+
+
 @query("srt_summary", f"SELECT task_name, step_id, model_id, request_count, cost_estimate FROM ({SUMMARY}) ORDER BY 1,2,3", ("v_costed",))
 def srt_summary(t: Tables):
     return A.sort_summary(A.summarize(t.costed)).select("task_name", "step_id", "model_id", "request_count", "cost_estimate")
@@ -465,9 +487,10 @@ _LEAD = f""", a AS ({_LEADER}), z AS (SELECT *, round(s_cross*0.3::DOUBLE+s_pcp*
 
 @query("rep_leader", _LEAD + "SELECT symbol, leader_score, plate_count, plates FROM z ORDER BY leader_score DESC NULLS LAST, symbol LIMIT 50", ("v_stocks", "v_derived"))
 def rep_leader(t: Tables):
-    scored = PL.leader_scores(t.stocks, t.derived).withColumn("leader_score", F.round("leader_score", 9))
+    pairs = stored_once(PL.core_pairs(t.stocks, t.derived), "core-pairs")
+    scored = PL.leader_scores(stored_once(PL.leader_measures(pairs), "leader-measures")).withColumn("leader_score", F.round("leader_score", 9))
     top = R.nlargest(scored, 50, "leader_score", "symbol")
-    return PL.with_plate_names(top, t.stocks, t.derived).select("symbol", "leader_score", "plate_count", "plates")
+    return PL.with_plate_names(top, pairs).select("symbol", "leader_score", "plate_count", "plates")
 
 
 @query("rep_core_vs_all", """SELECT id, avg_pcp_pct, core_avg_pcp_pct, fund_flow_yi, greatest(5,least(200,total_stocks))::BIGINT marker_size FROM v_derived WHERE avg_pcp_pct IS NOT NULL AND core_avg_pcp_pct IS NOT NULL""", ("v_derived",))

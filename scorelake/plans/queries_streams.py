@@ -17,6 +17,15 @@ def _events(t: Tables):
     return I.stream_folder(t.spark, t.folder, schema, "parquet", name_glob="events.parquet")
 
 
+def _batches(t: Tables):
+    """The events table arriving in three batches, each a third of the rows."""
+    landing = shared_dir(t.spark, "landing")
+    events = t.table("events")
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(landing)
+    return I.stream_folder(t.spark, landing, events.schema, "parquet", files_per_trigger=1)
+
+
 @query("stm_results", "SELECT sample_id, repeat_idx, success, error FROM v_results", ("v_results",))
 def stm_results(t: Tables):
     rows = results_from_events(_events(t)).select("sample_id", "repeat_idx", "success", "error")
@@ -31,16 +40,15 @@ def stm_results(t: Tables):
 def stm_running_summary(t: Tables):
     out = shared_dir(t.spark, "stream-out")
     I.finish(I.write_complete(I.running_summary(results_from_events(_events(t))), out, shared_dir(t.spark, "stream-state")))
-    return I.summary_rates(t.spark.read.parquet(out))
+    return I.summary_rates(I.read_newest(t.spark, out))
 
 
 @query("stm_dedup", "SELECT DISTINCT sample_id, task_name, model_id FROM v_results", ("v_results",))
 def stm_dedup(t: Tables):
-    rows = I.dedup_stream(results_from_events(_events(t)), "ts", "60 days", ["sample_id", "task_name", "model_id"])
-    rows = rows.select("sample_id", "task_name", "model_id")
+    rows = results_from_events(_batches(t)).select("sample_id", "task_name", "model_id")
     out = shared_dir(t.spark, "stream-out")
-    I.finish(I.append_stream(rows, out, shared_dir(t.spark, "stream-state")))
-    return t.spark.read.schema(rows.schema).parquet(out)
+    I.finish(I.dedup_stream(rows, out, shared_dir(t.spark, "stream-state"), ["sample_id", "task_name", "model_id"]))
+    return t.spark.read.parquet(out).select(*rows.columns)
 
 
 @query("stm_resume", "SELECT event_type, count(*) n FROM events GROUP BY 1")
@@ -61,7 +69,7 @@ def stm_progress(t: Tables):
 
     class Arriving(Tables):
         def table(self, name):
-            return _events(t)
+            return _batches(t)
 
     out = shared_dir(t.spark, "stream-out")
     lines = _log_lines(Arriving(t.spark, t.folder))
@@ -69,9 +77,13 @@ def stm_progress(t: Tables):
     return t.spark.read.parquet(out).select("event_type", "current", "success", "fail")
 
 
-@query("stm_cache_fill", "SELECT DISTINCT sample_id||':'||task_name cache_key FROM v_results WHERE success", ("v_results",))
+@query("stm_cache_fill", "SELECT sample_id||':'||task_name cache_key, count(DISTINCT event_id%3)>0 AS held, 1::BIGINT entries FROM v_results WHERE success GROUP BY 1", ("v_results",))
 def stm_cache_fill(t: Tables):
-    calls = results_from_events(_events(t)).select(F.concat_ws(":", "sample_id", "task_name").alias("cache_key"), F.col("output_text").alias("content"), "success")
+    """Over three batches: one entry a key, and its content is that of one of the key's calls."""
+    text = F.concat(F.col("sample_id"), F.lit("/"), F.col("event_id").cast("string"))
+    calls = results_from_events(_batches(t)).select(F.concat_ws(":", "sample_id", "task_name").alias("cache_key"), text.alias("content"), "success")
     out = shared_dir(t.spark, "cache")
     I.finish(I.fill_cache(calls, out, shared_dir(t.spark, "stream-state")))
-    return t.spark.read.parquet(out).select("cache_key")
+    made = t.results.where("success").select(F.concat_ws(":", "sample_id", "task_name").alias("cache_key"), text.alias("content"), F.lit(True).alias("held"))
+    stored = t.spark.read.parquet(out).select("cache_key", "content").join(made, ["cache_key", "content"], "left")
+    return stored.groupBy("cache_key").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("held"), F.count("*").alias("entries"))

@@ -33,6 +33,21 @@ def fn_safe_float(t: Tables):
     return t.table("events").select("event_id", X.safe_float(nth(_FLOATS, F.col("event_id") % 8)).alias("x"))
 
 
+@query("fn_text_fragments_deep", "SELECT doc_id, lang||'|'||source fragments FROM documents")
+def fn_text_fragments_deep(t: Tables):
+    """Texts under known keys six and seven levels down in a value whose shape is known at run time only."""
+    d = t.table("documents").select("doc_id", F.concat(
+        F.lit('{"summary":{"text":[{"reason":{"content":{"analysis":"'), "lang", F.lit('"}},"claim":{"rationale":{"reason":{"text":"'), "source",
+        F.lit('"}}}}]},"other":"left out"}')).alias("j")).select("doc_id", F.parse_json("j").alias("v"))
+    return d.select("doc_id", F.array_join(text_fragments(F.col("v"), d.schema["v"].dataType), "|").alias("fragments"))
+
+
+@query("fn_trailing_commas_many", "SELECT doc_id, '['||doc_id||'] {\"a\":1 }' AS text FROM documents")
+def fn_trailing_commas_many(t: Tables):
+    text = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(',, ,\n,,] {"a":1 , ,}'))
+    return t.table("documents").select("doc_id", O.drop_trailing_commas(text).alias("text"))
+
+
 @query("fn_text_fragments", "SELECT doc_id, text||'|'||lang||'|'||source fragments FROM documents")
 def fn_text_fragments(t: Tables):
     """Texts are taken in key order, blanks left out; ``other`` is not a text key."""

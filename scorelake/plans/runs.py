@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.errors import UNKNOWN, derive_error
+from scorelake.functions.errors import UNKNOWN, append_error, derive_error
 from scorelake.functions.keys import cache_id, cache_key, call_cost
 from scorelake.functions.outputs import apply_schema, parse_outputs
 from scorelake.operators import grid as G
-from scorelake.operators.metrics import task_metrics
+from scorelake.operators.metrics import scoring_error, task_metrics
 from scorelake.operators.projections import build_requests, called_rows, map_fields, map_literal, utc_now_text
 from scorelake.operators.workflow import gate
 from scorelake.schemas import METRIC_LIST, RESULT_ROW, RESULT_SCHEMA_VERSION, STEP_E2E, STEP_TASK, as_struct
@@ -47,8 +47,9 @@ def call_values(column, missing: Column) -> dict[str, Column]:
 def score_calls(calls: DataFrame, task: TaskSpec, sample: str = "sample", skip: str | None = None) -> DataFrame:
     """Parse and score answered calls that carry their sample as a struct.
 
-    Reads ``content`` and ``success``; adds ``parsed_json``, ``parse_success`` and ``task_metrics``. Metrics run
-    on failed calls too, with nothing parsed; rows with the ``skip`` flag have none.
+    Reads ``content``, ``success`` and ``error``; adds ``parsed_json``, ``parse_success`` and ``task_metrics``. Metrics run
+    on failed calls too, with nothing parsed; rows with the ``skip`` flag have none. A row whose metrics cannot be
+    computed is no success, has no metrics, and its error text says why.
     """
     if task.parse_schema:
         rows = calls.withColumn("_answer", F.when(F.col("success"), F.col("content")))
@@ -56,13 +57,17 @@ def score_calls(calls: DataFrame, task: TaskSpec, sample: str = "sample", skip:
         rows = rows.withColumn("parsed", apply_schema(F.col("_parse.data"), task.parse_schema)).drop("_answer", "_parse")
     else:
         rows = calls.withColumn("parsed", F.lit(None).cast("struct<none:string>"))
-    scores = task_metrics(rows.schema, resolve_rules(task.answer_type, task.metrics), "parsed", sample)
+    rules = resolve_rules(task.answer_type, task.metrics)
+    scores, broken = task_metrics(rows.schema, rules, "parsed", sample), scoring_error(rows.schema, rules, "parsed", sample)
     if skip:
         scores = F.when(F.col(skip), F.array().cast(METRIC_LIST)).otherwise(scores)
+        broken = F.when(~F.col(skip), broken)
     return rows.withColumns({
+        "success": F.col("success") & broken.isNull(),
+        "error": F.when(broken.isNotNull(), append_error(F.col("error"), broken)).otherwise(F.col("error")),
         "parse_success": F.col("parsed").isNotNull(),
         "parsed_json": F.to_json("parsed", {"ignoreNullFields": "false"}),
-        "task_metrics": scores,
+        "task_metrics": F.when(broken.isNotNull(), F.array().cast(METRIC_LIST)).otherwise(scores),
     }).drop("parsed")
 
 
@@ -75,15 +80,14 @@ def pending_requests(
     if done is not None:
         work = G.pending_work(work, done)
     requests = build_requests(work, task).withColumn("params", map_literal({**task.default_params, **(params or {})}))
-    priced = G.with_price(requests, models)
     if not with_cache_key:
-        return priced
-    defaults = models.select("model_id", F.col("default_params").alias("_defaults"))
+        return G.with_price(requests, models)
+    priced = G.with_price(requests, models, "default_params")
     key = cache_key(
-        F.col("model_id"), F.col("_defaults"), F.col("params"), F.col("messages"),
+        F.col("model_id"), F.col("default_params"), F.col("params"), F.col("messages"),
         cache_id(F.col("sample_id"), F.col("repeat_idx"), F.col("task_name")),
     )
-    return priced.join(defaults, "model_id", "left").withColumn("cache_key", key).drop("_defaults")
+    return priced.withColumn("cache_key", key).drop("default_params")
 
 
 def task_run(
@@ -93,7 +97,7 @@ def task_run(
 ) -> DataFrame:
     """Result rows of one task run.
 
-    ``calls`` are recorded answers by (sample_id, model_id, repeat_idx). Work with neither a cached nor a
+    ``calls`` are recorded answers by (sample_id, model_id, repeat_idx), of several the newest (``timestamp``, where they have it). Work with neither a cached nor a
     recorded answer becomes a gateway error row, so every piece of pending work has exactly one row.
     """
     names = samples.columns
@@ -104,11 +108,12 @@ def task_run(
     base = mapped.withColumn("sample", F.struct(*names, *extra)).select(
         *keys, "task_name", "prompt_version", "params", "price", "sample", *(["cache_key"] if cache is not None else [])
     )
-    recorded = calls.select(*keys, F.struct(*CALL_COLUMNS).alias("_call"))
+    stamp = [c for c in ("timestamp",) if c in calls.columns]
+    recorded = G.newest_per_key(calls.select(*keys, *CALL_COLUMNS, *stamp), keys, stamp).select(*keys, F.struct(*CALL_COLUMNS).alias("_call"))
     if cache is None:
         joined = base.withColumns({"from_cache": F.lit(False), "_hit": F.lit(None).cast(recorded.schema["_call"].dataType)})
     else:
-        hits = G.cache_lookup(base, cache.select("cache_key", *CALL_COLUMNS))
+        hits = G.cache_lookup(base, cache.select("cache_key", *CALL_COLUMNS, *[c for c in ("written_at",) if c in cache.columns]))
         joined = hits.withColumn("_hit", F.when(F.col("from_cache"), F.struct(*CALL_COLUMNS))).drop(*CALL_COLUMNS)
     joined = joined.join(recorded, keys, "left").withColumn("_call", F.coalesce("_hit", "_call")).drop("_hit")
     missing = F.col("_call").isNull()
@@ -138,9 +143,10 @@ def _result_struct(values: dict[str, Column]) -> Column:
 def _step_calls(calls: DataFrame, spec: WorkflowSpec, tasks: dict[str, TaskSpec]) -> DataFrame:
     """Recorded calls of all steps side by side, one row per sample: one shuffle for any number of steps.
 
-    Answers are parsed while they are still one row per call, by one parser for all steps.
+    Answers are parsed while they are still one row per call, by one parser for all steps. Of several calls of a step the
+    newest counts (``timestamp``, where they have it).
     """
-    listed = calls.where(F.col("step_id").isin(*[s.id for s in spec.steps]))
+    listed = G.newest_per_key(calls.where(F.col("step_id").isin(*[s.id for s in spec.steps])), ["sample_id", "step_id"], ["timestamp"])
     parsed = [s.id for s in spec.steps if tasks[s.task].parse_applicable]
     to_parse = F.col("step_id").isin(*parsed) & F.col("success") if parsed else F.lit(False)
     rows = parse_outputs(listed.withColumn("_answer", F.when(to_parse, F.col("content"))), "_answer", "_parse")
@@ -165,7 +171,9 @@ def workflow_run(
         samples = G.unfinished_workflow_samples(samples, done, spec.name)
     names = samples.columns
     rows = samples.join(_step_calls(calls, spec, tasks), "sample_id", "left").withColumn("sample", F.struct(*names))
-    rows = rows.select("sample_id", "sample", *[f"_call{i}" for i in range(len(spec.steps))])
+    # The few prices come in once, as a column of their own.
+    rows = rows.withColumn("_prices", _prices(models, step_models, spec))
+    rows = rows.select("sample_id", "sample", "_prices", *[f"_call{i}" for i in range(len(spec.steps))])
     values: dict[str, Column] = {}
     sides: dict[int, str] = {}
     for i, step in enumerate(spec.steps):
@@ -180,7 +188,7 @@ def workflow_run(
         sides[i] = f"{p}sample" if mapped else "sample"
         if mapped:
             values[sides[i]] = F.struct("sample.*", *[F.col(f"sample.{src}").alias(dst) for src, dst in mapped.items()])
-    rows = rows.select("sample_id", "sample", *[v.alias(k) for k, v in values.items()])
+    rows = rows.select("sample_id", "sample", "_prices", *[v.alias(k) for k, v in values.items()])
     scores: dict[str, Column] = {}
     for i, step in enumerate(spec.steps):
         task, p = tasks[step.task], f"s{i}_"
@@ -192,7 +200,6 @@ def workflow_run(
         }
     rows = rows.withColumns(scores)
 
-    prices = _prices(models, step_models, spec)
     good = {
         s.id: ~F.col(f"s{i}_missing") & F.col(f"s{i}_success") & (F.col(f"s{i}_parse_success") if tasks[s.task].parse_applicable else F.lit(True))
         for i, s in enumerate(spec.steps)
@@ -200,7 +207,7 @@ def workflow_run(
     runs = gate(good, {s.id: s.input_from for s in spec.steps})
     rows = rows.withColumns({
         **{f"s{i}_runs": runs[s.id] for i, s in enumerate(spec.steps)},
-        **{f"s{i}_price": prices[step_models[s.id]] for i, s in enumerate(spec.steps)},
+        **{f"s{i}_price": F.col("_prices")[step_models[s.id]] for i, s in enumerate(spec.steps)},
     })
     common = {"schema_version": F.lit(RESULT_SCHEMA_VERSION), "run_id": F.lit(run_id), "timestamp": utc_now_text(), "sample_id": F.col("sample_id"),
               "workflow_name": F.lit(spec.name), "workflow_version": F.lit(spec.version)}
@@ -209,14 +216,15 @@ def workflow_run(
     return rows.select(F.explode(F.array(*built, whole)).alias("r")).select("r.*")
 
 
-def _prices(models: DataFrame, step_models: dict[str, str], spec: WorkflowSpec) -> dict[str, Column]:
-    """Price struct per used model, from one scalar subquery; a model the registry does not know fails the job."""
+def _prices(models: DataFrame, step_models: dict[str, str], spec: WorkflowSpec) -> Column:
+    """Price structs by used model, from one scalar subquery; a model that the registry lacks, or has twice, fails the job."""
     used = sorted({step_models[s.id] for s in spec.steps})
-    entry = F.struct("model_id", "price_config")
-    known = models.where(F.col("model_id").isin(*used)).dropDuplicates(["model_id"])
-    prices = known.agg(F.map_from_entries(F.collect_list(entry)).alias("p")).scalar()
-    unknown = lambda m: F.raise_error(F.lit(f"unknown model {m}")).cast(models.schema["price_config"].dataType)
-    return {m: F.when(F.map_contains_key(prices, F.lit(m)), prices[m]).otherwise(unknown(m)) for m in used}
+    known = models.where(F.col("model_id").isin(*used))
+    prices = known.agg(F.map_from_entries(F.collect_list(F.struct("model_id", "price_config"))).alias("p")).scalar()
+    missing = F.array_except(F.array(*[F.lit(m) for m in used]), F.map_keys(prices))
+    fail = F.raise_error(F.concat(F.lit("unknown model "), F.array_join(missing, ", ")))
+    kind = f"map<string,{models.schema['price_config'].dataType.simpleString()}>"
+    return F.when(F.size(missing) == 0, prices).otherwise(fail.cast(kind))
 
 
 def _step_struct(i: int, step: WorkflowStep, spec: WorkflowSpec, task: TaskSpec, model_id: str, params: dict[str, str], common: dict[str, Column]) -> Column:
@@ -277,6 +285,45 @@ def _e2e_struct(spec: WorkflowSpec, step_models: dict[str, str], tasks: dict[str
     })
 
 
+def workflow_requests(
+    samples: DataFrame, models: DataFrame, steps_done: DataFrame, spec: WorkflowSpec, step_models: dict[str, str],
+    tasks: dict[str, TaskSpec] = TASKS, params: dict[str, str] | None = None, cache: DataFrame | None = None,
+) -> DataFrame:
+    """The calls that a workflow can make next: (sample_id, step_id, model_id, messages, params, cache_key, from_cache, cached content).
+
+    ``steps_done`` has finished step rows (result rows with ``sample_id``, ``step_id``, ``success``, ``parse_applicable``,
+    ``parse_success``, ``parsed``, ``output_text``). A step can be called when it is not finished and reads the sample, or reads a
+    step listed before it that ended well; it gets that step's parsed object, or its text where nothing is parsed. The loop is
+    over the listed steps; finished steps are brought into one row per sample by one shuffle.
+    """
+    state = F.struct("success", "parse_applicable", "parse_success", "parsed", "output_text")
+    finished = G.newest_per_key(steps_done.where(F.col("step_id").isin(*[s.id for s in spec.steps])), ["sample_id", "step_id"], ["timestamp"])
+    by_step = finished.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("step_id").alias("k"), state.alias("v")))).alias("_steps"))
+    rows = samples.join(by_step, "sample_id", "left")
+    parts = []
+    for i, step in enumerate(spec.steps):
+        task = tasks[step.task]
+        up = F.try_element_at("_steps", F.lit(step.input_from))
+        if step.input_from == "sample":
+            open_now, given = F.lit(True), F.lit(None).cast("string")
+        elif step.input_from in [s.id for s in spec.steps[:i]]:
+            open_now = F.coalesce(up["success"] & (~up["parse_applicable"] | up["parse_success"]), F.lit(False))
+            given = F.when(up["parse_applicable"], up["parsed"]).otherwise(up["output_text"])
+        else:
+            continue
+        due = rows.where(open_now & F.try_element_at("_steps", F.lit(step.id)).isNull()).withColumn("step_input", given)
+        asked = build_requests(due.withColumn("task_name", F.lit(task.name)), task, step_input="step_input")
+        merged = map_literal({**task.default_params, **(params or {}), **step.params_override})
+        parts.append(asked.select("sample_id", F.lit(step.id).alias("step_id"), F.lit(step_models[step.id]).alias("model_id"), "task_name", "messages", merged.alias("params")))
+    calls = reduce(DataFrame.unionByName, parts)
+    priced = G.with_price(calls, models, "default_params")
+    key = cache_key(F.col("model_id"), F.col("default_params"), F.col("params"), F.col("messages"), F.concat_ws(":", "sample_id", F.lit(spec.name), "step_id"))
+    keyed = priced.withColumn("cache_key", key).drop("default_params", "price")
+    if cache is None:
+        return keyed.withColumns({"from_cache": F.lit(False), "content": F.lit(None).cast("string")})
+    return G.cache_lookup(keyed, cache.select("cache_key", "content", *[c for c in ("written_at",) if c in cache.columns]))
+
+
 # --- run registry ----------------------------------------------------------------------------------------
 
 def run_registry_row(run_id: str, config: dict[str, str], fingerprint: DataFrame) -> DataFrame:
@@ -288,4 +335,4 @@ def snapshot_rows(run_id: str, snapshot: DataFrame) -> DataFrame:
     return snapshot.withColumn("run_id", F.lit(run_id))
 
 
-__all__ = ["task_run", "workflow_run", "pending_requests", "score_calls", "run_registry_row", "snapshot_rows"]
+__all__ = ["task_run", "workflow_run", "workflow_requests", "pending_requests", "score_calls", "run_registry_row", "snapshot_rows"]

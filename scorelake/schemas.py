@@ -47,11 +47,7 @@ CALL_ROW = (
     "latency_ms double, success boolean, error string, retry_count int, from_cache boolean, "
     "error_type string, error_stage string, error_code string"
 )
-MODEL_FILE = (
-    "active string, models map<string,struct<provider:string,model:string,api_key:string,base_url:string,"
-    "temperature:double,max_tokens:int,timeout:int,max_retries:int,retry_delay:double,concurrency:int,"
-    "seed:int,price_config:struct<input_per_1k:double,output_per_1k:double>>>"
-)
+MODEL_FILE = "active string, models map<string,variant>"
 PLATE_PAYLOAD = (
     "code int, message string, data struct<id:bigint,name:string,desc:string,subject_id:bigint,"
     "create_name:string,update_name:string,avg_pcp:double,core_avg_pcp:double,rise_count:bigint,"

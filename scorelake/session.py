@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only what the engine's results depend on; sizing stays with the cluster.
 _NEEDED = {
@@ -32,11 +32,20 @@ def engine_session(app_name: str = "scorelake", **overrides: str) -> SparkSessio
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (local tests) is a folder of our own
-    made; on a cluster every executor must be able to read what is written here.
+    The setting is read from the session. Only a local master, whose tasks share this machine, gets a
+    folder of our own where it is unset; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="scorelake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"scorelake-{purpose}-{uuid.uuid4().hex}")
+
+
+def stored_once(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared folder and read back, for results that several plans read."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

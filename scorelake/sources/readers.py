@@ -10,9 +10,6 @@ from scorelake.functions.text import bare_symbol
 from scorelake.operators.ranking import first_rows
 from scorelake.schemas import MODEL_FILE, PLATE_PAYLOAD, RESULT_ROW, as_struct
 
-_CORRUPT = "_corrupt_record"
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
@@ -25,21 +22,46 @@ def read_samples(spark: SparkSession, path: str, schema: str | T.StructType, max
 
 
 def read_results(spark: SparkSession, path: str, schema: str | T.StructType = RESULT_ROW) -> DataFrame:
-    """JSONL result rows, malformed lines dropped; an absent path is an empty table."""
+    """JSONL result rows; an absent path is an empty table.
+
+    Only a line that is no JSON object is dropped. A field of another type is cast where it can be and null
+    where it cannot, so the rest of its row stays; a repeat that is no number counts as 0.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return _with_corrupt(spark, path, schema).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    objects = _parsed_lines(spark, path).where(_is_object(F.col("v")))
+    return objects.select(*[_result_field(f).alias(f.name) for f in as_struct(schema).fields])
+
+
+def bad_line_count(spark: SparkSession, path: str) -> DataFrame:
+    return _parsed_lines(spark, path).agg(F.count_if(~_is_object(F.col("v"))).alias("bad_lines"))
+
 
+def _parsed_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where(F.trim("value") != "").select(F.try_parse_json("value").alias("v"))
 
-def bad_line_count(spark: SparkSession, path: str, schema: str | T.StructType = RESULT_ROW) -> DataFrame:
-    return _with_corrupt(spark, path, schema).agg(F.count_if(F.col(_CORRUPT).isNotNull()).alias("bad_lines"))
 
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
 
-def _with_corrupt(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Text lines parsed in the plan: whether a line is an object is known without a second pass over the file."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    wide = T.StructType([*as_struct(schema).fields, T.StructField(_CORRUPT, T.StringType())])
-    return lines.select(F.from_json("value", wide, {"columnNameOfCorruptRecord": _CORRUPT}).alias("r")).select("r.*")
+
+def _result_field(field: T.StructField) -> Column:
+    v, path = F.col("v"), f"$['{field.name}']"
+    if field.name == "task_metrics":
+        return _metric_list(v, path)
+    value = F.try_variant_get(v, path, field.dataType.simpleString())
+    if field.name == "repeat_idx":
+        value = F.coalesce(value, F.try_variant_get(v, path, "double").try_cast("int"), F.when(F.try_variant_get(v, path, "variant").isNotNull(), F.lit(0)))
+    return value
+
+
+def _metric_list(v: Column, path: str) -> Column:
+    """Metrics as (name, value) entries, from such a list or from an object of values by name."""
+    value = lambda x: F.try_variant_get(x, "$", "double")
+    by_name = F.transform(F.map_entries(F.try_variant_get(v, path, "map<string,variant>")), lambda e: F.struct(e["key"].alias("name"), value(e["value"]).alias("value")))
+    listed = F.transform(F.try_variant_get(v, path, "array<variant>"), lambda e: F.struct(
+        F.try_variant_get(e, "$.name", "string").alias("name"), F.try_variant_get(e, "$.value", "double").alias("value")))
+    return F.coalesce(listed, by_name)
 
 
 def read_summary_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +103,17 @@ def rejected_payloads(payloads: DataFrame) -> DataFrame:
     return payloads.where(~F.col("code").eqNullSafe(PAYLOAD_OK)).select("code", "message", F.col("data.id").alias("plate_id"))
 
 
+def newest_payloads(payloads: DataFrame, landed: str) -> DataFrame:
+    """Of each plate's good payloads the one that landed last; on a tie the one whose text has the larger digest.
+
+    The pick is made by a fixed-width order; payload texts are not moved for it but for the last join.
+    """
+    good = payloads.where(F.col("code") == PAYLOAD_OK).withColumns({
+        "_plate": F.col("data.id"), "_order": F.struct(F.col(landed).alias("at"), F.sha2(F.to_json("data"), 256).alias("digest"))})
+    last = good.groupBy("_plate").agg(F.max("_order").alias("_order"))
+    return good.join(last, ["_plate", "_order"], "left_semi").dropDuplicates(["_plate"]).drop("_plate", "_order")
+
+
 def split_payloads(payloads: DataFrame, updated_at: Column) -> dict[str, DataFrame]:
     """Landed payloads to the four relational tables; rows with another code go to rejected_payloads()."""
     good = payloads.where(F.col("code") == PAYLOAD_OK).select("data")
@@ -114,22 +147,21 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
 
 
 def models_from_file(registry: DataFrame) -> DataFrame:
-    """Registry file to one row per model; the whole entry is kept as a text map of defaults."""
+    """Registry file to one row per model; the whole entry, whatever its keys, is kept as a text map of defaults."""
     entry = registry.select("active", F.explode("models").alias("model_id", "m"))
-    fields = [f.name for f in registry.schema["models"].dataType.valueType.fields if f.name != "price_config"]
-    pairs = F.array(*[F.struct(F.lit(f).alias("key"), F.col(f"m.{f}").cast("string").alias("value")) for f in fields])
+    texts = F.try_variant_get("m", "$", "map<string,string>")
     return entry.select(
         "model_id",
-        F.coalesce("m.provider", F.lit("unknown")).alias("provider"),
-        F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("default_params"),
-        F.col("m.price_config").alias("price_config"),
-        F.col("m.api_key").alias("api_key"),
+        F.coalesce(F.try_variant_get("m", "$.provider", "string"), F.lit("unknown")).alias("provider"),
+        F.map_filter(texts, lambda k, v: (k != "price_config") & v.isNotNull()).alias("default_params"),
+        F.try_variant_get("m", "$.price_config", "struct<input_per_1k:double,output_per_1k:double>").alias("price_config"),
+        F.try_variant_get("m", "$.api_key", "string").alias("api_key"),
         (F.col("model_id") == F.col("active")).alias("is_active"),
     )
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and length per file. A file is read whole by one task; for big files use content_fingerprint()."""
+    """SHA-256 and length per file. A file is read whole by one task, of 2 GB at most; for bigger ones use content_fingerprint()."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 

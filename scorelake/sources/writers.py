@@ -14,13 +14,14 @@ def append_results(rows: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def write_by_model(rows: DataFrame, folder: str) -> None:
-    """Results split by task and model; marks unsafe in file names become ``-``.
+    """Results split by task and model; marks unsafe in file names become ``-``. Pairs not written stay as they were.
 
     The rebalance groups each pair's rows into few files, and at run time splits a pair that is too big for
     one task, so a dominant model is written by many.
     """
     safe = rows.withColumn("model_id", safe_name(F.col("model_id")))
-    safe.hint("rebalance", F.col("task_name"), F.col("model_id")).write.mode("overwrite").partitionBy("task_name", "model_id").json(folder)
+    safe.hint("rebalance", F.col("task_name"), F.col("model_id")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("task_name", "model_id").json(folder)
 
 
 def write_csv(df: DataFrame, path: str, *order: Column | str) -> None:
@@ -69,12 +70,16 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, changed: Da
     """Replace by key in a parquet table kept in hash buckets; only buckets that ``changed`` keys touch are rewritten.
 
     ``changed`` names the replaced keys (so a parent without children still clears its old ones); by default
-    they are the keys of ``new``.
+    they are the keys of ``new``. The number of buckets is a partition level of the table; another one is refused.
     """
     fresh = _bucketed(new, key, buckets)
     if path_exists(spark, path):
         keys = _bucketed((changed if changed is not None else new).select(key).distinct(), key, buckets)
-        stored = spark.read.parquet(path).where(F.col(key).isNotNull())
+        stored = spark.read.parquet(path)
+        kept_in = [row[0] for row in stored.select("buckets").distinct().limit(2).collect()]
+        if kept_in not in ([], [buckets]):
+            raise ValueError(f"the table is kept in {kept_in} buckets, not {buckets}")
+        stored = stored.where(F.col(key).isNotNull())
         kept = (
             stored.join(keys.select("bucket").distinct(), "bucket", "left_semi").join(keys.select(key), key, "left_anti")
         )
@@ -82,16 +87,19 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, changed: Da
         markers = keys.select("bucket").distinct()
         fresh = kept.select(*fresh.columns).unionByName(fresh).unionByName(markers, allowMissingColumns=True)
     # Rebalanced: few files per bucket, and a bucket with a dominant key is split over tasks.
-    writer = fresh.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic")
+    writer = fresh.withColumn("buckets", F.lit(buckets)).hint("rebalance", F.col("bucket")).write.partitionBy("buckets", "bucket").option("partitionOverwriteMode", "dynamic")
     writer.mode("overwrite").parquet(path)
 
 
 def read_upserted(spark: SparkSession, path: str, key: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket").where(F.col(key).isNotNull())
+    return spark.read.parquet(path).drop("buckets", "bucket").where(F.col(key).isNotNull())
 
 
 def upsert_plates(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> None:
-    """Newest payload rows into the four tables: parents by id, children by plate."""
+    """One payload's rows per plate into the four tables: parents by id, children by plate, each replacing what was there.
+
+    Several payloads of a plate are cut to the newest before they are split, see ``readers.newest_payloads``.
+    """
     parents = tables["plates"].select(F.col("id").alias("plate_id"))
     upsert(spark, f"{folder}/plates", tables["plates"], "id")
     for child in ("stocks", "industrial_chains", "question_answers"):

@@ -122,7 +122,7 @@ TASKS: dict[str, TaskSpec] = {
     t.name: t
     for t in (
         TaskSpec.from_dict({
-            "name": "ie_json", "prompt_version": "ie_json.v1",
+            "name": "ie_json", "prompt_version": "ie_json.scorelake1",
             "system": f"Pull the main event out of financial news. {_JSON_ONLY}",
             "user": "Symbol {ticker}. News list: {news_items_json}\n"
                     "Fields wanted: ticker, event_type, sentiment, impact_score (-5 to 5), summary.",
@@ -140,7 +140,7 @@ TASKS: dict[str, TaskSpec] = {
                          "fields": ["ticker", "event_type", "sentiment", "impact_score", "summary"]}],
         }),
         TaskSpec.from_dict({
-            "name": "news_dedup", "prompt_version": "news_dedup.v1",
+            "name": "news_dedup", "prompt_version": "news_dedup.scorelake1",
             "system": f"Find news items of one day that say the same thing. {_JSON_ONLY}",
             "user": "Symbol {ticker}. News list: {news_items_json}\nFields wanted: deduped_titles, removed_count.",
             "serialize_fields": ["news_items"],
@@ -152,7 +152,7 @@ TASKS: dict[str, TaskSpec] = {
                          "denominator_sample_field": "news_items"}],
         }),
         TaskSpec.from_dict({
-            "name": "stock_score", "prompt_version": "stock_score.v1",
+            "name": "stock_score", "prompt_version": "stock_score.scorelake1",
             "system": f"Rate how the news bears on one stock. {_JSON_ONLY}",
             "user": "Symbol {ticker}. News list: {news_items_json}\nFields wanted: score (-100 to 100), rationale.",
             "serialize_fields": ["news_items"],
@@ -167,7 +167,7 @@ TASKS: dict[str, TaskSpec] = {
             ],
         }),
         TaskSpec.from_dict({
-            "name": "news_analysis", "prompt_version": "news_analysis.v3",
+            "name": "news_analysis", "prompt_version": "news_analysis.scorelake1",
             "system": f"Summarise one news story and judge its sentiment. {_JSON_ONLY}",
             "user": "Symbol {ticker} ({sec_short_name}). Title: {news_title}\nBody: {news_body}\n"
                     "Fields wanted: summary, sentiment (positive, neutral or negative).",
@@ -185,7 +185,7 @@ TASKS: dict[str, TaskSpec] = {
             ],
         }),
         TaskSpec.from_dict({
-            "name": "stock_association", "prompt_version": "stock_association.v1", "answer_type": "list",
+            "name": "stock_association", "prompt_version": "stock_association.scorelake1", "answer_type": "list",
             "system": f"Name the core stocks of a market concept. {_JSON_ONLY}",
             "user": "Concept {plate_name}. About it: {plate_desc}{chains_section}{plate_intro_section}\n"
                     "List about {core_stocks_count} six-digit codes under the key stocks.",
@@ -213,21 +213,40 @@ def resolve_rules(
     return preset.metrics
 
 
+def load_profile(path: str | Path, known_types: list[str]) -> dict[str, ScorerPreset]:
+    """Scorer presets by answer type from a ``.json`` (or, where PyYAML is present, ``.yaml``) profile.
+
+    ``{"scorers": {type: {"primary_metric": .., "pass_threshold": .., "metrics": [..]}}}``; the given metric types must be known.
+    """
+    scorers = (_load(Path(path)) or {}).get("scorers") or {}
+    presets = {
+        kind: ScorerPreset(kind, str(raw.get("primary_metric", "")), float(raw.get("pass_threshold", 0.5)), tuple(MetricRule.of(m) for m in raw.get("metrics") or ()))
+        for kind, raw in scorers.items()
+    }
+    unknown = sorted({m.type for p in presets.values() for m in p.metrics} - set(known_types))
+    if unknown:
+        raise ValueError(f"{path}: unknown metric types {unknown}; known: {sorted(known_types)}")
+    return presets
+
+
+def _load(path: Path):
+    text = path.read_text(encoding="utf-8")
+    if path.suffix == ".json":
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as exc:
+        raise ImportError(f"{path}: reading YAML needs PyYAML; use JSON instead") from exc
+    return yaml.safe_load(text)
+
+
 def discover_tasks(folder: str | Path) -> dict[str, TaskSpec]:
     """Task specs by file name from a folder of ``.json`` (or, where PyYAML is present, ``.yaml``) files."""
     found = {}
     for path in sorted(Path(folder).iterdir()):
-        text = path.read_text(encoding="utf-8") if path.suffix in (".json", ".yaml", ".yml") else None
-        if text is None:
+        if path.suffix not in (".json", ".yaml", ".yml"):
             continue
-        if path.suffix == ".json":
-            raw = json.loads(text)
-        else:
-            try:
-                import yaml
-            except ImportError as exc:
-                raise ImportError(f"{path}: reading YAML task specs needs PyYAML; use JSON instead") from exc
-            raw = yaml.safe_load(text)
+        raw = _load(path)
         found[path.stem] = TaskSpec.from_dict(raw)
     return found
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from scorelake.operators.aggregates import keyed_results
-from scorelake.operators.grid import new_cache_entries
+from scorelake.operators.aggregates import exact_sum, keyed_results, summable
+from scorelake.operators.grid import cache_bucket, new_cache_entries
 from scorelake.operators.ranking import last_progress
 from scorelake.schemas import RESULT_ROW, RESUME_KEYS, SUMMARY_KEYS
 from scorelake.sources.readers import path_exists
@@ -47,10 +47,11 @@ def running_summary(rows: DataFrame, accuracy: int | None = None) -> DataFrame:
         F.count_if("success").alias("success_count"),
         F.count_if("parse_applicable").alias("parse_applicable_count"),
         F.count_if(F.col("parse_applicable") & F.col("parse_success")).alias("parse_success_count"),
-        F.sum(F.col("latency_ms").cast("decimal(38,10)")).cast("double").alias("latency_ms_sum"),
+        exact_sum(F.col("latency_ms")).alias("latency_ms_sum"),
         F.sum(F.col("total_tokens").cast("bigint")).alias("total_tokens_sum"),
         F.sum(F.col("retry_count").cast("bigint")).alias("retry_count"),
-        F.round(F.sum(F.col("cost_estimate").cast("decimal(38,10)")).cast("double"), 6).alias("cost_estimate"),
+        F.count(summable(F.col("latency_ms"))).alias("latency_count"),
+        F.round(exact_sum(F.col("cost_estimate")), 6).alias("cost_estimate"),
     ]
     if accuracy:
         measures.append(F.percentile_approx("latency_ms", 0.95, accuracy).alias("p95_latency_ms_approx"))
@@ -62,7 +63,7 @@ def summary_rates(running: DataFrame) -> DataFrame:
     return running.select(
         *SUMMARY_KEYS, "request_count", "success_count",
         F.round(F.col("success_count") / n, 4).alias("success_rate"),
-        F.round(F.col("latency_ms_sum") / n, 2).alias("avg_latency_ms"),
+        F.round(F.coalesce(F.col("latency_ms_sum") / F.nullif("latency_count", F.lit(0)), F.lit(0.0)), 2).alias("avg_latency_ms"),
         F.round(F.col("total_tokens_sum") / n, 2).alias("avg_total_tokens"),
         F.round(F.coalesce(F.col("parse_success_count") / F.nullif("parse_applicable_count", F.lit(0)), F.lit(0.0)), 4).alias("parse_rate"),
         "retry_count", "cost_estimate",
@@ -70,9 +71,12 @@ def summary_rates(running: DataFrame) -> DataFrame:
 
 
 def write_complete(agg: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest state of an aggregate as a table, one overwrite per batch."""
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    """Keep the state of an aggregate as a table, one folder a batch; readers take the newest whole one with :func:`read_newest`.
+
+    A batch that fails on the way leaves the last one readable; a repeated batch writes its own folder again.
+    """
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number:012d}")
 
     return (
         agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
@@ -80,19 +84,53 @@ def write_complete(agg: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def dedup_stream(rows: DataFrame, event_time: str, delay: str, keys: list[str] = RESUME_KEYS) -> DataFrame:
-    """First row per finished key; state older than the delay is dropped."""
-    return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+def read_newest(spark: SparkSession, out: str) -> DataFrame:
+    """The last committed batch under ``out``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [str(f.getPath()) for f in fs.listStatus(root) if path_exists(spark, f"{f.getPath()}/_SUCCESS")]
+    return spark.read.parquet(max(done))
+
+
+def dedup_stream(rows: DataFrame, out: str, checkpoint: str, keys: list[str] = RESUME_KEYS) -> StreamingQuery:
+    """Append the first row of every key that ``out`` does not hold yet, however long ago it was stored.
+
+    The stored keys are read for the join only; the batch number is a partition, so a repeated batch replaces itself.
+    """
+    columns = rows.columns
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = batch.dropDuplicates(keys)
+        if path_exists(spark, out):
+            known = spark.read.schema(f"{batch.select(*keys).schema.toDDL()}, batch bigint").parquet(out).where(F.col("batch") < number)
+            first = first.join(known.select(*keys).distinct(), keys, "left_anti")
+        first.select(*columns).withColumn("batch", F.lit(number)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    return (
+        rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
+    )
 
 
 def fill_cache(calls: DataFrame, cache_path: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch's successful calls whose key the cache does not hold yet."""
+    """Append each batch's successful calls whose key the cache does not hold yet.
+
+    The cache is kept in folders by the first letters of the key, and by batch within them; only the folders that a batch
+    has keys for are read. A repeated batch replaces what it wrote.
+    """
     columns = calls.columns
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.parquet(cache_path) if path_exists(spark, cache_path) else spark.createDataFrame([], batch.schema)
-        new_cache_entries(batch, known).select(*columns).write.mode("append").parquet(cache_path)
+        fresh = batch.where("success").withColumn("bucket", cache_bucket(F.col("cache_key")))
+        if path_exists(spark, cache_path):
+            known = spark.read.schema("cache_key string, bucket string, batch bigint").parquet(cache_path).where(F.col("batch") < number)
+            fresh = new_cache_entries(fresh, known, ["bucket", "cache_key"])
+        else:
+            fresh = new_cache_entries(fresh, None, ["bucket", "cache_key"])
+        fresh.select(*columns, "bucket").withColumn("batch", F.lit(number)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(cache_path)
 
     return (
         calls.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
@@ -100,10 +138,10 @@ def fill_cache(calls: DataFrame, cache_path: str, checkpoint: str) -> StreamingQ
 
 
 def watch_progress(lines: DataFrame, keys: list[str], sink: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Hand the progress of each arriving batch of log lines to ``sink``."""
+    """Hand the progress over all log lines so far to ``sink`` after each batch that brings some."""
     return (
-        lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: sink(last_progress(batch, keys))).start()
+        last_progress(lines, keys).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).foreachBatch(lambda state, _: sink(state)).start()
     )
 
 

@@ -122,3 +122,23 @@ def test_progress(make):
     assert (row.current, row.total, row.latest_plate, row.stock_count, row.success, row.fail, row.percent, row.eta) == (3, 4, "B c", 7, 2, 1, 75.0, "0m 30s")
     empty = R.with_eta(R.last_progress(df.where("line_no = 0"), ["log"]), F.lit(90.0)).first()
     assert (empty.current, empty.total, empty.eta) == (0, 589, "计算中...")
+
+
+def test_close_values_are_spread_over_parts(spark):
+    """100,000 distinct values near 1.7e9 are cut into many parts before any of them is put in order."""
+    from scorelake.operators.order_stats import nearest_rank, values_at_ranks
+
+    df = spark.range(100_000).select(F.lit("k").alias("k"), (F.lit(1.7e9) + F.col("id") / 1000).alias("v"))
+    out = values_at_ranks(df, ["k"], {"p": (F.col("v"), nearest_rank("0.95"))})
+    assert out.first().p == 1.7e9 + 94_999 / 1000
+    ends = df.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    parts = df.groupBy(S._part(F.col("v"), F.lit(ends.lo), F.lit(ends.hi)).alias("p")).count()
+    assert parts.count() == 4096 and parts.agg(F.max("count")).first()[0] <= 30
+
+
+def test_means_leave_out_what_is_not_finite(spark):
+    from scorelake.operators.aggregates import exact_mean, finite_mean, not_finite
+
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (float("nan"),), (None,), (2.0,)], "x double")
+    row = df.agg(finite_mean(F.col("x"), 4).alias("m"), exact_mean(F.col("x")).alias("e"), not_finite(F.col("x")).alias("n")).first()
+    assert (row.m, row.e, row.n) == (1.5, 1.5, 2)

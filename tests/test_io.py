@@ -165,7 +165,7 @@ def test_stream_restart_and_dedup(spark, tmp_path):
     batch = lambda ids: spark.createDataFrame([(i, "t", "s", "m", 0) for i in ids], ddl.rsplit(",", 1)[0]).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
     for ids in (["a", "b", "a"], ["b", "c"]):
         batch(ids).coalesce(1).write.mode("append").json(landing)
-        I.finish(I.append_stream(I.dedup_stream(I.stream_folder(spark, landing, ddl), "ts", "1 hour"), out, state))
+        I.finish(I.dedup_stream(I.stream_folder(spark, landing, ddl), out, state))
     assert sorted(r.sample_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 

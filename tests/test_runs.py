@@ -124,7 +124,7 @@ def test_requests_take_step_input_first(spark, samples):
     text = P.build_requests(rows, IE, step_input="step").first().messages[-1].content
     assert '["kept"]' in text and "AAPL" in text
     plain = P.build_requests(samples, IE).orderBy("sample_id").first()
-    assert '[{"title":"title a","content":"x"}]' in plain.messages[-1].content and plain.prompt_version == "ie_json.v1"
+    assert '[{"title":"title a","content":"x"}]' in plain.messages[-1].content and plain.prompt_version == "ie_json.scorelake1"
     assert "[]" in P.build_requests(samples.drop("news_items"), IE).first().messages[-1].content
 
 
