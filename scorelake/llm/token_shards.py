@@ -136,31 +136,76 @@ class Shard:
 
 
 class WordTokenizer:
-    """Ids of whole texts as bytes, through a cache of words that is emptied when full."""
+    """Ids of whole texts as bytes, through a cache of words that is emptied when full.
 
-    def __init__(self, path: str, width: int, most_words: int = 600_000, longest: int = 64):
+    A to Z are put in lower case before the look-up, as the tokenizer would; not so in a text that may hold the name of a
+    special token, which has a case.
+    """
+
+    def __init__(self, path: str, width: int, most_words: int = 1_500_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.kind, self.most, self.longest = f"<u{width}", most_words, longest
+        self.kind, self.width, self.most, self.longest = f"<u{width}", width, most_words, longest
         self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+    def learn(self, words: list[bytes], together: int = 1000) -> dict[bytes, bytes]:
+        """Ids of new words; the shorter ones are kept, the longer ones returned."""
         own = {}
+        for at in range(0, len(words), together):
+            part = words[at:at + together]
+            coded = self.tokenizer.encode([w.decode("utf-8", "surrogatepass") for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(coded.ids, dtype=self.kind).tobytes()
+            ends = (self.width * np.searchsorted(np.array(coded.word_ids, dtype=np.int64), np.arange(1, len(part) + 1))).tolist()
+            start = 0
+            for word, end in zip(part, ends):
+                (self.known if len(word) <= self.longest else own)[word] = ids[start:end]
+                start = end
+        return own
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        get, out, open_texts, new = self.known.get, [], [], set()
+        for text in texts:
+            data = text.encode("utf-8", "surrogatepass")
+            words = (data if b"<|" in data else data.lower()).split()
+            ids = list(map(get, words))
+            if None in ids:
+                new.update([w for w, i in zip(words, ids) if i is None])
+                open_texts.append((len(out), words))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
         if new:
-            coded = self.batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-            for w, e in zip(new, coded):
-                (known if len(w) <= self.longest else own)[w] = np.array(e.ids, dtype=self.kind).tobytes()
-        if own:
-            return b"".join([own[w] if w in own else known[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+            own, known = self.learn(list(new)), self.known
+            for at, words in open_texts:
+                out[at] = b"".join([own[w] if w in own else known[w] for w in words] if own else map(known.__getitem__, words))
+        return out
+
+
+_SHARED: dict[tuple[str, int], WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str, width: int) -> WordTokenizer:
+    """The tokenizer of this Python worker, which Spark uses for one task after the other: what it has cached serves them all."""
+    if (path, width) not in _SHARED:
+        _SHARED[path, width] = WordTokenizer(path, width)
+    return _SHARED[path, width]
+
+
+def _in_parts(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
+    """Consecutive texts of about ``size`` characters together."""
+    part, total = [], 0
+    for text in texts:
+        part.append(text)
+        total += len(text)
+        if total >= size:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, width: int = 2, shard_ids: int = 2_000_000, end_id: int = END_ID) -> None:
@@ -170,13 +215,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, width: int = 2, sha
     ordered = slim.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def shards(batches):
-        code, end = WordTokenizer(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
+        code, end = worker_tokenizer(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
         partition, number = TaskContext.get().partitionId(), 0
         names, lengths, parts, total = [], [], [], 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array([shard_bytes(partition, number, names, lengths, b"".join(parts), width)[:-1]], pa.large_binary() if total * width > 2**30 else pa.binary())], ["content"])
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = code(text.as_py()) + end
+            coded = (ids for part in _in_parts(batch.column(1).to_pylist()) for ids in code(part))
+            for name, ids in zip(batch.column(0).to_pylist(), coded):
+                ids += end
                 names.append(name)
                 lengths.append(len(ids) // width)
                 parts.append(ids)
