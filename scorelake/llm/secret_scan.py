@@ -40,7 +40,11 @@ _KEYS = ("pass", "pwd", "pw", "secret", "token", "api", "key", "auth", "bearer",
 _HEX_MARK = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _SPOKEN = str.maketrans("4310@$57!", "aeloassti")
-_DATE = re.compile(r"(?:(?P<y>(?:19|20)\d\d)(?P<s>[-/._]?)(?:0?[1-9]|1[0-2])(?P=s)(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])(?P<t>[-/._]?)(?:0?[1-9]|1[0-2])(?P=t)(?P<z>(?:19|20)?\d\d)|(?P<w>(?:19|20)\d\d))")
+_DATES = (
+    re.compile(r"(?P<y>(?:19|20)\d\d)(?P<s>[-/._]?)(?:0?[1-9]|1[0-2])(?P=s)(?:0?[1-9]|[12]\d|3[01])"),
+    re.compile(r"(?:0?[1-9]|[12]\d|3[01])(?P<s>[-/._]?)(?:0?[1-9]|1[0-2])(?P=s)(?P<y>(?:19|20)\d\d|\d\d)"),
+)
+_YEAR = re.compile(r"(?:19|20)\d\d")
 BRUTE, NEXT, LONGEST_WORD = 1.0, math.log10(2), 24
 
 
@@ -101,11 +105,13 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     for a, b, cost in _walks(low) + _repeats(low, ranks):
         ends.setdefault(b, []).append((a, cost))
     for a in range(n):
-        if low[a].isdigit() and (m := _DATE.match(low, a)):
-            year = m["y"] or m["z"] or m["w"]
-            years = max(20, abs(int(year) - 2000)) if len(year) == 4 else 100
-            cost = math.log10(years) + (0 if m["w"] else math.log10(365) + (math.log10(4) if m["s"] or m["t"] else 0))
-            ends.setdefault(m.end(), []).append((a, cost))
+        if not low[a].isdigit():
+            continue
+        years = lambda y: math.log10(max(20, abs(int(y) - 2000)) if len(y) == 4 else 100)
+        if m := _YEAR.match(low, a):
+            ends.setdefault(m.end(), []).append((a, years(m[0])))
+        for m in filter(None, (p.match(low, a) for p in _DATES)):
+            ends.setdefault(m.end(), []).append((a, years(m["y"]) + math.log10(365) + (math.log10(4) if m["s"] else 0)))
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     for b in range(1, n + 1):
         start = lambda a: best[a] + (NEXT if a else 0.0)
