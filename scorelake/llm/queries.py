@@ -64,4 +64,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_pii_surrogates, op2_pitman_yor, op3_secret_scan, op4_adaptive_quality, op5_warc_segments, op6_temperature_mixing, op7_spaced_seeds,
         op8_byte_cnn, op9_token_shards, op10_simhash_groups)
 }
-CHECKS: dict[str, str] = {}
+
+# Quality rules: the measures from words and lines as lists, the sketches as counts, the fences from their quartiles.
+_FLOOR = "CASE WHEN {b} < 32 THEN {b} ELSE (32 + ({b} + 128) % 32)::BIGINT << (({b} + 128) // 32 - 5)::INTEGER END"
+_QUALITY_SQL = r"""WITH d AS (SELECT row_number() OVER () rid, doc_id, lang, source, coalesce(text, '') t FROM documents),
+ w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls FROM d),
+ g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, v) c FROM (
+  SELECT rid, i, array_to_string(ws[i:i + 4], chr(1)) v FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) i FROM w WHERE len(ws) >= 5))),
+ rep AS (SELECT rid, count(DISTINCT p) n FROM (SELECT rid, unnest(range(i, i + 5)) p FROM g WHERE c > 1) GROUP BY rid),
+ m AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT n_words, length(array_to_string(ws, ''))::BIGINT word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, coalesce(rep.n, 0)::BIGINT n_repeat_words, len(ls)::BIGINT n_lines, len(regexp_extract_all(t, '\p{Lu}'))::BIGINT n_capitals
+  FROM w LEFT JOIN rep ON w.rid = rep.rid),
+ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed FROM m),
+ r AS (SELECT rid, lang, source, unnest([{measure: 'word_length', v: 1000 * word_chars // n_words}, {measure: 'symbols', v: 1000 * n_symbols // n_words}, {measure: 'capitals', v: 1000 * n_capitals // n_words},
+  {measure: 'dup_lines', v: 1000 * n_dup_lines // n_lines}, {measure: 'repeats', v: 1000 * n_repeat_words // n_words}], recursive := true) FROM f WHERE NOT base_failed),
+ b AS (SELECT *, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 1) * 32 + ((v >> greatest(length(bin(v)) - 6, 0)::INTEGER) & 31) - 128 END bucket FROM r),
+ own AS (SELECT lang, source, measure, max(n) n, min(bucket) FILTER (upto * 4 >= n) b1, min(bucket) FILTER (upto * 4 >= n * 3) b3 FROM (
+  SELECT lang, source, measure, bucket, count(*) OVER (PARTITION BY lang, source, measure ORDER BY bucket) upto, count(*) OVER (PARTITION BY lang, source, measure) n FROM b) GROUP BY ALL),
+ bylang AS (SELECT lang, measure, max(n) n, min(bucket) FILTER (upto * 4 >= n) b1, min(bucket) FILTER (upto * 4 >= n * 3) b3 FROM (
+  SELECT lang, measure, bucket, count(*) OVER (PARTITION BY lang, measure ORDER BY bucket) upto, count(*) OVER (PARTITION BY lang, measure) n FROM b) GROUP BY ALL),
+ overall AS (SELECT measure, min(bucket) FILTER (upto * 4 >= n) b1, min(bucket) FILTER (upto * 4 >= n * 3) b3 FROM (
+  SELECT measure, bucket, count(*) OVER (PARTITION BY measure ORDER BY bucket) upto, count(*) OVER (PARTITION BY measure) n FROM b) GROUP BY ALL),
+ pick AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= 50 THEN o.b1 WHEN l.n >= 50 THEN l.b1 ELSE a.b1 END p1, CASE WHEN o.n >= 50 THEN o.b3 WHEN l.n >= 50 THEN l.b3 ELSE a.b3 END p3
+  FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN overall a ON o.measure = a.measure),
+ q AS (SELECT lang, source, measure, FLOOR1 q1, FLOOR3 q3 FROM pick),
+ z AS (SELECT lang, source, measure, CASE WHEN measure = 'word_length' THEN q1 - greatest(3 * (q3 - q1), 1500) END lo,
+  q3 + greatest(3 * (q3 - q1), CASE measure WHEN 'word_length' THEN 2500 WHEN 'symbols' THEN 150 WHEN 'capitals' THEN 600 WHEN 'dup_lines' THEN 300 ELSE 160 END) hi FROM q),
+ bad AS (SELECT DISTINCT rid FROM r JOIN z ON r.lang IS NOT DISTINCT FROM z.lang AND r.source IS NOT DISTINCT FROM z.source AND r.measure = z.measure WHERE v > hi OR v < lo)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) kept FROM f"""
+
+# WARC: the digest in base 32, five hexadecimal digits to four letters, and the page that answers for a payload.
+_WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages WHERE page_id IS NOT NULL), a AS (SELECT *, max(page_id) OVER (PARTITION BY h) answer, sha1(h) x FROM p)
+ SELECT page_id, octet_length(encode(h))::BIGINT payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (((('0x' || substr(x, (k // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (k % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), '') payload_digest,
+  CASE WHEN page_id = answer THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id <> answer THEN answer END refers_to FROM a"""
+
+CHECKS: dict[str, str] = {
+    "op4_adaptive_quality": _QUALITY_SQL.replace("FLOOR1", _FLOOR.format(b="p1")).replace("FLOOR3", _FLOOR.format(b="p3")),
+    "op5_warc_segments": _WARC_SQL,
+}
