@@ -116,8 +116,8 @@ def dedup_stream(rows: DataFrame, out: str, checkpoint: str, keys: list[str] = R
 def fill_cache(calls: DataFrame, cache_path: str, checkpoint: str) -> StreamingQuery:
     """Append each batch's successful calls whose key the cache does not hold yet.
 
-    The cache is kept in folders by the first letters of the key, and by batch within them; only the folders that a batch
-    has keys for are read. A repeated batch replaces what it wrote.
+    The cache is kept in folders by the first two letters of the key (a hex digest, so 256 at most), and by batch within them;
+    only the folders that a batch has keys for are read. A repeated batch replaces what it wrote.
     """
     columns = calls.columns
 
@@ -125,7 +125,9 @@ def fill_cache(calls: DataFrame, cache_path: str, checkpoint: str) -> StreamingQ
         spark = batch.sparkSession
         fresh = batch.where("success").withColumn("bucket", cache_bucket(F.col("cache_key")))
         if path_exists(spark, cache_path):
-            known = spark.read.schema("cache_key string, bucket string, batch bigint").parquet(cache_path).where(F.col("batch") < number)
+            touched = [row[0] for row in fresh.select("bucket").distinct().collect()]
+            known = spark.read.schema("cache_key string, bucket string, batch bigint").parquet(cache_path)
+            known = known.where((F.col("batch") < number) & F.col("bucket").isin(touched))
             fresh = new_cache_entries(fresh, known, ["bucket", "cache_key"])
         else:
             fresh = new_cache_entries(fresh, None, ["bucket", "cache_key"])
