@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.session import shared_dir
@@ -54,3 +54,32 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) ->
     """Arrow batches of few rows and bytes, since one row can hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def bucket_of(value: Column) -> Column:
+    """Log-linear bucket of a whole number of at least 0."""
+    top = F.length(F.bin(value)) - 1
+    fine = F.call_function("shiftright", value, F.greatest(top - 5, F.lit(0))).bitwiseAND(31)
+    return F.when(value < 32, value.cast("int")).otherwise((top * 32 + fine - 128).cast("int"))
+
+
+def bucket_floor(bucket: Column) -> Column:
+    """The least value of a bucket."""
+    scaled = bucket + 128
+    return F.when(bucket < 32, bucket.cast("long")).otherwise(
+        F.call_function("shiftleft", (F.lit(32) + scaled % 32).cast("long"), (F.floor(scaled / 32) - 5).cast("int")))
+
+
+def most_frequent(counts: DataFrame, k: int) -> list[Row]:
+    """The ``k`` rows of a stored table (word, n) with the largest n, ties by word.
+
+    The log-linear buckets of n tell how far down the first k reach; only rows from there on are ranked, so what comes to the
+    driver is k rows and the last bucket at most, and not k rows from every task.
+    """
+    floor, seen = 0, 0
+    buckets = counts.groupBy(bucket_of(F.col("n")).alias("b")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).collect()
+    for row in sorted(buckets, key=lambda r: -r["b"]):
+        floor, seen = row["least"], seen + row["rows"]
+        if seen >= k:
+            break
+    return counts.where(F.col("n") >= floor).orderBy(F.desc("n"), "word").limit(k).collect()

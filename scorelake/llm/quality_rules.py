@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.llm.common import col, fresh, quoted, stored, text_of
+from scorelake.llm.common import bucket_floor, bucket_of, col, fresh, quoted, stored, text_of
 
 # Measure: (value in thousandths, least slack below the lower quartile or None for no lower fence, least slack above).
 RATES: dict[str, tuple[str, int | None, int]] = {
@@ -71,20 +71,6 @@ def rates(q: str = "quality") -> dict[str, Column]:
     return out
 
 
-def bucket_of(value: Column) -> Column:
-    """Log-linear bucket of a whole number of at least 0."""
-    top = F.length(F.bin(value)) - 1
-    fine = F.call_function("shiftright", value, F.greatest(top - 5, F.lit(0))).bitwiseAND(31)
-    return F.when(value < 32, value.cast("int")).otherwise((top * 32 + fine - 128).cast("int"))
-
-
-def bucket_floor(bucket: Column) -> Column:
-    """The least value of a bucket."""
-    scaled = bucket + 128
-    return F.when(bucket < 32, bucket.cast("long")).otherwise(
-        F.call_function("shiftleft", (F.lit(32) + scaled % 32).cast("long"), (F.floor(scaled / 32) - 5).cast("int")))
-
-
 def sketches(measured_docs: DataFrame, q: str = "quality", lang: str = "lang", source: str = "source") -> DataFrame:
     """Mergeable sketches: documents per group, measure and bucket. Counts are combined before the shuffle."""
     pairs = F.array(*[F.struct(F.lit(n).alias("measure"), bucket_of(v).alias("bucket")) for n, v in rates(q).items()])

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import col, small_batches, text_of
+from scorelake.llm.common import most_frequent, small_batches, stored, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -166,7 +166,7 @@ def scan(text: str, ranks: dict[str, int], threshold: float = 10.0) -> dict:
 def word_ranks(docs: DataFrame, text: str = "text", words: int = 20_000) -> dict[str, int]:
     """Ranks, from 1, of the most frequent words of three to 24 letters a to z, counted over all texts. At most ``words`` rows come to the driver."""
     each = docs.select(F.explode(F.split(F.lower(text_of(text)), "[^a-z]+")).alias("word")).where(f"length(word) between 3 and {LONGEST_WORD}")
-    top = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
+    top = most_frequent(stored(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts"), words)
     return {row["word"]: i for i, row in enumerate(top, 1)}
 
 
