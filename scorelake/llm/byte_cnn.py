@@ -112,22 +112,34 @@ class ByteCNN:
         return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-300)
 
 
-def training_windows(labelled: DataFrame, window: int = 256, per_language: int = 1500, seed: int = 5) -> DataFrame:
-    """(lang, piece) of the sample. Spark keeps the first rows of a language within each task before it shuffles them."""
+def training_windows(labelled: DataFrame, window: int = 256, per_language: int = 1500, most_languages: int = 200, seed: int = 5) -> DataFrame:
+    """(lang, piece) of the sample: the rows with the smallest keyed hashes of each language.
+
+    Counts by language and leading 16 bits of the hash tell how far the sample reaches; only rows up to there are ranked, so
+    a dominant language sends little more than its sample.
+    """
     key = F.xxhash64(F.lit(seed), col("doc_id"))
     text = text_of()
     start = F.pmod(key, F.greatest(F.length(text) - window, F.lit(1))) + 1
     slim = labelled.where(col("lang").isNotNull()).select(
-        col("lang").cast("string").alias("lang"), key.alias("key"), text.substr(start.cast("int"), F.lit(window)).alias("piece")).where(r"piece rlike r'\p{L}'")
-    order = Window.partitionBy("lang").orderBy("key", "piece")
-    return slim.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "piece")
+        col("lang").cast("string").alias("lang"), key.alias("key"), F.shiftrightunsigned(key, 48).cast("int").alias("lead"),
+        text.substr(start.cast("int"), F.lit(window)).alias("piece")).where(r"piece rlike r'\p{L}'")
+    upto = F.sum("rows").over(Window.partitionBy("lang").orderBy("lead"))
+    leads = slim.groupBy("lang", "lead").agg(F.count(F.lit(1)).alias("rows")).withColumn("upto", upto)
+    reach = leads.groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= per_language, F.col("lead"))), F.max("lead")).alias("last"))
+    bounds = reach.limit(most_languages + 1).collect()
+    if len(bounds) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    near = F.lit(False)
+    for row in bounds:
+        near = near | ((F.col("lang") == row["lang"]) & (F.col("lead") <= row["last"]))
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("key", 1), "key", "piece")
+    return slim.where(near).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "piece")
 
 
 def train(labelled: DataFrame, per_language: int = 1500, most_languages: int = 200, **options) -> ByteCNN | None:
-    rows = training_windows(labelled, per_language=per_language).orderBy("lang", "piece").limit(per_language * most_languages + 1).toPandas()
+    rows = training_windows(labelled, per_language=per_language, most_languages=most_languages).toPandas().sort_values(["lang", "piece"])
     classes = sorted(rows["lang"].unique().tolist())
-    if len(classes) > most_languages or len(rows) > per_language * most_languages:
-        raise ValueError(f"more than {most_languages} languages")
     if not classes:
         return None
     model = ByteCNN(classes, **options)

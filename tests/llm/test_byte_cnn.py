@@ -54,3 +54,16 @@ def test_odd_rows(spark, docs_of, odd_rows, clashing):
     assert all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (1, 2) and not (text[r.doc_id] or "").strip() and r.score == 0)
     assert B.language_query(docs_of([])).count() == 0
     assert {r.lang_pred for r in B.language_query(docs_of([(1, "hello", None, "s", 1)])).collect()} == {"und"}
+
+
+def test_sample_is_bounded_and_whole_below_the_bound(spark, docs_of):
+    from collections import Counter
+
+    import pytest
+
+    df = docs_of(rows(900) + [(5000, "solo palabra", "es", "s", 1)])
+    got = Counter(r.lang for r in B.training_windows(df, per_language=50).collect())
+    assert got == {"en": 50, "de": 50, "fr": 50, "es": 1}
+    assert sorted(map(tuple, B.training_windows(df, per_language=50).collect())) == sorted(map(tuple, B.training_windows(df.repartition(7), per_language=50).collect()))
+    with pytest.raises(ValueError):
+        B.train(df, most_languages=3)
