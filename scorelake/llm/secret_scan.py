@@ -9,7 +9,7 @@ The fixed patterns find assignments, access keys and long hex runs. The method a
 * dates, at days times years from 2000, with a factor for separators,
 * repeats, at the cost of the repeated part times the number of its repeats,
 * keyboard walks and runs of neighbouring letters or digits, at starts times turns,
-* brute-force spans, at ten tries a character,
+* brute-force spans, at as many tries a character as the value's classes of characters have (10 digits, 26 small or capital letters, 33 marks, 100 others),
 
 each further segment doubling the cost. Values that are ordinary words are cheap and stay out.
 
@@ -78,7 +78,7 @@ def _row(c: str) -> str:
     return next((r for r in _ROWS if c in r), "")
 
 
-def _repeats(low: str, ranks: dict[str, int]) -> list[tuple[int, int, float]]:
+def _repeats(low: str, ranks: dict[str, int], each: float = BRUTE) -> list[tuple[int, int, float]]:
     """(start, end, cost) of parts of one to eight characters that follow themselves."""
     out, n = [], len(low)
     for width in range(1, min(8, n // 2) + 1):
@@ -90,19 +90,28 @@ def _repeats(low: str, ranks: dict[str, int]) -> list[tuple[int, int, float]]:
             count = same // width + 1
             if count >= 2 and count * width >= 3:
                 part = low[i:i + width]
-                out.append((i, i + count * width, min(width * BRUTE, math.log10(1 + ranks[part]) if part in ranks else 99.0) + math.log10(count)))
+                out.append((i, i + count * width, min(width * each, math.log10(1 + ranks[part]) if part in ranks else 99.0) + math.log10(count)))
             i += max(1, same - width + 1)
     return out
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses that the cheapest segmentation needs."""
+def character_cost(value: str) -> float:
+    """log10 of the number of characters in the classes that the value has."""
+    classes = (("0", "9", 10), ("a", "z", 26), ("A", "Z", 26))
+    plain = [sum(lo <= c <= hi for c in value) for lo, hi, _ in classes]
+    high = sum(c > "~" for c in value)
+    size = sum(n for (_, _, n), found in zip(classes, plain) if found) + (33 if sum(plain) + high < len(value) else 0) + (100 if high else 0)
+    return max(BRUTE, math.log10(max(1, size)))
+
+
+def guess_cost(value: str, ranks: dict[str, int], each: float = BRUTE) -> float:
+    """log10 of the guesses that the cheapest segmentation needs, a brute-force character at ``each``."""
     low, n = value.lower(), len(value)
     if len(low) != n:
         low = value
     spoken = low.translate(_SPOKEN)
     ends: dict[int, list[tuple[int, float]]] = {}
-    for a, b, cost in _walks(low) + _repeats(low, ranks):
+    for a, b, cost in _walks(low) + _repeats(low, ranks, each):
         ends.setdefault(b, []).append((a, cost))
     for a in range(n):
         if not low[a].isdigit():
@@ -115,7 +124,7 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     for b in range(1, n + 1):
         start = lambda a: best[a] + (NEXT if a else 0.0)
-        brute[b] = min(brute[b - 1], start(b - 1)) + BRUTE
+        brute[b] = min(brute[b - 1], start(b - 1)) + each
         found = [start(a) + cost for a, cost in ends.get(b, ())]
         for a in range(max(0, b - LONGEST_WORD), b - 2):
             plain = low[a:b]
@@ -150,7 +159,7 @@ def costly_values(text: str, taken: list[tuple[int, int, int]], ranks: dict[str,
         a, b = m.span(m.lastindex)
         while b > a and text[b - 1] in ".,;:!?)]}":
             b -= 1
-        if b - a >= 6 and not any(s < b and a < e for s, _, e in taken) and guess_cost(text[a:b], ranks) >= threshold:
+        if b - a >= 6 and not any(s < b and a < e for s, _, e in taken) and guess_cost(text[a:b], ranks, character_cost(text[a:b])) >= threshold:
             out.append((a, 3, b))
     return out
 

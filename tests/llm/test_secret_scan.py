@@ -74,6 +74,16 @@ def test_only_costly_values_are_added():
     assert [text[int(s.split(":")[1]):int(s.split(":")[2])] for s in got["spans"].split(",")] == values
 
 
+def test_short_random_values_are_added():
+    ranks = RANKS | {"sunshine": 900}
+    for value in ["xK9#mQ", "xK9#mQ2", "xK9#mQ2$", "kQ9zzW4t", "qjxkvzpw", "x7k2v9qd", "kQ!9zz#W", "q7#Lw2_pV", "Jt5vR8sXw2"]:
+        for text in (f"my pwd = {value} end", f"passphrase: {value}", f"https://user:{value}@h/"):
+            at = text.index(value)
+            assert S.scan(text, ranks)["spans"] == f"guess:{at}:{at + len(value)}", text
+    for value in ["sunshine", "Sunshine", "dr4gon", "monkeys", "dragonhorse", "14-02-1987", "19870214", "qwertyui", "123456789", "aaaaaaaa", "horse1987"]:
+        assert S.scan(f"my pwd = {value} end", ranks)["spans"] == "", value
+
+
 def test_odd_rows(spark, docs_of, odd_rows, clashing):
     rows = [*odd_rows, (8, TEXTS[2], "en", "a", 1)]
     got = S.secrets_query(docs_of(rows)).collect()
