@@ -13,6 +13,13 @@ distinct) form a star without comparison; the join keeps only pairs from differe
 not grow with the square of a cluster. Components are found by contracting each node into its least neighbour until no link is
 left, with every round stored in the shared folder.
 
+The near-duplicate stage of the pipeline (``near_dedup``) does not link fingerprints but texts whose sets of shingles have a Jaccard
+similarity of ``similarity`` or more. Candidates come from a prefix join: in any one order of all shingles, two sets of that similarity share
+one among the first n - ceil(similarity * n) + 1 of each. Shingles that a sample of texts has often come last in the order, so that stock
+phrases are seldom in a prefix; the order changes the work, never the result. Lengths and places bound the overlap, and what is left is verified
+on the whole sets. Before all pairs of a shared shingle are made, each is compared with one member for all, in ``rounds``, so that large groups of copies are settled
+by stars. No pair is lost.
+
 Defined cases: null and empty texts and texts of white space have fingerprint zero and link like any other. A text of fewer words
 than a shingle is one shingle. Repeated rows are separate rows with one class. A class is named by its least ``doc_id``;
 rows without one take part but cannot name it, and a class of only such rows has a null name. An empty table gives an empty table.
@@ -20,6 +27,8 @@ rows without one take part but cannot name it, and a class of only such rows has
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -27,22 +36,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.llm.common import col, fresh, quoted, small_batches, stored, text_of
+from scorelake.llm.common import col, fresh, most_frequent, quoted, small_batches, stored, text_of
 
 SEED = 42
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """Signed 64-bit fingerprint of one text."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Unsigned 64-bit hashes of the shingles in their order; none for a text without words."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.array([], dtype="<u8")
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1:].tolist())], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1:].tolist())], dtype="<u8")
+
+
+def fingerprint(text: str, words: int = 4) -> int:
+    """Signed 64-bit fingerprint of one text."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at:at + 65536]
@@ -128,9 +144,100 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 4, bits: int =
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
+def prefix_sets(words: int, need: Fraction, common: np.ndarray, rank: np.ndarray):
+    """UDF for the digest of a text's set of shingles, its size, and its prefix; ``common`` is sorted and has the places of those that come last."""
+    @F.pandas_udf("node long, n long, prefix array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            own = np.unique(shingle_hashes(t or "", words).view("<i8"))
+            at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
+            late = np.where(common[at] == own, rank[at], 0) if len(common) else np.zeros(len(own), dtype=np.int64)
+            n = len(own)
+            length = n - -(-need.numerator * n // need.denominator) + 1 if n else 0
+            out.append((int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("int64")), n, own[np.lexsort((own, late))[:length]].tolist()))
+        return pd.DataFrame(out, columns=["node", "n", "prefix"])
+
+    return of
+
+
+def whole_sets(words: int):
+    @F.pandas_udf("node long, shingles array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t or "", words).view("<i8")) for t in texts]
+        nodes = [int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("int64")) for own in sets]
+        return pd.DataFrame({"node": nodes, "shingles": [own.tolist() for own in sets]})
+
+    return of
+
+
+def often_seen(texts: DataFrame, words: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three or more of about ``sample`` distinct texts have, sorted, and their places by frequency; ``most`` at most."""
+    rest = max(1, texts.count() // sample)
+    some = texts.where(F.pmod("key", F.lit(rest)) == 0).groupBy("key").agg(F.min("text").alias("text"))
+    each = some.select(F.explode(whole_sets(words)(F.col("text")).getField("shingles")).alias("word"))
+    top = most_frequent(stored(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "shingle-counts"), most)
+    found = np.array([r["word"] for r in top], dtype="<i8")
+    order = np.argsort(found)
+    return found[order], len(found) - order
+
+
+def _reach(need: Fraction, shared: str, n1: str, n2: str) -> str:
+    """SQL: sets of these sizes that share so many are similar enough."""
+    return f"({shared}) * {need.denominator} >= {need.numerator} * ({n1} + {n2} - ({shared}))"
+
+
+def similar_groups(
+    docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 2, sample: int = 20_000, most_common: int = 50_000,
+) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``: the components of the pairs at Jaccard ``similarity`` or more."""
+    small_batches(docs.sparkSession)
+    need = Fraction(str(similarity))
+    texts = docs.select(col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("key", F.xxhash64("text"))
+    common, rank = often_seen(texts, words, sample, most_common)
+    rows = stored(texts.select("doc_id", "key", prefix_sets(words, need, common, rank)(F.col("text")).alias("s")).select("doc_id", "key", "s.*"), "shingle-prefixes")
+    entries = rows.select("node", "n", "key", F.posexplode("prefix").alias("at", "shingle"))
+    shared = entries.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("shingle")
+    # Copies of one set go here: an entry is a set at a shingle, with one of the texts it can be read from.
+    met = stored(entries.join(stored(shared, "shared-shingles"), "shingle").groupBy("shingle", "node").agg(
+        F.min("n").alias("n"), F.min("at").alias("at"), F.min("key").alias("key")), "shared-entries")
+    wanted = met.select("key").distinct()
+    sets = texts.join(wanted, "key", "left_semi").select(whole_sets(words)(F.col("text")).alias("s")).select("s.*")
+    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links (a, b) of clusters among candidate pairs (f1, c1, f2, c2)."""
+        both = stored(pairs.distinct(), "candidates").join(sets.toDF("f1", "s1"), "f1").join(sets.toDF("f2", "s2"), "f2")
+        alike = both.where(_reach(need, "size(array_intersect(s1, s2))", "size(s1)", "size(s2)"))
+        return alike.select(F.greatest("c1", "c2").alias("a"), F.least("c1", "c2").alias("b")).distinct()
+
+    overlap = _reach(need, "least(n1 - at1, n2 - at2)", "n1", "n2")
+    placed = stored(met.select("node").distinct().withColumn("cluster", F.col("node")), "set-clusters")
+    for turn in range(rounds + 1):
+        now = met.join(placed, "node")
+        open_ = now.groupBy("shingle").agg(
+            F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min_by(F.struct("node", "n", "at", "cluster"), F.xxhash64("node", F.lit(turn))).alias("one")).where("lo < hi")
+        if turn < rounds:
+            pairs = now.join(open_.select("shingle", "one"), "shingle").select(
+                F.col("node").alias("f1"), F.col("cluster").alias("c1"), F.col("n").alias("n1"), F.col("at").alias("at1"),
+                F.col("one.node").alias("f2"), F.col("one.cluster").alias("c2"), F.col("one.n").alias("n2"), F.col("one.at").alias("at2"))
+            pairs = pairs.where(f"c1 <> c2 and {overlap}")
+        else:
+            rest = stored(now.join(open_.select("shingle"), "shingle").select("shingle", "node", "cluster", "n", "at"), "open-entries")
+            left, right = rest.toDF("shingle", "f1", "c1", "n1", "at1"), rest.toDF("shingle", "f2", "c2", "n2", "at2")
+            pairs = left.join(right, "shingle").where(f"f1 < f2 and c1 <> c2 and {overlap}")
+        links = stored(verified(pairs.select("f1", "c1", "f2", "c2")), "set-links")
+        if not links.isEmpty():
+            roots = components(links).toDF("cluster", "top")
+            placed = stored(placed.join(roots, "cluster", "left").select("node", F.coalesce("top", "cluster").alias("cluster")), "set-clusters")
+    final = rows.select("doc_id", "node").join(placed, "node", "left").select("doc_id", F.coalesce("cluster", "node").alias("root"))
+    final = stored(final, "set-classes")
+    return final.join(final.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group: the one with the least ``doc_id``. Rows without an id are kept; of rows that share an id one stays."""
-    keep = near_groups(docs, words=words, bits=bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    keep = similar_groups(docs, words=words, similarity=similarity).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     keep = stored(keep, "kept-ids")
     first = fresh(docs, "nth")
     found = docs.join(keep, col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")

@@ -106,3 +106,49 @@ def test_dedup_keeps_one_of_each_group(spark, docs_of, odd_rows, clashing):
     out = S.near_dedup(df)
     assert out.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 1), (False, 4), (False, 5), (False, 7), (False, 20), (False, 22), (True, 0)]
+
+
+def shingles(text, words=5):
+    w = text.lower().split()
+    return {" ".join(w[i:i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def jaccard_least(docs, share=(4, 5)):
+    """Least id of each document's component of pairs at the similarity, over every pair."""
+    sets, least = {i: shingles(t) for i, t in docs}, {i: i for i, _ in docs}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * share[1] >= share[0] * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    return least
+
+
+def test_dedup_finds_every_pair_of_the_similarity(spark, docs_of):
+    """Short and long texts with one to some words changed, a common line, a group of copies, and chains."""
+    rng = random.Random(11)
+    rows, line = [], prose(rng, 30)
+    for n in (8, 30, 60, 120, 200, 400):
+        for k in range(8):
+            words = prose(rng, n).split()
+            rows.append(" ".join(words))
+            for changes in (1, 2, 3, 5):
+                w = list(words)
+                for at in rng.sample(range(n), min(changes, n)):
+                    w[at] = f"x{rng.random()}"
+                rows.append(" ".join(w))
+            rows.append(" ".join(words) + " " + line)
+    body = prose(rng, 150).split()
+    for k in range(40):
+        w = list(body)
+        w[rng.randrange(150)] = f"y{k}"
+        rows.append(" ".join(w))
+    docs = list(enumerate(rows, 1))
+    least = jaccard_least(docs)
+    for options in ({}, {"rounds": 0}):
+        got = {r.doc_id: r.component_id for r in S.similar_groups(docs_of([(i, t, "en", "a", 1) for i, t in docs]), **options).collect()}
+        assert got == least
+    assert {r.doc_id for r in S.near_dedup(docs_of([(i, t, "en", "a", 1) for i, t in docs])).collect()} == set(least.values())
