@@ -10,8 +10,11 @@ Document seeds are made, probed and dropped within one stage: the distinct bench
 ``most_broadcast``; above it the same join is left to Spark. Only hits are shuffled. Texts are read again for the documents
 with hits only.
 
-Defined cases: null and empty texts have no seeds. Items with fewer tokens than the shortest mask span have none either and are not
-searched. Rows without a ``doc_id`` or ``item_id`` cannot be reported and are not searched. Repeated documents or items give the same
+No accepted overlap is without a hit: the masks of a full window are tested against every choice of places that may differ. Items
+shorter than the window are seeded by blocks, down to whole items of four or three tokens. Items of one or two tokens are words, not passages, and are
+not searched.
+
+Defined cases: null and empty texts have no seeds. Rows without a ``doc_id`` or ``item_id`` cannot be reported and are not searched. Repeated documents or items give the same
 result as one. An item that agrees in several places is reported once, at its best place (most equal tokens, then the first).
 """
 
@@ -22,8 +25,19 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.common import col, quoted, stored, text_of
 
-# Eight tokens each, under spans of up to twelve.
-MASKS = ("111010010111", "110110111001", "101100111011", "11111111")
+# Every way in which 13 of 16 places agree leaves one of these whole: eight tokens each.
+WIDE = (
+    "111010010111", "110110111001", "101100111011", "11111111", "1101011001011", "11110001111",
+    "1110010001111", "11001101111", "111101111",
+)
+MASKS = (*WIDE, "1111", "111", "11")
+LEAST_ITEM = 3
+
+
+def masks_for(span: int, share: float) -> tuple[str, ...]:
+    """Masks of which every accepted pattern of ``span`` places leaves one whole: where n places may differ, one of n + 1 blocks is equal."""
+    differ = max(k for k in range(span + 1) if span - k >= span * share)
+    return WIDE if span == 16 and differ <= 3 else ("1" * (span // (differ + 1)),)
 
 
 def token_hashes(text: Column) -> Column:
@@ -31,12 +45,12 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""), lambda t: F.xxhash64(t))
 
 
-def seeds(df: DataFrame, tokens: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """``df`` with a row per position ``at`` and mask whose span fits, and its ``seed``. ``tokens`` is an array column."""
+def seeds(df: DataFrame, tokens: str, masks: tuple[str, ...] = MASKS, when: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with a row per position ``at`` and mask whose span fits, and its ``seed``. ``tokens`` is an array column; ``when`` has conditions of masks."""
     keys = []
-    for number, mask in enumerate(masks):
+    for mask in masks:
         ones = ", ".join(f"get({tokens}, at + {i})" for i, bit in enumerate(mask) if bit == "1")
-        keys.append(f"if(at + {len(mask)} <= n_tokens, xxhash64({number}, {ones}), null)")
+        keys.append(f"if(at + {len(mask)} <= n_tokens and {(when or {}).get(mask, 'true')}, xxhash64('{mask}', {ones}), null)")
     short = min(len(m) for m in masks)
     placed = (
         df.withColumn("n_tokens", F.size(tokens)).where(F.col("n_tokens") >= short)
@@ -46,13 +60,22 @@ def seeds(df: DataFrame, tokens: str, masks: tuple[str, ...] = MASKS) -> DataFra
 
 
 def overlaps(
-    docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 16, share: float = 0.8, most_broadcast: int = 2_000_000,
+    docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] | None = None, window: int = 16, share: float = 0.8, most_broadcast: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, doc_start, doc_end, n_equal, n_compared) of each contaminated document and item, in token positions."""
     items = stored(
         benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), token_hashes(text_of()).alias("item_tokens"))
-        .dropDuplicates(["item_id", "item_tokens"]), "benchmark-tokens")
-    item_seeds = stored(seeds(items, "item_tokens", masks).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "benchmark-seeds")
+        .where(f"size(item_tokens) >= {LEAST_ITEM}").dropDuplicates(["item_id", "item_tokens"]), "benchmark-tokens")
+    when = {}
+    if masks is None:
+        # Masks by the number of places that must agree; short ones are laid only if there are items that need them.
+        present = items.select(F.least(F.lit(window), F.size("item_tokens")).alias("span")).distinct().collect()
+        spans = {}
+        for span in sorted({row["span"] for row in present} or {window}):
+            for mask in masks_for(span, share):
+                spans.setdefault(mask, []).append(str(span))
+        masks, when = tuple(spans), {mask: f"least({window}, n_tokens) in ({', '.join(of)})" for mask, of in spans.items()}
+    item_seeds = stored(seeds(items, "item_tokens", masks, when).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "benchmark-seeds")
     keys = stored(item_seeds.select("seed").distinct().coalesce(1), "benchmark-keys")
     if keys.count() <= most_broadcast:
         keys = F.broadcast(keys)

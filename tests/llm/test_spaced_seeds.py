@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -62,3 +63,34 @@ def test_filter_and_odd_rows(spark, docs_of, odd_rows, clashing):
     out = S.decontaminated(df, bench)
     assert out.columns == df.columns and out.count() == len(odd_rows) and out.where("doc_id = 30").count() == 0
     assert S.overlaps(docs_of(rows), bench.limit(0)).count() == 0 and S.overlaps(docs_of([]), bench).count() == 0
+
+
+def test_masks_hit_every_accepted_pattern():
+    for span in range(S.LEAST_ITEM, 17):
+        masks = S.masks_for(span, 0.8)
+        assert set(masks) <= set(S.MASKS)
+        differ = max(k for k in range(span + 1) if span - k >= 0.8 * span)
+        for places in itertools.combinations(range(span), differ):
+            assert any(all(m == "0" or k + o not in places for o, m in enumerate(mask)) for mask in masks for k in range(span - len(mask) + 1)), (span, places)
+
+
+def test_short_and_changed_items_are_found(spark):
+    """Every alignment, with and without a seed: all places of two or three changed words, and items down to three tokens."""
+    rng = random.Random(6)
+    items = [(i, prose(rng, n)) for i, n in enumerate([3, 4, 5, 6, 7, 8, 10, 12, 16, 20])]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        differ = max(k for k in range(17) if len(words[:16]) - k >= 0.8 * len(words[:16]))
+        for places in itertools.islice(itertools.combinations(range(len(words[:16])), differ), 0, None, 9):
+            docs.append((len(docs), "qq ww " + " ".join("zzz" if k in places else w for k, w in enumerate(words)) + " ee"))
+    got = {(r.doc_id, r.item_id) for r in S.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for d, text in docs:
+        a = tokens(text)
+        for i, item in items:
+            b = tokens(item)
+            span = min(16, len(b))
+            if any(sum(a[x + k] == b[y + k] for k in range(span)) >= 0.8 * span for x in range(len(a) - span + 1) for y in range(len(b) - span + 1)):
+                want.add((d, i))
+    assert got == want and {i for _, i in got} == {i for i, _ in items}
