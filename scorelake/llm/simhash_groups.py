@@ -13,8 +13,8 @@ distinct) form a star without comparison; the join keeps only pairs from differe
 not grow with the square of a cluster. Components are found by contracting each node into its least neighbour until no link is
 left, with every round stored in the shared folder.
 
-The near-duplicate stage of the pipeline (``near_dedup``) does not link fingerprints but texts whose sets of shingles have a Jaccard
-similarity of ``similarity`` or more. Candidates come from a prefix join: in any one order of all shingles, two sets of that similarity share
+The near-duplicate stage of the pipeline (``near_dedup``) first links texts whose sets of shingles have a Jaccard
+similarity of ``similarity`` or more, and then the fingerprints of those that stay. Candidates come from a prefix join: in any one order of all shingles, two sets of that similarity share
 one among the first n - ceil(similarity * n) + 1 of each. Shingles that a sample of texts has often come last in the order, so that stock
 phrases are seldom in a prefix; the order changes the work, never the result. Lengths and places bound the overlap, and what is left is verified
 on the whole sets. Before all pairs of a shared shingle are made, each is compared with one member for all, in ``rounds``, so that large groups of copies are settled
@@ -56,7 +56,10 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 def fingerprint(text: str, words: int = 4) -> int:
     """Signed 64-bit fingerprint of one text."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     total = np.zeros(64, dtype=np.int64)
@@ -133,6 +136,11 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 4, bits: int =
     """(doc_id, fp, component_id) for every row of ``docs``."""
     small_batches(docs.sparkSession)
     rows = stored(docs.select(col("doc_id").cast("long").alias("doc_id"), fingerprints(words)(text_of(text)).alias("fp")), "fingerprints")
+    return fingerprint_groups(rows, bits)
+
+
+def fingerprint_groups(rows: DataFrame, bits: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id) for every stored row (doc_id, fp)."""
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     clusters = components(stars(nodes.select("fp")))
     placed = stored(nodes.join(clusters.toDF("fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("cluster")), "clusters")
@@ -145,18 +153,19 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 4, bits: int =
 
 
 def prefix_sets(words: int, need: Fraction, common: np.ndarray, rank: np.ndarray):
-    """UDF for the digest of a text's set of shingles, its size, and its prefix; ``common`` is sorted and has the places of those that come last."""
-    @F.pandas_udf("node long, n long, prefix array<long>")
+    """UDF for a text's fingerprint, the digest of its set of shingles, its size, and its prefix; ``common`` is sorted and has the places of those that come last."""
+    @F.pandas_udf("fp long, node long, n long, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            own = np.unique(shingle_hashes(t or "", words).view("<i8"))
+            hashes = shingle_hashes(t or "", words)
+            own = np.unique(hashes.view("<i8"))
             at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
             late = np.where(common[at] == own, rank[at], 0) if len(common) else np.zeros(len(own), dtype=np.int64)
             n = len(own)
             length = n - -(-need.numerator * n // need.denominator) + 1 if n else 0
-            out.append((int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("int64")), n, own[np.lexsort((own, late))[:length]].tolist()))
-        return pd.DataFrame(out, columns=["node", "n", "prefix"])
+            out.append((majority(hashes), int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("int64")), n, own[np.lexsort((own, late))[:length]].tolist()))
+        return pd.DataFrame(out, columns=["fp", "node", "n", "prefix"])
 
     return of
 
@@ -190,7 +199,7 @@ def _reach(need: Fraction, shared: str, n1: str, n2: str) -> str:
 def similar_groups(
     docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 2, sample: int = 20_000, most_common: int = 50_000,
 ) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``: the components of the pairs at Jaccard ``similarity`` or more."""
+    """(doc_id, fp, component_id) for every row of ``docs``: the components of the pairs at Jaccard ``similarity`` or more."""
     small_batches(docs.sparkSession)
     need = Fraction(str(similarity))
     texts = docs.select(col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("key", F.xxhash64("text"))
@@ -230,14 +239,17 @@ def similar_groups(
         if not links.isEmpty():
             roots = components(links).toDF("cluster", "top")
             placed = stored(placed.join(roots, "cluster", "left").select("node", F.coalesce("top", "cluster").alias("cluster")), "set-clusters")
-    final = rows.select("doc_id", "node").join(placed, "node", "left").select("doc_id", F.coalesce("cluster", "node").alias("root"))
+    final = rows.select("doc_id", "fp", "node").join(placed, "node", "left").select("doc_id", "fp", F.coalesce("cluster", "node").alias("root"))
     final = stored(final, "set-classes")
-    return final.join(final.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    return final.join(final.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group: the one with the least ``doc_id``. Rows without an id are kept; of rows that share an id one stays."""
-    keep = similar_groups(docs, words=words, similarity=similarity).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+def near_dedup(docs: DataFrame, words: int = 5, bits: int = 4, similarity: float = 0.8) -> DataFrame:
+    """One document of each group at ``similarity``, and of those that then stay one of each group at ``bits``: the one with the least ``doc_id``.
+    Rows without an id are kept; of rows that share an id one stays."""
+    first = similar_groups(docs, words=words, similarity=similarity).where("doc_id is null or doc_id = component_id")
+    groups = fingerprint_groups(stored(first.select("doc_id", "fp").distinct(), "similar-kept"), bits)
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     keep = stored(keep, "kept-ids")
     first = fresh(docs, "nth")
     found = docs.join(keep, col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
