@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scorelake.llm.byte_bpe import bpe_query
 from scorelake.llm.byte_cnn import language_query
 from scorelake.llm.common import table
 from scorelake.llm.pitman_yor import language_model_query
@@ -59,10 +60,14 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_query(table(spark, folder, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_query(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_surrogates, op2_pitman_yor, op3_secret_scan, op4_adaptive_quality, op5_warc_segments, op6_temperature_mixing, op7_spaced_seeds,
-        op8_byte_cnn, op9_token_shards, op10_simhash_groups)
+        op8_byte_cnn, op9_token_shards, op10_simhash_groups, op13_byte_bpe)
 }
 
 # Quality rules: the measures from words and lines as lists, the sketches as counts, the fences from their quartiles.
