@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scorelake.llm.byte_bpe import bpe_query
 from scorelake.llm.byte_cnn import language_query
 from scorelake.llm.common import table
+from scorelake.llm.merkle import verified
 from scorelake.llm.pitman_yor import language_model_query
 from scorelake.llm.quality_rules import quality_query
 from scorelake.llm.secret_scan import secrets_query
@@ -18,6 +19,7 @@ from scorelake.llm.spaced_seeds import decontamination_query
 from scorelake.llm.surrogates import surrogate_query
 from scorelake.llm.token_shards import token_output
 from scorelake.llm.warc_segments import warc_query
+from scorelake.llm.whitening import whitening_query
 
 
 def op1_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,6 +62,14 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_query(table(spark, folder, "documents"))
 
 
+def op11_weighted_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening_query(table(spark, folder, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return verified(table(spark, folder, "documents"), keep_proof=False)
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_query(table(spark, folder, "documents"))
 
@@ -67,7 +77,8 @@ def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_surrogates, op2_pitman_yor, op3_secret_scan, op4_adaptive_quality, op5_warc_segments, op6_temperature_mixing, op7_spaced_seeds,
-        op8_byte_cnn, op9_token_shards, op10_simhash_groups, op13_byte_bpe)
+        op8_byte_cnn, op9_token_shards, op10_simhash_groups, op11_weighted_whitening, op12_merkle_manifest,
+        op13_byte_bpe)
 }
 
 # Quality rules: the measures from words and lines as lists, the sketches as counts, the fences from their quartiles.
@@ -105,7 +116,38 @@ _WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages WHERE
   (((('0x' || substr(x, (k // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (k % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), '') payload_digest,
   CASE WHEN page_id = answer THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id <> answer THEN answer END refers_to FROM a"""
 
+
+def _merkle_sql(levels: int = 16) -> str:
+    """Merkle manifest: per tree the lists of all levels, then the siblings and the folded digest level by level; up to 3^levels nodes a tree."""
+    field = "coalesce(octet_length(encode({0}))::VARCHAR||':'||{0}, '-')"
+    fields = [field.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR")]
+    leaf = lambda text: "sha256(" + "||".join([*fields, field.format(text)]) + ")"
+    # CRC-32 of the digits, bit by bit; only its lowest bit is asked for.
+    byte = "list_reduce(list_concat([xor(crc, ascii(c)::BIGINT)], range(8)), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    digits = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)"
+    crc = f"xor(list_reduce(list_concat([4294967295], {digits}), lambda crc, c: {byte.replace('ascii(c)::BIGINT', 'c')}), 4294967295)"
+    nodes = lambda l: f"CASE WHEN len({l}) = 1 THEN {l} ELSE list_transform(range(0, (len({l}) + 2) // 3), lambda i: sha256(array_to_string({l}[3 * i + 1:3 * i + 3], ''))) END"
+    out = [f"""WITH d AS (SELECT doc_id, source, coalesce('+'||source, '') tree, {leaf('text')} leaf,
+     CASE WHEN doc_id IS NOT NULL AND {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END tampered FROM documents),
+     r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rnk FROM d),
+     s0 AS (SELECT tree, list(leaf ORDER BY rnk) l0 FROM r GROUP BY tree)"""]
+    out += [f"s{k + 1} AS (SELECT *, {nodes(f'l{k}')} l{k + 1} FROM s{k})" for k in range(levels)]
+    out.append(f"subs AS (SELECT *, l{levels}[1] subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS srnk FROM s{levels})")
+    out.append("t0 AS (SELECT list(subroot ORDER BY srnk) h0 FROM subs)")
+    out += [f"t{k + 1} AS (SELECT *, {nodes(f'h{k}')} h{k + 1} FROM t{k})" for k in range(levels)]
+    out.append(f"f0 AS (SELECT r.doc_id, r.leaf, subs.subroot, t.h{levels}[1] root, r.tampered fold, '' proof, r.rnk, subs.srnk, {', '.join(f'l{k}, h{k}' for k in range(levels))} FROM r JOIN subs USING (tree) CROSS JOIN t{levels} t)")
+    number = 0
+    for kind, rank in (("l", "rnk"), ("h", "srnk")):
+        for k in range(levels):
+            place = f"({rank} // {3 ** k})"
+            before, after = (f"array_to_string({kind}{k}[{a}:{b}], '')" for a, b in ((f"{place} // 3 * 3 + 1", place), (f"{place} + 2", f"{place} // 3 * 3 + 3")))
+            out.append(f"f{number + 1} AS (SELECT * REPLACE (CASE WHEN len({kind}{k}) = 1 THEN fold ELSE sha256({before}||fold||{after}) END AS fold, CASE WHEN len({kind}{k}) = 1 THEN proof ELSE proof||{before}||{after} END AS proof) FROM f{number})")
+            number += 1
+    return ", ".join(out) + f" SELECT doc_id, leaf, subroot, root, sha256(proof) proof_sha256, fold folded_root, fold = root AS verified FROM f{number}"
+
+
 CHECKS: dict[str, str] = {
+    "op12_merkle_manifest": _merkle_sql(),
     "op4_adaptive_quality": _QUALITY_SQL.replace("FLOOR1", _FLOOR.format(b="p1")).replace("FLOOR3", _FLOOR.format(b="p3")),
     "op5_warc_segments": _WARC_SQL,
 }
