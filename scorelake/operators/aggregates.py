@@ -16,7 +16,7 @@ from scorelake.operators.order_stats import (
 )
 from scorelake.schemas import STEP_TASK, SUMMARY_KEYS, SUMMARY_SCHEMA_VERSION
 
-_EXACT = "decimal(38,10)"
+EXACT = "decimal(38,10)"
 
 
 def summable(c: Column) -> Column:
@@ -27,7 +27,7 @@ def summable(c: Column) -> Column:
 
 def exact_sum(c: Column) -> Column:
     """Sum of the summable values, whatever the order of rows; 0 for no rows. For money and latency."""
-    return F.coalesce(F.sum(summable(c).cast(_EXACT)).cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(summable(c).cast(EXACT)).cast("double"), F.lit(0.0))
 
 
 def exact_mean(c: Column) -> Column:

@@ -110,6 +110,31 @@ def values_at_ranks(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Colu
     )
 
 
+# Buckets per doubling of the value in a mergeable sketch: neighbouring values of one bucket differ by at most one part in 32.
+_SKETCH_BITS = 5
+
+
+def sketch_bucket(value: Column) -> Column:
+    """Log-linear bucket of a number to three digits after the point, growing with the number; null without a value.
+
+    Buckets of separate rows are counted apart and the counts added, so the sketch of a whole is the sum of its parts'. Whole-number
+    steps only: the bucket is the same on every machine.
+    """
+    units = F.floor(F.abs(value) * 1000)
+    top = F.length(F.bin(units)) - 1
+    fine = F.call_function("shiftright", units, F.greatest(top - _SKETCH_BITS, F.lit(0))).bitwiseAND((1 << _SKETCH_BITS) - 1)
+    step = F.when(units < 1 << _SKETCH_BITS, units.cast("int")).otherwise(((top - _SKETCH_BITS + 1) * (1 << _SKETCH_BITS) + fine).cast("int"))
+    return F.when(value < 0, -step - 1).otherwise(step)
+
+
+def sketch_bounds(sketch: DataFrame, keys: list[str], count: str, lo: str, hi: str, rank: Rank, bucket: str = "bucket") -> DataFrame:
+    """(keys, low, high): least and greatest value of the bucket that holds the value of a rank. A key's window holds its buckets only."""
+    whole = Window.partitionBy(*keys)
+    upto = F.sum(count).over(whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = sketch.withColumns({"_upto": upto, "_rank": rank(F.sum(count).over(whole))})
+    return placed.where(f"_rank <= _upto and _rank > _upto - {count}").select(*keys, F.col(lo).alias("low"), F.col(hi).alias("high"))
+
+
 def percentiles(df: DataFrame, keys: list[str], value: Column, probs: dict[str, str]) -> DataFrame:
     """Linearly interpolated percentiles ``{out: q}`` per key."""
     wanted: dict[str, tuple[Column, Rank]] = {"_count": (value, lambda n: n)}

@@ -16,6 +16,7 @@ from scorelake.schemas import MODEL_FILE
 from scorelake.session import shared_dir, stored_once
 from scorelake.sources import readers as S
 from scorelake.sources import writers as W
+from scorelake.sources.versions import TableGroup
 
 
 @query("src_samples", "SELECT sample_id, body, lang, gt_quality FROM v_samples", ("v_samples",))
@@ -283,7 +284,19 @@ def snk_upsert_plates(t: Tables):
     W.upsert_plates(t.spark, folder, {
         "plates": falling, "stocks": new, "industrial_chains": of(t.chains, falling), "question_answers": of(t.answers, falling),
     })
-    return W.read_upserted(t.spark, f"{folder}/stocks", "plate_id")
+    return W.read_plates(t.spark, folder)["stocks"]
+
+
+@query("snk_versions", """SELECT 1 AS version, 'stocks' AS "table", count(*) n FROM v_stocks UNION ALL SELECT 1, 'plates', count(*) FROM v_plates
+ UNION ALL SELECT 2, 'plates', count(*) FROM v_plates UNION ALL SELECT 2, 'stocks', count(*) FILTER (coalesce(avg_pcp, 1) >= 0) FROM v_stocks JOIN v_plates ON id = plate_id""", ("v_stocks", "v_plates"))
+def snk_versions(t: Tables):
+    """Falling plates lose their stocks in a second version; both versions are read after it."""
+    group = TableGroup(t.spark, shared_dir(t.spark, "versions"))
+    falling = t.plates.where("avg_pcp < 0")
+    first = group.replace({"plates": (t.plates, "id", None), "stocks": (t.stocks, "plate_id", None)})
+    second = group.replace({"plates": (falling, "id", None), "stocks": (t.stocks.limit(0), "plate_id", falling.select("id"))})
+    named = [group.read(name, v).select(F.lit(v).alias("version"), F.lit(name).alias("table")) for v in (first, second) for name in ("plates", "stocks")]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3]).groupBy("version", "table").agg(F.count("*").alias("n"))
 
 
 @query("snk_upsert_newest", "SELECT p_partkey plate_id, 'N'||(p_partkey*10+k)::VARCHAR symbol FROM part, LATERAL (SELECT unnest(range(1, p_size%5+2)) k) WHERE p_partkey%10<>0")
@@ -294,7 +307,7 @@ def snk_upsert_newest(t: Tables):
     both = t.payloads.withColumn("landed", F.lit(1)).unionByName(t.payloads.withColumns({"landed": F.lit(2), "data": F.col("data").withField("stocks", renamed)}))
     newest = stored_once(S.newest_payloads(both, "landed"), "payloads")
     W.upsert_plates(t.spark, folder, S.split_payloads(newest, F.lit("2026-01-01 00:00:00")))
-    return W.read_upserted(t.spark, f"{folder}/stocks", "plate_id").select("plate_id", "symbol")
+    return W.read_plates(t.spark, folder)["stocks"].select("plate_id", "symbol")
 
 
 @query("chk_api_key", "SELECT s_name model_id FROM supplier WHERE s_suppkey%4=0")

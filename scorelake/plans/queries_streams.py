@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorelake.operators.grid import literal_rows
 from scorelake.plans.adapters import Tables, results_from_events
 from scorelake.plans.queries_stats import _RATE
 from scorelake.plans.registry import query
@@ -17,13 +18,26 @@ def _events(t: Tables):
     return I.stream_folder(t.spark, t.folder, schema, "parquet", name_glob="events.parquet")
 
 
-def _batches(t: Tables):
-    """The events table arriving in three batches, each a third of the rows."""
+def _arriving(t: Tables, parts):
+    """The events table arriving in batches, one after the other; a trigger takes as many files as the largest batch has."""
     landing = shared_dir(t.spark, "landing")
-    events = t.table("events")
-    for part in range(3):
-        events.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(landing)
-    return I.stream_folder(t.spark, landing, events.schema, "parquet", files_per_trigger=1)
+    events, files = t.table("events"), [0]
+    for part in parts:
+        events.where(part).write.mode("append").parquet(landing)
+        files.append(len(t.spark.read.schema(events.schema).parquet(landing).inputFiles()))
+    most = max(b - a for a, b in zip(files, files[1:]))
+    return I.stream_folder(t.spark, landing, events.schema, "parquet", files_per_trigger=max(1, most))
+
+
+def _batches(t: Tables):
+    """Three batches, each a third of the rows."""
+    return _arriving(t, [F.col("event_id") % 3 == part for part in range(3)])
+
+
+def _in_time(t: Tables):
+    """Batches of ten days in the order of their days."""
+    day = F.dayofmonth("ts")
+    return _arriving(t, [day <= 10, (day > 10) & (day <= 20), day > 20])
 
 
 @query("stm_results", "SELECT sample_id, repeat_idx, success, error FROM v_results", ("v_results",))
@@ -34,21 +48,45 @@ def stm_results(t: Tables):
     return t.spark.read.schema(rows.schema).parquet(out)
 
 
-@query("stm_running_summary", f"""SELECT task_name, model_id, step_id, count(*) request_count, count(*) FILTER (success) success_count, round(count(*) FILTER (success)/count(*)::DOUBLE,4) success_rate,
- round(sum(latency_ms::DECIMAL(38,10))::DOUBLE/count(*),2) avg_latency_ms, round(sum(total_tokens)::DOUBLE/count(*),2) avg_total_tokens, {_RATE} parse_rate, sum(retry_count)::BIGINT retry_count, 0.0::DOUBLE cost_estimate
- FROM v_results GROUP BY 1,2,3""", ("v_results",))
+_BUCKET = "CASE WHEN u < 32 THEN u ELSE (length(bin(u)) - 1 - 4) * 32 + ((u >> (length(bin(u)) - 1 - 5)) & 31) END"
+
+
+@query("stm_running_summary", f""", b AS (SELECT *, {_BUCKET} bucket FROM (SELECT *, floor(latency_ms*1000)::BIGINT u FROM v_results)),
+ q AS (SELECT *, row_number() OVER (PARTITION BY task_name, model_id, step_id ORDER BY latency_ms) rnk, count(*) OVER (PARTITION BY task_name, model_id, step_id) n FROM b),
+ p AS (SELECT task_name, model_id, step_id, bucket, latency_ms exact FROM q WHERE rnk = ceil(0.95::DECIMAL(6,4)*n)),
+ e AS (SELECT p.task_name, p.model_id, p.step_id, min(b.latency_ms) p95_low, max(b.latency_ms) p95_high, min(b.latency_ms) <= any_value(p.exact) AND any_value(p.exact) <= max(b.latency_ms) AS holds FROM p JOIN b USING (task_name, model_id, step_id, bucket) GROUP BY 1,2,3)
+ SELECT task_name, model_id, step_id, count(*) request_count, count(*) FILTER (success) success_count, round(count(*) FILTER (success)/count(*)::DOUBLE,4) success_rate,
+ round(sum(latency_ms::DECIMAL(38,10))::DOUBLE/count(*),2) avg_latency_ms, any_value(p95_low) p95_low, any_value(p95_high) p95_high, any_value(holds) p95_close, round(sum(total_tokens)::DOUBLE/count(*),2) avg_total_tokens, {_RATE} parse_rate, sum(retry_count)::BIGINT retry_count, 0.0::DOUBLE cost_estimate
+ FROM v_results JOIN e USING (task_name, model_id, step_id) GROUP BY 1,2,3""", ("v_results",))
 def stm_running_summary(t: Tables):
+    """The state after three batches; the SQL takes p95's bucket from the exact p95."""
     out = shared_dir(t.spark, "stream-out")
-    I.finish(I.write_complete(I.running_summary(results_from_events(_events(t))), out, shared_dir(t.spark, "stream-state")))
-    return I.summary_rates(I.read_newest(t.spark, out))
+    I.finish(I.write_complete(I.running_summary(results_from_events(_batches(t))), out, shared_dir(t.spark, "stream-state")))
+    rates = I.summary_rates(I.read_newest(t.spark, out))
+    return rates.withColumn("p95_close", F.col("p95_high") - F.col("p95_low") <= F.greatest(F.col("p95_high") / 32, F.lit(0.001)))
 
 
-@query("stm_dedup", "SELECT DISTINCT sample_id, task_name, model_id FROM v_results", ("v_results",))
+@query("stm_dedup", "SELECT DISTINCT sample_id, task_name, model_id, ts::DATE AS day FROM v_results", ("v_results",))
 def stm_dedup(t: Tables):
-    rows = results_from_events(_batches(t)).select("sample_id", "task_name", "model_id")
+    """One row of each sample, task, model and day from batches in time; keys are held for two days."""
+    keys = ["sample_id", "task_name", "model_id", "day"]
+    rows = results_from_events(_in_time(t)).withColumn("day", F.to_date("ts")).select(*keys, "ts")
     out = shared_dir(t.spark, "stream-out")
-    I.finish(I.dedup_stream(rows, out, shared_dir(t.spark, "stream-state"), ["sample_id", "task_name", "model_id"]))
-    return t.spark.read.parquet(out).select(*rows.columns)
+    I.finish(I.dedup_stream(rows, out, shared_dir(t.spark, "stream-state"), keys, "ts", "2 days"))
+    return t.spark.read.schema(rows.schema).parquet(out).select(*keys)
+
+
+@query("stm_dedup_counts", """WITH d AS (SELECT (day(ts)-1)//10 batch, ts FROM events), s AS (SELECT max(ts) seen FROM d WHERE batch=0)
+ SELECT (SELECT count(*) FROM d) + count(*) AS "rows", count(*) FILTER (ts <= date_trunc('millisecond', seen) - INTERVAL 2 DAY) late FROM d, s WHERE batch=0""")
+def stm_dedup_counts(t: Tables):
+    """The first ten days arrive once more after the second batch: what of them is behind the watermark, which the batch before started with, is late."""
+    day = F.dayofmonth("ts")
+    stream = _arriving(t, [day <= 10, (day > 10) & (day <= 20), day <= 10, day > 20])
+    rows = results_from_events(stream).withColumn("day", F.to_date("ts")).select("sample_id", "task_name", "model_id", "day", "ts")
+    run = I.dedup_stream(rows, shared_dir(t.spark, "stream-out"), shared_dir(t.spark, "stream-state"), ["sample_id", "task_name", "model_id", "day"], "ts", "2 days")
+    I.finish(run)
+    counts = I.stream_counts(run)
+    return literal_rows(t.spark, [(counts["rows"], counts["late"])], "rows bigint, late bigint")
 
 
 @query("stm_resume", "SELECT event_type, count(*) n FROM events GROUP BY 1")

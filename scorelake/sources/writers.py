@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.text import safe_name
 from scorelake.sources.readers import path_exists
+from scorelake.sources.versions import TableGroup
 
 
 def append_results(rows: DataFrame, path: str, fmt: str = "json") -> None:
@@ -95,15 +96,24 @@ def read_upserted(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.parquet(path).drop("buckets", "bucket").where(F.col(key).isNotNull())
 
 
-def upsert_plates(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> None:
-    """One payload's rows per plate into the four tables: parents by id, children by plate, each replacing what was there.
+def upsert_plates(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> int:
+    """One payload's rows per plate into the four tables, in one commit: parents by id, children by plate, each replacing what was there.
 
-    Several payloads of a plate are cut to the newest before they are split, see ``readers.newest_payloads``.
+    A fault on the way, or another writer that was faster, leaves all four tables as they were. The version's number is returned. Several payloads of a plate
+    are cut to the newest before they are split, see ``readers.newest_payloads``.
     """
-    parents = tables["plates"].select(F.col("id").alias("plate_id"))
-    upsert(spark, f"{folder}/plates", tables["plates"], "id")
+    parents = tables["plates"].select("id")
+    changes = {"plates": (tables["plates"], "id", None)}
     for child in ("stocks", "industrial_chains", "question_answers"):
-        upsert(spark, f"{folder}/{child}", tables[child], "plate_id", changed=parents)
+        changes[child] = (tables[child], "plate_id", parents)
+    return TableGroup(spark, folder).replace(changes)
+
+
+def read_plates(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The four tables as one version has them, by default the newest."""
+    group = TableGroup(spark, folder)
+    version = group.newest() if version is None else version
+    return {name: group.read(name, version) for name in group.states(version)}
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -1,10 +1,12 @@
 """Incremental forms: rows arriving in a results folder, summed, de-duplicated, cached or watched.
 
-Every query takes its checkpoint location from the caller, and restarts continue from it.
+Every query takes its checkpoint location from the caller, and restarts continue from it. State that grows with keys is held by the disk-backed
+state store, unless the session names another one.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from scorelake.operators.aggregates import exact_sum, keyed_results, summable
+from scorelake.operators.aggregates import EXACT, keyed_results, summable
 from scorelake.operators.grid import cache_bucket, new_cache_entries
+from scorelake.operators.order_stats import nearest_rank, sketch_bucket, sketch_bounds
 from scorelake.operators.ranking import last_progress
 from scorelake.schemas import RESULT_ROW, RESUME_KEYS, SUMMARY_KEYS
 from scorelake.sources.readers import path_exists
@@ -39,34 +42,49 @@ def append_stream(rows: DataFrame, out: str, checkpoint: str, fmt: str = "parque
     )
 
 
-def running_summary(rows: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Sums and counts per task, model and step as they grow. Exact p95 needs all rows, so it is left to the
-    batch summary; ``accuracy`` adds an approximate one."""
+_SUMS = ["request_count", "success_count", "parse_applicable_count", "parse_success_count", "total_tokens_sum", "retry_count", "latency_count"]
+_EXACT_SUMS = ["latency_ms_sum", "cost_sum"]
+
+
+def running_summary(rows: DataFrame) -> DataFrame:
+    """Sums and counts per task, model, step and latency bucket as they grow.
+
+    The buckets are the rank sketch that :func:`summary_rates` takes p95 from: their counts add up like the sums beside them, so the state of any
+    split of the rows merges to the same table. A group has some hundreds of buckets, whatever the number of its rows.
+    """
+    latency = summable(F.col("latency_ms"))
+    exact = lambda c: F.sum(F.coalesce(summable(c), F.lit(0.0)).cast(EXACT)).cast(EXACT)
     measures = [
-        F.count("*").alias("request_count"),
-        F.count_if("success").alias("success_count"),
-        F.count_if("parse_applicable").alias("parse_applicable_count"),
-        F.count_if(F.col("parse_applicable") & F.col("parse_success")).alias("parse_success_count"),
-        exact_sum(F.col("latency_ms")).alias("latency_ms_sum"),
-        F.sum(F.col("total_tokens").cast("bigint")).alias("total_tokens_sum"),
-        F.sum(F.col("retry_count").cast("bigint")).alias("retry_count"),
-        F.count(summable(F.col("latency_ms"))).alias("latency_count"),
-        F.round(exact_sum(F.col("cost_estimate")), 6).alias("cost_estimate"),
+        F.count("*"), F.count_if("success"), F.count_if("parse_applicable"), F.count_if(F.col("parse_applicable") & F.col("parse_success")),
+        F.sum(F.col("total_tokens").cast("bigint")), F.sum(F.col("retry_count").cast("bigint")), F.count(latency), exact(F.col("latency_ms")),
+        exact(F.col("cost_estimate")), F.min(latency), F.max(latency),
     ]
-    if accuracy:
-        measures.append(F.percentile_approx("latency_ms", 0.95, accuracy).alias("p95_latency_ms_approx"))
-    return keyed_results(rows).groupBy(*SUMMARY_KEYS).agg(*measures)
+    names = [*_SUMS, *_EXACT_SUMS, "latency_lo", "latency_hi"]
+    keyed = keyed_results(rows).withColumn("bucket", sketch_bucket(latency))
+    return keyed.groupBy(*SUMMARY_KEYS, "bucket").agg(*[m.alias(n) for m, n in zip(measures, names)])
+
+
+def merged_summaries(states: DataFrame) -> DataFrame:
+    """States of :func:`running_summary` over separate rows, as one."""
+    exact = [F.sum(c).cast(EXACT).alias(c) for c in _EXACT_SUMS]
+    return states.groupBy(*SUMMARY_KEYS, "bucket").agg(
+        *[F.sum(c).alias(c) for c in _SUMS], *exact, F.min("latency_lo").alias("latency_lo"), F.max("latency_hi").alias("latency_hi"))
 
 
 def summary_rates(running: DataFrame) -> DataFrame:
+    """The state rolled up per task, model and step. ``p95_low`` and ``p95_high`` are the least and greatest latency of the bucket that holds the exact
+    p95: the value of rank ceil(0.95 n) lies between them, and they are at most one part in 32 apart (a thousandth of a millisecond near zero)."""
     n = F.col("request_count")
-    return running.select(
+    whole = running.groupBy(*SUMMARY_KEYS).agg(*[F.sum(c).alias(c) for c in _SUMS], *[F.sum(c).cast("double").alias(c) for c in _EXACT_SUMS])
+    p95 = sketch_bounds(running.where("bucket is not null"), SUMMARY_KEYS, "latency_count", "latency_lo", "latency_hi", nearest_rank("0.95"))
+    return whole.join(p95, SUMMARY_KEYS, "left").select(
         *SUMMARY_KEYS, "request_count", "success_count",
         F.round(F.col("success_count") / n, 4).alias("success_rate"),
         F.round(F.coalesce(F.col("latency_ms_sum") / F.nullif("latency_count", F.lit(0)), F.lit(0.0)), 2).alias("avg_latency_ms"),
+        F.col("low").alias("p95_low"), F.col("high").alias("p95_high"),
         F.round(F.col("total_tokens_sum") / n, 2).alias("avg_total_tokens"),
         F.round(F.coalesce(F.col("parse_success_count") / F.nullif("parse_applicable_count", F.lit(0)), F.lit(0.0)), 4).alias("parse_rate"),
-        "retry_count", "cost_estimate",
+        "retry_count", F.round("cost_sum", 6).alias("cost_estimate"),
     )
 
 
@@ -92,25 +110,37 @@ def read_newest(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(max(done))
 
 
-def dedup_stream(rows: DataFrame, out: str, checkpoint: str, keys: list[str] = RESUME_KEYS) -> StreamingQuery:
-    """Append the first row of every key that ``out`` does not hold yet, however long ago it was stored.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_DISK_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The stored keys are read for the join only; the batch number is a partition, so a repeated batch replaces itself.
-    """
-    columns = rows.columns
 
-    def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        first = batch.dropDuplicates(keys)
-        if path_exists(spark, out):
-            known = spark.read.schema(f"{batch.select(*keys).schema.toDDL()}, batch bigint").parquet(out).where(F.col("batch") < number)
-            first = first.join(known.select(*keys).distinct(), keys, "left_anti")
-        first.select(*columns).withColumn("batch", F.lit(number)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+def use_disk_state(spark: SparkSession) -> None:
+    """State on the executors' disks instead of their heaps, and progress of many batches kept, unless the session says otherwise."""
+    if spark.conf.get(_STORE, None) in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
+        spark.conf.set(_STORE, _DISK_STORE)
+    if int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")) < 10_000:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "10000")
 
-    return (
-        rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
-    )
+
+def dedup_stream(rows: DataFrame, out: str, checkpoint: str, keys: list[str] = RESUME_KEYS, time: str = "ts", delay: str = "7 days") -> StreamingQuery:
+    """Append the first row of every key; repeats whose event time is within ``delay`` of it are dropped.
+
+    A key is held in keyed state until the watermark (the greatest event time less ``delay``) has passed its row's time plus ``delay``, so state is bounded by what
+    arrives within that span and not by the history; what was stored is never read again. Rows behind the watermark that the batch before theirs started with are left
+    out, as what they repeat may be gone: :func:`stream_counts` has their number. A row without a time is remembered for its own batch only.
+    """
+    use_disk_state(rows.sparkSession)
+    return append_stream(rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys), out, checkpoint)
+
+
+def stream_counts(query: StreamingQuery) -> dict[str, int]:
+    """Of a finished run: rows read, rows left out as late, and keys in state at the end and at most."""
+    batches = [dict(p) if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+    states = [(op["numRowsTotal"], op["numRowsDroppedByWatermark"]) for b in batches for op in b["stateOperators"]]
+    return {
+        "rows": sum(b["numInputRows"] for b in batches), "late": sum(late for _, late in states),
+        "keys": states[-1][0] if states else 0, "most_keys": max((n for n, _ in states), default=0),
+    }
 
 
 def fill_cache(calls: DataFrame, cache_path: str, checkpoint: str) -> StreamingQuery:

@@ -159,16 +159,6 @@ def test_news_conversion(spark):
     assert got == [("1", "neutral", 0.0, ""), ("2", "neutral", 0.123457, ""), ("5", "negative", 1.0, "")]
 
 
-def test_stream_restart_and_dedup(spark, tmp_path):
-    landing, out, state = (shared_dir(spark, p) for p in ("l", "o", "s"))
-    ddl = "sample_id string, task_name string, step_id string, model_id string, repeat_idx int, ts timestamp"
-    batch = lambda ids: spark.createDataFrame([(i, "t", "s", "m", 0) for i in ids], ddl.rsplit(",", 1)[0]).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
-    for ids in (["a", "b", "a"], ["b", "c"]):
-        batch(ids).coalesce(1).write.mode("append").json(landing)
-        I.finish(I.dedup_stream(I.stream_folder(spark, landing, ddl), out, state))
-    assert sorted(r.sample_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
-
-
 def test_cache_fill_keeps_one_row_per_key(spark):
     landing, cache, state = (shared_dir(spark, p) for p in ("l", "c", "s"))
     ddl = "cache_key string, content string, success boolean"
