@@ -282,13 +282,50 @@ def reasoning_consistency(rule: MetricRule, sides: Sides) -> Named:
         F.coalesce(text_fragments(*sides.pick("parsed", f)), F.array().cast("array<string>"))
         for f in rule.get("support_fields", ["steps", "claims", "rationale"])
     ])
-    target = normalize_text(text) if normalize else text
-    hits = F.size(F.filter(support, lambda s: F.contains(normalize_text(s) if normalize else s, target)))
-    usable = sides.has_parsed & text.isNotNull() & (text != "") & (F.size(support) > 0)
-    return [
-        (f"{name}_consistency", F.when(usable & (hits > 0), 1.0).otherwise(0.0)),
-        (f"{name}_support_coverage", F.when(usable, F.round(hits / F.nullif(F.size(support), F.lit(0)), 4)).otherwise(0.0)),
-    ]
+    # The fragments and the answer are put in their compared form once, and both scores read the same two counts.
+    norm = normalize_text if normalize else (lambda c: c)
+    counts = let(F.struct(norm(text).alias("target"), F.transform(support, norm).alias("support")), lambda c: F.struct(
+        F.size(F.filter(c["support"], lambda s: F.contains(s, c["target"]))).alias("hits"), F.size(c["support"]).alias("n")))
+    usable = sides.has_parsed & text.isNotNull() & (text != "")
+
+    def score(c: Column) -> Column:
+        live = usable & (c["n"] > 0)
+        return F.array(F.when(live & (c["hits"] > 0), 1.0).otherwise(0.0), F.when(live, F.round(c["hits"] / F.nullif(c["n"], F.lit(0)), 4)).otherwise(0.0))
+
+    scores = let(counts, score)
+    return [(f"{name}_consistency", scores[0]), (f"{name}_support_coverage", scores[1])]
+
+
+def longest_rising(values: Column) -> Column:
+    """Length of the longest strictly rising subsequence of a list of whole numbers without nulls.
+
+    The state has, for every length, the least number that such a run can end with; a number takes the place of the first that is not less.
+    """
+    kind = "array<int>"
+    def step(ends: Column, v: Column) -> Column:
+        return let(F.struct(ends.alias("ends"), F.size(F.filter(ends, lambda e: e < v)).alias("k")), lambda s: F.concat(
+            F.slice(s["ends"], F.lit(1), s["k"]), F.array(v), F.slice(s["ends"], s["k"] + 2, F.greatest(F.size(s["ends"]) - s["k"] - 1, F.lit(0)))))
+
+    return F.size(F.aggregate(values.cast(kind), F.array().cast(kind), step))
+
+
+def reasoning_step_order(rule: MetricRule, sides: Sides) -> Named:
+    """Order and completeness of the steps against a reference chain.
+
+    A step stands for the first reference step with the same text. ``_order`` is the share of matched steps that are in the reference's order (the longest rising run of their places,
+    repeats once), ``_completeness`` the share of different reference steps that were matched; both are 0 where nothing matches or a side is empty.
+    """
+    name, normalize = rule.name or "steps", bool(rule.get("normalize", True))
+    empty = F.array().cast("array<string>")
+    fragments = lambda side, field: F.coalesce(text_fragments(*sides.pick(side, field)), empty)
+    norm = (lambda a: F.transform(a, normalize_text)) if normalize else (lambda a: a)
+    steps = norm(fragments("parsed", rule.get("steps_field", "steps")))
+    chain = F.array_distinct(norm(fragments("sample", rule.get("label_field", "gt_steps"))))
+    places = let(F.struct(steps.alias("steps"), chain.alias("chain")), lambda c: F.struct(
+        F.filter(F.transform(c["steps"], lambda s: F.array_position(c["chain"], s).cast("int")), lambda p: p > 0).alias("at"), F.size(c["chain"]).alias("n")))
+    scores = let(places, lambda c: F.array(
+        F.round(_share(longest_rising(c["at"]).cast("double"), F.size(c["at"])), 4), F.round(_share(F.size(F.array_distinct(c["at"])).cast("double"), c["n"]), 4)))
+    return [(f"{name}_order", scores[0]), (f"{name}_completeness", scores[1])]
 
 
 def union_evidence(claims: Column, dtype: T.DataType, key: str, normalize: bool) -> Column:
@@ -329,6 +366,7 @@ BUILDERS: dict[str, Builder] = {
     "list_overlap": list_overlap,
     "reasoning_consistency": reasoning_consistency,
     "claim_evidence_overlap": claim_evidence_overlap,
+    "reasoning_step_order": reasoning_step_order,
 }
 
 

@@ -2,15 +2,64 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.operators.aggregates import finite
 from scorelake.operators.grid import literal_rows
 from scorelake.spec import PRESETS, ScorerPreset
 
 TOLERANCE = 0.02
 
 
+@dataclass(frozen=True)
+class TagRule:
+    """Tag of a row: some sub-score whose whole name matches ``pattern`` is under ``under`` or over ``over``, or, with ``missing``, has no finite value."""
+
+    tag: str
+    pattern: str
+    under: float | None = None
+    over: float | None = None
+    missing: bool = False
+
+    def holds(self, scores: Column) -> Column:
+        def hit(score: Column) -> Column:
+            value, found = finite(score["value"]), F.lit(False)
+            if self.missing:
+                found = found | value.isNull()
+            if self.under is not None:
+                found = found | F.coalesce(value < F.lit(self.under), F.lit(False))
+            if self.over is not None:
+                found = found | F.coalesce(value > F.lit(self.over), F.lit(False))
+            return score["name"].rlike(f"^(?:{self.pattern})$") & found
+
+        return F.exists(scores, hit)
+
+
+# What a low sub-score says about the answer. Rows without scores, and rows under their preset's threshold, have tags of their own.
+TAG_RULES = (
+    TagRule("missing_score", ".*", missing=True),
+    TagRule("wrong_choice", ".*_acc", under=1.0),
+    TagRule("out_of_tolerance", ".*_within_tol", under=1.0),
+    TagRule("extra_items", ".*_precision", under=0.5),
+    TagRule("missed_items", ".*_recall", under=0.5),
+    TagRule("little_overlap", "rouge1|.*_f1", under=0.3),
+    TagRule("answer_not_in_steps", ".*_consistency", under=1.0),
+    TagRule("steps_out_of_order", ".*_order", under=1.0),
+    TagRule("steps_missing", ".*_completeness", under=1.0),
+)
+NO_SCORE, BELOW = "no_score", "below_threshold"
+
+
+def error_tags(scores: Column, below: Column, rules: tuple[TagRule, ...] = TAG_RULES) -> Column:
+    """Tags of a row in the order of the rules; those without a score and those below the threshold come last."""
+    named = [F.when(rule.holds(scores), F.lit(rule.tag)) for rule in rules]
+    empty = F.when(F.coalesce(F.size(scores), F.lit(0)) <= 0, F.lit(NO_SCORE))
+    return F.array_distinct(F.array_compact(F.array(*named, empty, F.when(below, F.lit(BELOW)))))
+
+
 def preset_rows(spark, presets: dict[str, ScorerPreset] = PRESETS) -> DataFrame:
     """Presets as a dimension: answer type, primary metric, threshold and the names its type stands for."""
     rows = [
@@ -39,8 +88,8 @@ def primary_score(scores: Column, primary_metric: Column, named_by_type: Column)
     return F.coalesce(found, F.lit(0.0))
 
 
-def score_cards(df: DataFrame, presets: dict[str, ScorerPreset] = PRESETS) -> DataFrame:
-    """Add primary_metric, primary_score, passed; rows have ``answer_type`` and ordered ``raw_scores``."""
+def score_cards(df: DataFrame, presets: dict[str, ScorerPreset] = PRESETS, tags: tuple[TagRule, ...] = TAG_RULES) -> DataFrame:
+    """Add primary_metric, primary_score, passed, sub_scores and error_tags; rows have ``answer_type`` and ordered ``raw_scores``."""
     rows = join_presets(df, presets)
     scores, known = F.col("raw_scores"), F.col("primary_metric").isNotNull()
     head = F.get(scores, F.lit(0))
@@ -53,7 +102,7 @@ def score_cards(df: DataFrame, presets: dict[str, ScorerPreset] = PRESETS) -> Da
         score.alias("primary_score"),
         F.coalesce(known & (score >= F.col("pass_threshold")), F.lit(False)).alias("passed"),
         scores.alias("sub_scores"),
-        F.array().cast("array<string>").alias("error_tags"),
+        error_tags(scores, F.coalesce(known & (score < F.col("pass_threshold")), F.lit(False)), tags).alias("error_tags"),
         F.lit("").alias("explain"),
     )
 

@@ -16,6 +16,7 @@ from scorelake.schemas import MODEL_FILE
 from scorelake.session import shared_dir, stored_once
 from scorelake.sources import readers as S
 from scorelake.sources import writers as W
+from scorelake.sources.fingerprints import tree_fingerprints
 from scorelake.sources.versions import TableGroup
 
 
@@ -144,13 +145,19 @@ def src_fingerprint(t: Tables):
     return S.content_fingerprint(t.table("documents"), ["doc_id", "text"])
 
 
-@query("src_file_sha256", "SELECT 2048::BIGINT AS length, sha256(repeat('0123456789abcdef', 128)) sha256 FROM region WHERE r_regionkey=0")
+@query("src_file_sha256", """WITH f AS (SELECT doc_id // 200 AS file, string_agg(doc_id||'|'||source||'|'||n_chars||'|'||sha256(text)||chr(10), '' ORDER BY doc_id) c FROM documents GROUP BY 1),
+ k AS (SELECT *, list_transform(range(0, (length(c) + 1023) // 1024), lambda i: sha256(substr(c, (i * 1024 + 1)::BIGINT, 1024))) chunks FROM f),
+ b AS (SELECT *, list_transform(range(0, (len(chunks) + 3) // 4), lambda i: sha256(array_to_string(chunks[i * 4 + 1:i * 4 + 4], ''))) blocks FROM k)
+ SELECT file::VARCHAR AS file, length(c)::BIGINT AS length, sha256(c) sha256, sha256(length(c)||':'||array_to_string(blocks, '')) tree_sha256 FROM b""")
 def src_file_sha256(t: Tables):
-    """A file of known bytes, written through the text sink."""
-    path = shared_dir(t.spark, "file")
-    block = F.concat(F.repeat(F.lit("0123456789abcdef"), 127), F.lit("0123456789abcde"))
-    t.table("region").where("r_regionkey = 0").select(block.alias("value")).coalesce(1).write.option("lineSep", "f").text(path)
-    return S.file_fingerprints(t.spark, f"{path}/part-*").select("length", "sha256")
+    """Manifest lines of the documents in a file for every 200 ids; each file's plain digest, and its tree digest from byte ranges."""
+    path = shared_dir(t.spark, "files")
+    line = F.concat_ws("|", "doc_id", "source", "n_chars", F.sha2("text", 256))
+    rows = t.table("documents").select((F.floor(F.col("doc_id") / 200)).alias("file"), "doc_id", line.alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(path)
+    plain = S.file_fingerprints(t.spark, f"{path}/file=*").select("path", "length", "sha256")
+    trees = tree_fingerprints(t.spark, path, chunk=1024, fan=4).select("path", "tree_sha256")
+    return plain.join(trees, "path").select(F.regexp_extract("path", r"/file=(\d+)/", 1).alias("file"), "length", "sha256", "tree_sha256")
 
 
 @query("src_calls", """SELECT event_id, coalesce(CASE WHEN event_id%8<>0 THEN task_name END,'') AS content, prompt_tokens, completion_tokens, total_tokens,

@@ -5,9 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from scorelake.functions.text import normalize_text
 from scorelake.operators import aggregates as A
+from scorelake.operators import gates as G
 from scorelake.operators import metrics as M
 from scorelake.operators import scorecards as C
+from scorelake.operators.claims import claim_verifiability, sentences
 from scorelake.plans import runs as RUN
 from scorelake.plans.adapters import MODEL_IDS, Tables, nth
 from scorelake.plans.queries_stats import _F1
@@ -157,6 +160,113 @@ def met_metric_drift(t: Tables):
         "task_name", "metric", "baseline_score", "current_score", "delta", "regressed")
 
 
+_CHAIN = """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))), lambda x: x <> '') steps FROM documents),
+ r AS (SELECT doc_id, steps, CASE doc_id % 3 WHEN 0 THEN list_reverse(steps) WHEN 1 THEN list_concat(['first of all'], steps) ELSE list_sort(steps) END gt FROM l),
+ c AS (SELECT doc_id, steps, list_filter(gt, lambda x, i: list_position(gt, x) = i) gt FROM r),
+ a AS (SELECT doc_id, len(gt) n, list_filter(list_transform(steps, lambda s: coalesce(list_position(gt, s), 0)), lambda p: p > 0) pos FROM c),
+ e AS (SELECT *, list_reduce(list_prepend([]::INTEGER[], list_transform(pos, lambda x: [x])), lambda ends, v: list_concat(list_concat(list_filter(ends, lambda t: t < v[1]), v), ends[len(list_filter(ends, lambda t: t < v[1])) + 2:])) ends FROM a)
+ SELECT doc_id, CASE WHEN len(pos) > 0 THEN round(len(ends)::DOUBLE/len(pos), 4) ELSE 0.0 END steps_order, CASE WHEN n > 0 THEN round(len(list_distinct(pos))::DOUBLE/n, 4) ELSE 0.0 END steps_completeness FROM e"""
+
+
+@query("met_step_order", _CHAIN)
+def met_step_order(t: Tables):
+    """The lines of a text are the steps; the reference has them backwards, behind another one, or sorted."""
+    lines = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
+    i, tidy = F.col("doc_id"), F.transform(lines, normalize_text)
+    chain = F.when(i % 3 == 0, F.reverse(lines)).when(i % 3 == 1, F.concat(F.array(F.lit("First  of all")), lines)).otherwise(F.array_sort(tidy))
+    rows = t.table("documents").select("doc_id", F.struct(lines.alias("steps")).alias("parsed"), F.struct(chain.alias("gt_steps")).alias("sample"))
+    return _metrics(rows, [MetricRule("reasoning_step_order")], "doc_id")
+
+
+_NORMAL = "CASE WHEN trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) = '' THEN '' ELSE ' '||trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))||' ' END"
+
+
+@query("met_claim_verifiability", f"""WITH c AS (SELECT item_id, unnest(list_filter(string_split_regex(text, '[.!?\\n]+'), lambda s: trim(s) <> '')) claim FROM benchmark),
+ n AS (SELECT item_id, {_NORMAL.format("claim")} norm FROM c), p AS (SELECT {_NORMAL.format("coalesce(text, '')")} held FROM documents),
+ s AS (SELECT norm, count(*) FILTER (norm <> '' AND contains(held, norm)) k FROM (SELECT DISTINCT norm FROM n) CROSS JOIN p GROUP BY 1)
+ SELECT item_id, count(*) n_claims, count(*) FILTER (k > 0) n_verifiable, round(count(*) FILTER (k > 0)/count(*)::DOUBLE, 4) verifiable_rate,
+ round(count(*) FILTER (k >= 2)/count(*)::DOUBLE, 4) sufficient_rate, min(k) least_support FROM n JOIN s USING (norm) GROUP BY 1""")
+def met_claim_verifiability(t: Tables):
+    """The sentences of the benchmark items as claims, all documents as evidence."""
+    claims = t.table("benchmark").select("item_id", F.explode(sentences(F.col("text"))).alias("claim"))
+    return claim_verifiability(claims, t.table("documents"), ["item_id"])
+
+
+_GATES = (
+    G.Gate("acc_floor", "acc", "range", low=0.33), G.Gate("gap_span", "gap", "range", low=0.0, high=9.0), G.Gate("acc_drop", "acc", "drop", tolerance=0.01),
+    G.Gate("gap_rise", "gap", "rise", tolerance=0.2),
+)
+_SIDES = """, s AS (SELECT (ts>=TIMESTAMP '2024-01-16')::INT side, task_name, model_id, 'acc' metric, round(sum(m_acc::DECIMAL(38,10))::DOUBLE/count(m_acc),4) v FROM v_results GROUP BY 1,2,3
+ UNION ALL SELECT (ts>=TIMESTAMP '2024-01-16')::INT, task_name, model_id, 'gap', round(sum(m_gap::DECIMAL(38,10))::DOUBLE/count(m_gap),4) FROM v_results GROUP BY 1,2,3),
+ d AS (SELECT b.task_name, b.model_id, b.metric, b.v b, c.v c, round(c.v-b.v,6) d FROM s b JOIN s c ON b.side=0 AND c.side=1 AND b.task_name=c.task_name AND b.model_id=c.model_id AND b.metric=c.metric),
+ g AS (SELECT task_name, model_id, metric, 0 no, 'acc_floor' gate, CASE WHEN c IS NULL THEN 'missing' WHEN c < 0.33::DOUBLE THEN printf('%.4f', c)||' is under 0.33' END breach FROM d WHERE metric='acc'
+  UNION ALL SELECT task_name, model_id, metric, 1, 'gap_span', CASE WHEN c IS NULL THEN 'missing' WHEN c < 0.0 THEN printf('%.4f', c)||' is under 0.0' WHEN c > 9.0 THEN printf('%.4f', c)||' is over 9.0' END FROM d WHERE metric='gap'
+  UNION ALL SELECT task_name, model_id, metric, 2, 'acc_drop', CASE WHEN c IS NULL THEN 'missing' WHEN -d > 0.01::DOUBLE THEN 'dropped by '||printf('%.4f', -d)||' (tolerance=0.01)' END FROM d WHERE metric='acc'
+  UNION ALL SELECT task_name, model_id, metric, 3, 'gap_rise', CASE WHEN c IS NULL THEN 'missing' WHEN d > 0.2::DOUBLE THEN 'rose by '||printf('%.4f', d)||' (tolerance=0.2)' END FROM d WHERE metric='gap')"""
+
+
+def _halves(t: Tables):
+    part = lambda when: A.task_metric_averages(t.results.where(when))
+    day = "timestamp '2024-01-16'"
+    return C.metric_drift(part(f"ts < {day}"), part(f"ts >= {day}"), ["task_name", "model_id", "step_id"])
+
+
+@query("chk_gates", _SIDES + " SELECT task_name, model_id, metric, gate, breach FROM g", ("v_results",))
+def chk_gates(t: Tables):
+    return G.check_gates(_halves(t), _GATES).select("task_name", "model_id", "metric", "gate", "breach")
+
+
+@query("chk_gate_verdicts", _SIDES + """, o AS (SELECT *, row_number() OVER (PARTITION BY task_name, model_id ORDER BY breach IS NULL, no, metric) k FROM g)
+ SELECT task_name, model_id, count(*) checked, count(breach) breached, count(breach)=0 passed, any_value(gate) FILTER (k=1 AND breach IS NOT NULL) first_gate,
+ any_value(metric) FILTER (k=1 AND breach IS NOT NULL) first_metric, any_value(breach) FILTER (k=1) first_breach FROM o GROUP BY 1,2""", ("v_results",))
+def chk_gate_verdicts(t: Tables):
+    return G.gate_verdicts(G.check_gates(_halves(t), _GATES), ["task_name", "model_id"])
+
+
+_TAGS = """WITH s AS (SELECT doc_id, ['choice','number','list','text','essay','choice'][(doc_id%6+1)::INT] answer_type, doc_id%6 k, (doc_id%10)/10.0::DOUBLE v FROM documents),
+ r AS (SELECT answer_type, list_filter([CASE WHEN k=3 AND doc_id%4=0 THEN 'missing_score' END, CASE WHEN k=0 AND v<1 THEN 'wrong_choice' END, CASE WHEN k=1 AND v<1 THEN 'out_of_tolerance' END,
+  CASE WHEN v<0.3 AND (k=2 OR k=3 AND doc_id%4<>0) THEN 'little_overlap' END, CASE WHEN k=5 THEN 'no_score' END,
+  CASE WHEN k=5 OR k IN (0,1,2) AND v<0.5 OR k=3 AND (doc_id%4=0 OR v<0.3) THEN 'below_threshold' END], lambda x: x IS NOT NULL) tags FROM s)"""
+
+
+@query("agg_error_tags", _TAGS + """ SELECT answer_type, tag, count(*) AS "rows", round(count(*)/any_value(n)::DOUBLE, 4) AS share FROM (SELECT answer_type, unnest(tags) tag FROM r) JOIN (SELECT answer_type, count(*) n FROM r GROUP BY 1) USING (answer_type) GROUP BY 1,2""")
+def agg_error_tags(t: Tables):
+    return G.tag_counts(C.score_cards(_scores(t)), ["answer_type"])
+
+
+@query("agg_tag_pairs", _TAGS + """ SELECT answer_type, a.tag, b.tag AS other, count(*) AS "rows" FROM (SELECT row_number() OVER () id, * FROM r) x, LATERAL (SELECT unnest(x.tags) tag) a, LATERAL (SELECT unnest(x.tags) tag) b WHERE a.tag < b.tag GROUP BY 1,2,3""")
+def agg_tag_pairs(t: Tables):
+    return G.tag_pair_counts(C.score_cards(_scores(t)), ["answer_type"])
+
+
+# Runs are days; a model misses every third day or so.
+_RUNS = """, x AS (SELECT 'run-'||strftime(ts, '%Y-%m-%d') run_id, date_trunc('day', ts) run_time, task_name, model_id, prompt_version, 's1' scorer_version, m_acc, m_gap FROM v_results WHERE day(ts)%3 <> event_id%4),
+ s AS (SELECT run_id, run_time, task_name, model_id, prompt_version, scorer_version, 'acc' metric, round(avg(m_acc),6) score FROM x GROUP BY ALL
+  UNION ALL SELECT run_id, run_time, task_name, model_id, prompt_version, scorer_version, 'gap', round(avg(m_gap),6) FROM x GROUP BY ALL),
+ w AS (SELECT *, last_value(CASE WHEN score IS NOT NULL THEN {'run': run_id, 'score': score} END IGNORE NULLS) OVER (PARTITION BY task_name, model_id, prompt_version, scorer_version, metric ORDER BY run_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) base FROM s),
+ d AS (SELECT *, score current_score, base.run baseline_run, base.score baseline_score, round(score - base.score, 6) delta FROM w)"""
+
+
+def _compared(t: Tables):
+    rows = t.results.where(F.dayofmonth("ts") % 3 != F.col("event_id") % 4).select(
+        F.concat(F.lit("run-"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"), F.date_trunc("day", "ts").alias("run_time"),
+        "task_name", "model_id", "prompt_version", F.lit("s1").alias("scorer_version"), F.col("task_metrics").alias("sub_scores"))
+    return G.compare_over_runs(G.run_scores(rows))
+
+
+@query("rep_cross_runs", _RUNS + " SELECT run_id, task_name, model_id, metric, current_score, baseline_run, baseline_score, delta+0.0 delta, delta < -0.02::DOUBLE regressed FROM d", ("v_results",))
+def rep_cross_runs(t: Tables):
+    return _compared(t).select("run_id", "task_name", "model_id", "metric", "current_score", "baseline_run", "baseline_score", (F.col("delta") + 0.0).alias("delta"), "regressed")
+
+
+@query("rep_run_overview", _RUNS + """, o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY delta, metric, task_name, model_id) k FROM d WHERE delta < 0)
+ SELECT d.run_id, count(*) scores, count(d.baseline_score) compared, count(*) FILTER (d.delta < -0.02::DOUBLE) regressed, count(*) FILTER (d.delta > 0) improved,
+ any_value(o.delta) worst_delta, any_value(o.metric) worst_metric, any_value(o.task_name) worst_task_name, any_value(o.model_id) worst_model_id FROM d LEFT JOIN o ON o.run_id = d.run_id AND o.k = 1 GROUP BY 1""", ("v_results",))
+def rep_run_overview(t: Tables):
+    return G.cross_run_report(_compared(t)).select(
+        "run_id", "scores", "compared", "regressed", "improved", "worst_delta", "worst_metric", "worst_task_name", "worst_model_id")
+
+
 # --- whole runs ------------------------------------------------------------------------------------------
 
 _TASK = TaskSpec.from_dict({

@@ -161,7 +161,7 @@ def models_from_file(registry: DataFrame) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and length per file. A file is read whole by one task, of 2 GB at most; for bigger ones use content_fingerprint()."""
+    """Plain SHA-256 and length per file, which one task reads whole, of 2 GB at most; ``fingerprints.tree_fingerprints`` takes files of any size."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 

@@ -16,7 +16,7 @@ SOME = (
     "jn_sample_division jn_cache_lookup jn_upstream jn_baseline agg_summary agg_batch_stats agg_e2e agg_leader agg_describe agg_histogram "
     "agg_crosstab win_last_progress top_failures set_intersect_rows fn_parse_json fn_apply_schema fn_redact met_rouge1 met_evidence met_scorecard "
     "rep_leader build_association_set run_task run_workflow_e2e stm_running_summary stm_resume src_results_odd src_file_sha256 snk_partitioned_twice "
-    "snk_upsert_newest stm_dedup stm_progress stm_cache_fill agg_task_metrics_odd agg_summary_odd fn_text_fragments_deep fn_trailing_commas_many "
+    "snk_upsert_newest stm_dedup stm_dedup_counts snk_versions met_step_order met_claim_verifiability chk_gate_verdicts agg_error_tags agg_tag_pairs rep_cross_runs rep_run_overview stm_progress stm_cache_fill agg_task_metrics_odd agg_summary_odd fn_text_fragments_deep fn_trailing_commas_many "
     "run_task_errors run_task_cached run_workflow_requests run_workflow_cached"
 ).split()
 CHECKS = entry.oracle_sql()
