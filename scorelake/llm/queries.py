@@ -111,10 +111,10 @@ _QUALITY_SQL = r"""WITH d AS (SELECT row_number() OVER () rid, doc_id, lang, sou
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) kept FROM f"""
 
 # WARC: the digest in base 32, five hexadecimal digits to four letters, and the page that answers for a payload.
-_WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages WHERE page_id IS NOT NULL), a AS (SELECT *, max(page_id) OVER (PARTITION BY h) answer, sha1(h) x FROM p)
+_WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), a AS (SELECT *, max(page_id) OVER (PARTITION BY h) answer, sha1(h) x FROM p)
  SELECT page_id, octet_length(encode(h))::BIGINT payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   (((('0x' || substr(x, (k // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (k % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), '') payload_digest,
-  CASE WHEN page_id = answer THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id <> answer THEN answer END refers_to FROM a"""
+  CASE WHEN answer IS NULL OR page_id = answer THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id IS DISTINCT FROM answer THEN answer END refers_to FROM a"""
 
 
 def _merkle_sql(levels: int = 16) -> str:

@@ -12,8 +12,8 @@ chunked framing is decoded and the payload digest compared. A group is one page,
 their bytes. Revisits are joined with the records they refer to by identifier.
 
 Defined cases: a null or empty html is an empty payload, equal to every other empty one. A null or odd url is percent-escaped
-(null: no target). Pages without an id are not archived, since nothing could refer to them. Repeated rows of the responding page are responses each. A segment
-that is missing, repeated, or of the wrong length, or a digest that does not match, fails the job. An empty table gives an empty table.
+(null: no target). Pages without an id are archived without one: they revisit a page with an id that has their payload, and are responses where there is none. Rows that share an
+id but not the payload are told apart by the payload; rows that share both are numbered, and where their page responds they are responses each. A segment that is missing, repeated, or of the wrong length, or a digest that does not match, fails the job. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -84,16 +84,22 @@ def record_id(name: str) -> str:
     return f"<{uuid.uuid5(uuid.NAMESPACE_URL, name).urn}>"
 
 
-def page_records(page_id: int, row: int, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int, date: str) -> list[bytes]:
-    """The records of one page, without the line ends that close them. ``row`` tells repeated rows of a page apart."""
-    name = record_id(f"page:{page_id}" if not row else f"page:{page_id}:{row}")
+def record_name(page_id: int | None, sha: str, row: int = 0) -> str:
+    """Name of a row's record: page, payload, and the number among rows that are equal in both."""
+    return f"page:{'-' if page_id is None else page_id}:{sha}:{row}"
+
+
+def page_records(page_id: int | None, sha: str, row: int, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int, date: str) -> list[bytes]:
+    """The records of one page, without the line ends that close them. ``sha`` stands for the payload, ``row`` tells rows with the same page and payload apart."""
+    own = record_name(page_id, sha, row)
+    name = record_id(own)
     target = None if url is None else urllib.parse.quote(url, safe="!#$%&'()*+,/:;=?@[]~")
     common = [("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Payload-Digest", "sha1:" + sha1_base32(payload)), ("X-Page-Id", page_id)]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     kind = ("Content-Type", "application/http; msgtype=response")
     if refers_to is not None:
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, profile, ("WARC-Refers-To", record_id(f"page:{refers_to}")), kind], head)]
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, profile, ("WARC-Refers-To", record_id(record_name(refers_to, sha))), kind], head)]
     block = head + chunked(payload)
     if len(block) <= segment_bytes:
         return [_record([("WARC-Type", "response"), ("WARC-Record-ID", name), *common, kind], block)]
@@ -103,7 +109,7 @@ def page_records(page_id: int, row: int, url: str | None, payload: bytes, refers
         if number == 1:
             fields = [("WARC-Type", "response"), ("WARC-Record-ID", name), *common, kind, ("WARC-Segment-Number", 1)]
         else:
-            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(f"page:{page_id}:{row}:{number}")), ("WARC-Date", date), ("WARC-Target-URI", target),
+            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(f"{own}:{number}")), ("WARC-Date", date), ("WARC-Target-URI", target),
                       ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", len(block) if number == count else None)]
         out.append(_record(fields, part))
     return out
@@ -129,29 +135,28 @@ def parse_records(content: bytes):
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16_384, file_records: int = 1_000, least_revisit: int = 0, date: str = "2026-01-01T00:00:00Z") -> None:
     """Writes ``pages`` (page_id, url, html). Payloads of fewer than ``least_revisit`` bytes are responses always."""
     small_batches(pages.sparkSession)
-    rows = pages.where("page_id is not null").select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
     # Which page answers for a payload: largest ids by digest, combined before the shuffle and joined back without the bytes.
     keys = stored(rows.select("page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("size"), F.xxhash64("url").alias("tie")), "page-digests")
     answers = stored(keys.groupBy("sha").agg(F.max("page_id").alias("answer")), "page-answers")
     numbered = keys.withColumn("row", F.row_number().over(Window.partitionBy("page_id", "sha").orderBy("tie")) - 1)
-    repeated = numbered.where("row > 0").select("page_id").distinct()
-    revisits = keys.join(answers, "sha").where(f"page_id <> answer and size >= {least_revisit}").select("page_id", "sha", "answer").distinct()
-    tagged = rows.withColumn("sha", F.sha2("html", 256)).join(stored(revisits, "page-revisits"), ["page_id", "sha"], "left")
-    # Rows of one id get numbers of their own; almost always there is none, and then nothing is sorted.
-    tagged = tagged.withColumn("row", F.lit(0))
-    twice = stored(repeated, "repeated-pages")
+    twice = stored(numbered.where("row > 0").select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha")).distinct(), "repeated-pages")
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha"))
+    others = keys.join(answers, "sha").where(f"answer is not null and not page_id <=> answer and size >= {least_revisit}")
+    revisits = stored(others.select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "answer").distinct(), "page-revisits")
+    tagged = rows.withColumn("sha", F.sha2("html", 256)).join(revisits, same, "left").drop("_page", "_sha").withColumn("row", F.lit(0))
+    # Rows with the same page and payload get numbers of their own; almost always there are none, and then nothing is sorted.
     if not twice.isEmpty():
-        again = tagged.join(twice, "page_id", "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("page_id", "sha").orderBy("url")) - 1)
-        tagged = tagged.join(twice, "page_id", "left_anti").unionByName(again)
+        again = tagged.join(twice, same, "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("page_id", "sha").orderBy("url")) - 1)
+        tagged = tagged.join(twice, same, "left_anti").unionByName(again)
 
     def records(batches):
         for batch in batches:
-            for page_id, url, html, answer, row in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "answer", "row")]):
-                made = page_records(page_id, row, url, html.encode("utf-8", "surrogatepass"), answer, segment_bytes, date)
+            for page_id, sha, url, html, answer, row in zip(*[batch.column(c).to_pylist() for c in ("page_id", "sha", "url", "html", "answer", "row")]):
+                made = page_records(page_id, sha, row, url, html.encode("utf-8", "surrogatepass"), answer, segment_bytes, date)
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
 
-    made = tagged.select("page_id", "url", "html", "answer", "row").mapInArrow(records, "record binary")
+    made = tagged.select("page_id", "sha", "url", "html", "answer", "row").mapInArrow(records, "record binary")
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path)
 
 

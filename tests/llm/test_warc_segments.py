@@ -69,5 +69,17 @@ def test_broken_segments_fail(spark):
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (0, "b", "x"), (None, "c", "x"), (2, "a", "y" * 40_000), (2, "a", "y" * 40_000)], PAGES)
     got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in W.warc_query(df).collect()), key=str)
-    assert got == [(0, "revisit", 1, 1), (1, "response", None, 1), (1, "response", None, 1), (2, "response", None, 40_000), (2, "response", None, 40_000)]
+    assert got == [(0, "revisit", 1, 1), (1, "response", None, 1), (1, "response", None, 1), (2, "response", None, 40_000), (2, "response", None, 40_000), (None, "revisit", 1, 1)]
     assert W.warc_query(df.limit(0)).count() == 0
+
+
+def test_one_id_with_several_payloads(spark):
+    """Long payloads are segmented, short ones revisited; ids, and rows without one, repeat in every way."""
+    a, b = "p" * 40_000, "q" * 40_000
+    rows = [(1, "u", a), (1, "u", b), (1, "v", a), (2, "u", "s"), (2, "u", "t"), (3, "u", "s"), (0, "u", b), (None, "u", a), (None, "u", None), (None, "w", None), (None, "u", "only " * 9000)]
+    got = [(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in W.warc_query(spark.createDataFrame(rows, PAGES)).collect()]
+    want = []
+    for page, _, html in rows:
+        answer = max((p for p, _, h in rows if (h or "") == (html or "") and p is not None), default=None)
+        want.append((page, digest(html), "response" if answer is None or page == answer else "revisit", None if page == answer else answer))
+    assert sorted(got, key=str) == sorted(want, key=str)
