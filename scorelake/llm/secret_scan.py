@@ -4,7 +4,7 @@ The fixed patterns find assignments, access keys and long hex runs. The method a
 ``passphrase``, an authorization header or a URL's user part puts in a credential context, if a guesser would need
 ``10 ** threshold`` tries or more. The cost is that of the cheapest segmentation, found by dynamic programming over the value, into
 
-* words, at their rank among the corpus' most frequent words (counted over all documents; the ``dictionary_words`` first are kept), doubled
+* words of any script, at their rank among the corpus' most frequent words (counted over all documents; the ``dictionary_words`` first are kept), doubled
   for capitals and for digit-for-letter spellings,
 * dates, at days times years from 2000, with a factor for separators,
 * repeats, at the cost of the repeated part times the number of its repeats,
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -150,16 +151,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def merged_spans(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans sorted by start."""
+    starts, ends = [], []
+    for a, _, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def costly_values(text: str, taken: list[tuple[int, int, int]], ranks: dict[str, int], threshold: float) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(k in low for k in _KEYS):
         return []
     out = []
+    starts, ends = merged_spans(taken)
     for m in CONTEXT.finditer(text):
         a, b = m.span(m.lastindex)
         while b > a and text[b - 1] in ".,;:!?)]}":
             b -= 1
-        if b - a >= 6 and not any(s < b and a < e for s, _, e in taken) and guess_cost(text[a:b], ranks, character_cost(text[a:b])) >= threshold:
+        # The first taken stretch that ends behind the value's start is the only one that can reach into it first.
+        at = bisect_right(ends, a)
+        if b - a >= 6 and not (at < len(ends) and starts[at] < b) and guess_cost(text[a:b], ranks, character_cost(text[a:b])) >= threshold:
             out.append((a, 3, b))
     return out
 
@@ -173,8 +189,8 @@ def scan(text: str, ranks: dict[str, int], threshold: float = 10.0) -> dict:
 
 
 def word_ranks(docs: DataFrame, text: str = "text", words: int = 20_000) -> dict[str, int]:
-    """Ranks, from 1, of the most frequent words of three to 24 letters a to z, counted over all texts. At most ``words`` rows come to the driver."""
-    each = docs.select(F.explode(F.split(F.lower(text_of(text)), "[^a-z]+")).alias("word")).where(f"length(word) between 3 and {LONGEST_WORD}")
+    """Ranks, from 1, of the most frequent words of three to 24 letters of any script, counted over all texts. At most ``words`` rows come to the driver."""
+    each = docs.select(F.explode(F.split(F.lower(text_of(text)), r"[^\p{L}]+")).alias("word")).where(f"length(word) between 3 and {LONGEST_WORD}")
     top = most_frequent(stored(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts"), words)
     return {row["word"]: i for i, row in enumerate(top, 1)}
 

@@ -1,3 +1,4 @@
+import random
 import hashlib
 import re
 
@@ -91,3 +92,31 @@ def test_odd_rows(spark, docs_of, odd_rows, clashing):
     assert S.secrets_query(docs_of([])).count() == 0
     assert S.secret_spans(clashing(docs_of(rows))).where("secrets.n_assign = 1").count() == 1
     assert S.word_ranks(docs_of(odd_rows), words=3) == {"some": 1, "again": 2, "here": 3} or len(S.word_ranks(docs_of(odd_rows), words=3)) == 3
+
+
+def test_many_values_in_one_text():
+    """Forty thousand values beside as many base spans, in seconds."""
+    import time
+
+    text = " ".join(f"password=abcdefgh{i} pwd: k{i}#Qz!x{i}" for i in range(20_000))
+    start = time.time()
+    out = S.scan(text, {})
+    assert time.time() - start < 60 and out["n_assign"] == 20_000 and out["n_guess"] == 20_000
+
+
+def test_taken_places_are_found_as_by_every_span():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = sorted((a, rng.randrange(3), a + rng.randint(1, 12)) for a in (rng.randrange(60) for _ in range(rng.randrange(8))))
+        starts, ends = S.merged_spans(spans)
+        for _ in range(20):
+            a = rng.randrange(60)
+            b = a + rng.randint(1, 9)
+            at = S.bisect_right(ends, a)
+            assert (at < len(ends) and starts[at] < b) == any(s < b and a < e for s, _, e in spans)
+
+
+def test_words_of_other_scripts_are_cheap(docs_of):
+    texts = ["passphrase: спасибо", "password: пожалуйста-нет", "secret: ευχαριστώ", "passphrase: жq7#Zф9!кW"] + ["спасибо пожалуйста нет ευχαριστώ"] * 5
+    got = {r.doc_id: r.n_guess for r in S.secrets_query(docs_of([(i, t, "xx", "a", 1) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(4)] == [0, 0, 0, 1]
