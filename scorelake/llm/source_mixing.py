@@ -9,7 +9,7 @@ cut is found through sums of 4,096 finer hash ranges of that block only, and the
 window holds a bounded number of rows, whatever the size of a source.
 
 Defined cases: null sources are one source of their own. Null and empty texts have no tokens and go with their block. Rows without
-an id are dealt by their hash like others; repeated rows lie at the same place and are taken together. A source without tokens
+an id are dealt by the hash of their text; repeated rows lie at the same place and are taken together. A source without tokens
 gets no weight and none of its documents. A document that would pass the end of a budget is left out, so no
 source is over its budget. With one source, or none, the exponent is 1. An empty table gives an empty table.
 """
@@ -27,9 +27,12 @@ from scorelake.llm.common import col, fresh, quoted, stored, text_of
 BLOCKS, RANGES = 256, 4096
 
 
-def place(doc_id: Column, seed: int) -> Column:
-    """A document's keyed place, 0 to 2^63 - 1. The first 8 bits are its block, the next 12 its range."""
-    return F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), doc_id), F.lit(1))
+def place(doc_id: Column, seed: int, text: Column | None = None) -> Column:
+    """A document's keyed place, 0 to 2^63 - 1, by its id, or by its text where it has none. The first 8 bits are its block, the next 12 its range."""
+    own = F.xxhash64(F.lit(seed), doc_id)
+    if text is not None:
+        own = F.when(doc_id.isNull(), F.xxhash64(F.lit(seed), F.lit("text"), text)).otherwise(own)
+    return F.call_function("shiftrightunsigned", own, F.lit(1))
 
 
 def block_of(at: Column) -> Column:
@@ -134,7 +137,7 @@ def token_rows(docs: DataFrame, seed: int) -> DataFrame:
     """(doc_id, source, n_tokens, at), stored; a token is a run of anything but ASCII white space."""
     return stored(docs.select(
         col("doc_id").alias("doc_id"), col("source").cast("string").alias("source"),
-        F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"), place(col("doc_id"), seed).alias("at")), "doc-tokens")
+        F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"), place(col("doc_id"), seed, text_of()).alias("at")), "doc-tokens")
 
 
 def drawn(placed: DataFrame, plan: DataFrame, source: str, at: str) -> DataFrame:
@@ -150,7 +153,7 @@ def mixed(docs: DataFrame, target: float = 0.9, most_repeats: float = 4.0, budge
     rows = token_rows(docs, seed)
     plan = block_plan(rows, source_weights(rows, target, most_repeats, budget), seed)
     at = fresh(docs, "place")
-    return drawn(docs.withColumn(at, place(col("doc_id"), seed)), plan, "source", at).select(*map(quoted, docs.columns))
+    return drawn(docs.withColumn(at, place(col("doc_id"), seed, text_of())), plan, "source", at).select(*map(quoted, docs.columns))
 
 
 def mixing_query(docs: DataFrame, seed: int = 17) -> DataFrame:

@@ -98,3 +98,12 @@ def test_odd_rows(spark, docs_of, odd_rows, clashing):
     out = M.mixed(df)
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} <= {r[0] for r in odd_rows}
     assert M.mixed(docs_of([])).count() == 0 and M.mixing_query(docs_of([])).count() == 0
+
+
+def test_rows_without_an_id_are_dealt_by_their_texts(docs_of):
+    """A source of them alone is drawn up to its budget like any other."""
+    rng = random.Random(5)
+    rows = [(None, prose(rng, 100), "en", "a", 1) for _ in range(50)] + [(i, prose(rng, 100), "en", "b", 1) for i in range(20)]
+    out = M.mixing_query(docs_of(rows)).groupBy("source", "source_weight").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r.source: 7000 * r.source_weight - 101 <= r.n <= 7000 * r.source_weight for r in out} == {"a": True, "b": True}
+    assert M.mixed(docs_of(rows)).where("doc_id is null").count() > 20
