@@ -76,7 +76,7 @@ def overlaps(
                 spans.setdefault(mask, []).append(str(span))
         masks, when = tuple(spans), {mask: f"least({window}, n_tokens) in ({', '.join(of)})" for mask, of in spans.items()}
     item_seeds = stored(seeds(items, "item_tokens", masks, when).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "benchmark-seeds")
-    keys = stored(item_seeds.select("seed").distinct().coalesce(1), "benchmark-keys")
+    keys = stored(item_seeds.select("seed").distinct(), "benchmark-keys")
     if keys.count() <= most_broadcast:
         keys = F.broadcast(keys)
     named = docs.where(col("doc_id").isNotNull()).select(col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
