@@ -54,6 +54,65 @@ def test_collisions_are_solved_by_further_attempts(spark):
     assert len(got) == 3000 == len({r.surrogate for r in got})
 
 
+def test_all_forms_of_a_name(spark):
+    text = "Dr. Anna Weber met Frau Anna Weber. Weber said. Mr. J. Smith and Mr. SMITH and Herr Johann Sebastian Bach's dog; Smith's and BACH, smithy, Webern; J. Doe."
+    got = run(spark, [text, "Weber alone stays, as do Anna and Smith."])
+    out = got[0].text
+    for name in ("Anna", "Weber ", "Weber.", "Smith", "SMITH", "Johann", "Sebastian", "Bach", "BACH"):
+        assert name not in out, (name, out)
+    assert got[1].text == "Weber alone stays, as do Anna and Smith."
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) met Frau (\w+) (\w+)\. (\w+) said\. Mr\. (\w)\. (\w+) and Mr\. (\w+) and Herr (\w+) (\w+) (\w+)'s dog; (\w+)'s and (\w+), smithy, Webern; J\. Doe\.", out)
+    anna, weber, anna2, weber2, weber3, initial, smith, smith2, johann, sebastian, bach, smith3, bach2 = m.groups()
+    assert anna == anna2 and anna.endswith("a") and weber == weber2 == weber3 and initial != "J" and smith == smith3 and smith2 == smith.upper() and bach2 == bach.upper()
+    assert johann.endswith("n") and sebastian.endswith("n") and got[0].n_name == 5 and got[1].n_name == 0
+
+
+def test_format_with_nearly_all_values_taken(spark):
+    """Nine thousand of the ten thousand values of a short phone format, and all of one that has only ten thousand others."""
+    entities = [("phone", f"+1{n:04d}", "", "") for n in range(9000)] + [("phone", f"+7{n:04d}", "", "") for n in range(10_000)] + [("ssn", f"{n:09d}", "", "") for n in range(500)]
+    df = spark.createDataFrame(entities, "kind string, entity string, gender string, script string")
+    got = S.assigned(df, "k").collect()
+    assert len(got) == len(entities) == len({(r.kind, r.surrogate) for r in got}) and all(r.entity != r.surrogate for r in got)
+    assert all(r.entity[:2] == r.surrogate[:2] and len(r.entity) == len(r.surrogate) for r in got if r.kind == "phone")
+    real = {e for _, e, _, _ in entities}
+    assert not [r for r in got if r.kind == "ssn" and r.surrogate in real]
+
+
+def test_initials_stay_apart(spark):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    df = spark.createDataFrame([(f"{c.lower()}.", "latin") for c in letters], "entity string, script string")
+    got = {r.entity: r.s for r in df.select("entity", S.initial("key").alias("s")).collect()}
+    assert len(set(got.values())) == 26 and all(k.upper() != v for k, v in got.items())
+
+
+def brute(texts, surrogates):
+    """Texts put together word by word from a table of surrogates: titled names, then their words where they stand alone."""
+    titled = re.compile(r"(?:Mr|Frau) ((?:[A-Z][a-z]+ ?)+)")
+    out = []
+    for text in texts:
+        names = {w for m in titled.finditer(text) for w in m[1].split()}
+        out.append(re.sub(r"[A-Z][a-z]+", lambda m: surrogates[m[0]] if m[0] in names else m[0], text))
+    return out
+
+
+def test_texts_against_plain_python(spark):
+    """Surrogates are read off single mentions; whole texts must then be what plain replacement gives."""
+    import random
+
+    rng = random.Random(4)
+    family, plain = [f"Fam{a}{b}" for a in "abcdefgh" for b in "xyz"], ["the", "Dog", "and", "Tree", "ran", "Mail"]
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(5, 60)):
+            words.append(rng.choice([*plain, "Mr " + rng.choice(family), "Frau " + rng.choice(family), rng.choice(family)]) + rng.choice([",", ".", ";"]))
+        texts.append(" ".join(words))
+    texts.append(" ".join(f"Mr {rng.choice(family)}," for _ in range(5000)))
+    singles = run(spark, [f"Mr {f}." for f in family] + texts)
+    surrogates = {f: singles[i].text[3:-1] for i, f in enumerate(family)}
+    assert [singles[len(family) + i].text for i in range(len(texts))] == brute(texts, surrogates)
+
+
 def test_odd_rows(spark, docs_of, odd_rows, clashing):
     rows = [*odd_rows, (8, "a@b.example.com", "en", "a", 1), (8, "a@b.example.com", "en", "a", 1)]
     df = clashing(docs_of(rows))
