@@ -40,7 +40,7 @@ STAGES = [
     ("token_shards", token_shards),
 ]
 
-# Fingerprints, seeds and token ids have no SQL form; tests hold the run against a brute-force version.
+# Fingerprints, seeds and token ids have no SQL form; test_run_against_plain_python compares the run's rows with plain Python.
 ORACLE_SQL = None
 
 

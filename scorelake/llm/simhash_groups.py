@@ -10,15 +10,11 @@ some grid point lies within one of both. Every fingerprint is therefore put at t
 Copies are settled before: only distinct fingerprints are embedded. Dense clusters are settled before too: two
 fingerprints that share a neighbour at one bit differ by two or less, so all that meet in such a neighbour (65 at most, as they are
 distinct) form a star without comparison; the join keeps only pairs from different clusters. So the pairs it emits do
-not grow with the square of a cluster. Components are found by contracting each node into its least neighbour until no link is
-left, with every round stored in the shared folder.
+not grow with the square of a cluster. Components are found by contracting each node into a neighbour, the least by a hash that changes with
+the round, until no link is left, with every round stored in the shared folder.
 
-The near-duplicate stage of the pipeline (``near_dedup``) first links texts whose sets of shingles have a Jaccard
-similarity of ``similarity`` or more, and then the fingerprints of those that stay. Candidates come from a prefix join: in any one order of all shingles, two sets of that similarity share
-one among the first n - ceil(similarity * n) + 1 of each. Shingles that a sample of texts has often come last in the order, so that stock
-phrases are seldom in a prefix; the order changes the work, never the result. Lengths and places bound the overlap, and what is left is verified
-on the whole sets. Before all pairs of a shared shingle are made, each is compared with one member for all, in ``rounds``, so that large groups of copies are settled
-by stars. No pair is lost.
+The near-duplicate stage of the pipeline (``near_dedup``) keeps one row of each component of the same groups. What is joined and compared are fingerprints
+and ids; texts pass one shuffle, to the rows that stay.
 
 Defined cases: null and empty texts and texts of white space have fingerprint zero and link like any other. A text of fewer words
 than a shingle is one shingle. Repeated rows are separate rows with one class. A class is named by its least ``doc_id``;
@@ -27,8 +23,6 @@ rows without one take part but cannot name it, and a class of only such rows has
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -36,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.llm.common import col, fresh, most_frequent, quoted, small_batches, stored, text_of
+from scorelake.llm.common import col, fresh, quoted, small_batches, stored, text_of
 
 SEED = 42
 
@@ -113,13 +107,16 @@ def close_pairs(nodes: DataFrame, bits: int = 4) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b), the root being one node of the component.
 
-    Each round maps a node to the least of itself and its neighbours and rewrites the links; links within a node go.
+    Each round maps a node to the least of itself and its neighbours, by a hash that is another one in every round, and rewrites the links; links within
+    a node go. Whatever the order of the labels, about half of a chain's nodes go in a round, so the rounds grow with the logarithm of its length.
     """
     edges = stored(links.select("a", "b"), "links")
-    roots = None
+    roots, turn = None, 0
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        parent = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "parents")
+        both, turn = edges.union(edges.select("b", "a")), turn + 1
+        place = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("place"), F.col(c).alias("up"))  # noqa: E731, B023
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("least"))
+        parent = stored(least.select("node", F.least("least", place("node"))["up"].alias("up")), "parents")
         first, second = parent.toDF("a", "ua"), parent.toDF("b", "ub")
         edges = stored(
             edges.join(first, "a").join(second, "b").where("ua <> ub")
@@ -136,126 +133,38 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 4, bits: int =
     """(doc_id, fp, component_id) for every row of ``docs``."""
     small_batches(docs.sparkSession)
     rows = stored(docs.select(col("doc_id").cast("long").alias("doc_id"), fingerprints(words)(text_of(text)).alias("fp")), "fingerprints")
-    return fingerprint_groups(rows, bits)
+    final = fingerprint_classes(stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints"), bits)
+    names = final.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(final.join(names, "root").select("fp", "component_id"), "class-names")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def fingerprint_groups(rows: DataFrame, bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every stored row (doc_id, fp)."""
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+def fingerprint_classes(nodes: DataFrame, bits: int = 4) -> DataFrame:
+    """(fp, least, root) for every stored node (fp, least), each fingerprint once; nodes of one component have one root."""
     clusters = components(stars(nodes.select("fp")))
     placed = stored(nodes.join(clusters.toDF("fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("cluster")), "clusters")
     merged = components(close_pairs(placed.select("fp", "cluster"), bits))
     final = placed.join(merged.toDF("cluster", "top"), "cluster", "left").select("fp", "least", F.coalesce("top", "cluster").alias("root"))
-    final = stored(final, "classes")
-    names = final.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(final.join(names, "root").select("fp", "component_id"), "class-names")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def prefix_sets(words: int, need: Fraction, common: np.ndarray, rank: np.ndarray):
-    """UDF for a text's fingerprint, the digest of its set of shingles, its size, and its prefix; ``common`` is sorted and has the places of those that come last."""
-    @F.pandas_udf("fp long, node long, n long, prefix array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            hashes = shingle_hashes(t or "", words)
-            own = np.unique(hashes.view("<i8"))
-            at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
-            late = np.where(common[at] == own, rank[at], 0) if len(common) else np.zeros(len(own), dtype=np.int64)
-            n = len(own)
-            length = n - -(-need.numerator * n // need.denominator) + 1 if n else 0
-            out.append((majority(hashes), int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("int64")), n, own[np.lexsort((own, late))[:length]].tolist()))
-        return pd.DataFrame(out, columns=["fp", "node", "n", "prefix"])
-
-    return of
-
-
-def whole_sets(words: int):
-    @F.pandas_udf("node long, shingles array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(shingle_hashes(t or "", words).view("<i8")) for t in texts]
-        nodes = [int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("int64")) for own in sets]
-        return pd.DataFrame({"node": nodes, "shingles": [own.tolist() for own in sets]})
-
-    return of
+    return stored(final, "classes")
 
 
-def often_seen(texts: DataFrame, words: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three or more of about ``sample`` distinct texts have, sorted, and their places by frequency; ``most`` at most."""
-    rest = max(1, texts.count() // sample)
-    some = texts.where(F.pmod("key", F.lit(rest)) == 0).groupBy("key").agg(F.min("text").alias("text"))
-    each = some.select(F.explode(whole_sets(words)(F.col("text")).getField("shingles")).alias("word"))
-    top = most_frequent(stored(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "shingle-counts"), most)
-    found = np.array([r["word"] for r in top], dtype="<i8")
-    order = np.argsort(found)
-    return found[order], len(found) - order
-
-
-def _reach(need: Fraction, shared: str, n1: str, n2: str) -> str:
-    """SQL: sets of these sizes that share so many are similar enough."""
-    return f"({shared}) * {need.denominator} >= {need.numerator} * ({n1} + {n2} - ({shared}))"
-
-
-def similar_groups(
-    docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 2, sample: int = 20_000, most_common: int = 50_000,
-) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``: the components of the pairs at Jaccard ``similarity`` or more."""
+def near_dedup(docs: DataFrame, text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
+    """One row of each component: the one with the least ``doc_id`` (a row without one stays only where no row of the component has an id), of those
+    the one whose text has the least hash. Rows that share an id are told apart by their texts; of rows equal in both one stays."""
     small_batches(docs.sparkSession)
-    need = Fraction(str(similarity))
-    texts = docs.select(col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("key", F.xxhash64("text"))
-    common, rank = often_seen(texts, words, sample, most_common)
-    rows = stored(texts.select("doc_id", "key", prefix_sets(words, need, common, rank)(F.col("text")).alias("s")).select("doc_id", "key", "s.*"), "shingle-prefixes")
-    entries = rows.select("node", "n", "key", F.posexplode("prefix").alias("at", "shingle"))
-    shared = entries.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("shingle")
-    # Copies of one set go here: an entry is a set at a shingle, with one of the texts it can be read from.
-    met = stored(entries.join(stored(shared, "shared-shingles"), "shingle").groupBy("shingle", "node").agg(
-        F.min("n").alias("n"), F.min("at").alias("at"), F.min("key").alias("key")), "shared-entries")
-    wanted = met.select("key").distinct()
-    sets = texts.join(wanted, "key", "left_semi").select(whole_sets(words)(F.col("text")).alias("s")).select("s.*")
-    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The links (a, b) of clusters among candidate pairs (f1, c1, f2, c2)."""
-        both = stored(pairs.distinct(), "candidates").join(sets.toDF("f1", "s1"), "f1").join(sets.toDF("f2", "s2"), "f2")
-        alike = both.where(_reach(need, "size(array_intersect(s1, s2))", "size(s1)", "size(s2)"))
-        return alike.select(F.greatest("c1", "c2").alias("a"), F.least("c1", "c2").alias("b")).distinct()
-
-    overlap = _reach(need, "least(n1 - at1, n2 - at2)", "n1", "n2")
-    placed = stored(met.select("node").distinct().withColumn("cluster", F.col("node")), "set-clusters")
-    for turn in range(rounds + 1):
-        now = met.join(placed, "node")
-        open_ = now.groupBy("shingle").agg(
-            F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min_by(F.struct("node", "n", "at", "cluster"), F.xxhash64("node", F.lit(turn))).alias("one")).where("lo < hi")
-        if turn < rounds:
-            pairs = now.join(open_.select("shingle", "one"), "shingle").select(
-                F.col("node").alias("f1"), F.col("cluster").alias("c1"), F.col("n").alias("n1"), F.col("at").alias("at1"),
-                F.col("one.node").alias("f2"), F.col("one.cluster").alias("c2"), F.col("one.n").alias("n2"), F.col("one.at").alias("at2"))
-            pairs = pairs.where(f"c1 <> c2 and {overlap}")
-        else:
-            rest = stored(now.join(open_.select("shingle"), "shingle").select("shingle", "node", "cluster", "n", "at"), "open-entries")
-            left, right = rest.toDF("shingle", "f1", "c1", "n1", "at1"), rest.toDF("shingle", "f2", "c2", "n2", "at2")
-            pairs = left.join(right, "shingle").where(f"f1 < f2 and c1 <> c2 and {overlap}")
-        links = stored(verified(pairs.select("f1", "c1", "f2", "c2")), "set-links")
-        if not links.isEmpty():
-            roots = components(links).toDF("cluster", "top")
-            placed = stored(placed.join(roots, "cluster", "left").select("node", F.coalesce("top", "cluster").alias("cluster")), "set-clusters")
-    final = rows.select("doc_id", "fp", "node").join(placed, "node", "left").select("doc_id", "fp", F.coalesce("cluster", "node").alias("root"))
-    final = stored(final, "set-classes")
-    return final.join(final.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
-
-
-def near_dedup(docs: DataFrame, words: int = 5, bits: int = 4, similarity: float = 0.8) -> DataFrame:
-    """One document of each group at ``similarity``, and of those that then stay one of each group at ``bits``: the one with the least ``doc_id``.
-    Rows without an id are kept; of rows that share an id one stays."""
-    first = similar_groups(docs, words=words, similarity=similarity).where("doc_id is null or doc_id = component_id")
-    groups = fingerprint_groups(stored(first.select("doc_id", "fp").distinct(), "similar-kept"), bits)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    keep = stored(keep, "kept-ids")
-    first = fresh(docs, "nth")
-    found = docs.join(keep, col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[col(c) for c, t in docs.dtypes if not t.startswith("map")]))
-    one = found.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first)
-    return one.unionByName(docs.where(F.col("doc_id").isNull())).select(*map(quoted, docs.columns))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("key"))
+    rows = docs.select(col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("key"), fingerprints(words)(text_of(text)).alias("fp"))
+    nodes = stored(rows.groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
+    keep = fingerprint_classes(nodes, bits).groupBy("root").agg(F.min("least").alias("least"))
+    # Every kept key is one component's, so it is there once.
+    names = [fresh(docs, n) for n in ("kept_id", "kept_key", "own_id", "own_key", "nth")]
+    kept_id, kept_key, own_id, own_key, nth = map(F.col, names)
+    kept = stored(keep.select(F.col("least.doc_id").alias(names[0]), F.col("least.key").alias(names[1])), "kept-rows")
+    keyed = docs.withColumns({names[2]: col("doc_id").cast("long"), names[3]: F.xxhash64(text_of(text))})
+    found = keyed.join(kept, own_id.eqNullSafe(kept_id) & (own_key == kept_key), "left_semi")
+    tie = F.xxhash64(*[col(c) for c, t in docs.dtypes if not t.startswith("map")])
+    one = found.withColumn(names[4], F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(tie))).where(nth == 1)
+    return one.select(*map(quoted, docs.columns))
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:

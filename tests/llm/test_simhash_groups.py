@@ -83,10 +83,14 @@ def test_grid_loses_no_pair(spark):
     assert got == want
 
 
-def test_long_chain_is_one_component(spark):
-    links = spark.range(1, 200).selectExpr("id a", "id - 1 b")
-    got = S.components(links).collect()
-    assert len(got) == 200 and {r.root for r in got} == {0}
+def test_long_chain_in_few_rounds(spark, monkeypatch):
+    """Labels in the chain's order, in which each round of an order that stays the same would take one node off."""
+    rounds, stored = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, purpose: (rounds.append(purpose), stored(df, purpose))[1])
+    links = spark.range(1, 10_000).selectExpr("id a", "id - 1 b")
+    got = S.components(links)
+    assert got.count() == 10_000 and got.select("root").distinct().count() == 1
+    assert rounds.count("parents") <= 30
 
 
 def test_odd_rows(spark, docs_of, odd_rows, clashing):
@@ -108,49 +112,26 @@ def test_dedup_keeps_one_of_each_group(spark, docs_of, odd_rows, clashing):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 1), (False, 4), (False, 5), (False, 7), (False, 20), (False, 22), (True, 0)]
 
 
-def shingles(text, words=5):
-    w = text.lower().split()
-    return {" ".join(w[i:i + words]) for i in range(max(1, len(w) - words + 1))}
+def test_dedup_tells_rows_of_one_id_apart(docs_of):
+    rng = random.Random(2)
+    a, b, c, d = (prose(rng, 300) for _ in range(4))
+    rows = [(5, a, "en", "a", 1), (5, b, "en", "a", 1), (6, c, "en", "a", 1), (5, a, "en", "b", 2), (None, d, "en", "a", 1), (None, d, "en", "a", 1), (None, c, "en", "a", 1)]
+    got = [(r.doc_id, r.text) for r in S.near_dedup(docs_of(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (5, b), (6, c), (None, d)], key=str)
 
 
-def jaccard_least(docs, share=(4, 5)):
-    """Least id of each document's component of pairs at the similarity, over every pair."""
-    sets, least = {i: shingles(t) for i, t in docs}, {i: i for i, _ in docs}
-    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * share[1] >= share[0] * len(sets[a] | sets[b])]
-    changed = True
-    while changed:
-        changed = False
-        for a, b in pairs:
-            if least[a] != least[b]:
-                least[a] = least[b] = min(least[a], least[b])
-                changed = True
-    return least
-
-
-def test_dedup_finds_every_pair_of_the_similarity(spark, docs_of):
-    """Short and long texts with one to some words changed, a common line, a group of copies, and chains."""
-    rng = random.Random(11)
-    rows, line = [], prose(rng, 30)
-    for n in (8, 30, 60, 120, 200, 400):
-        for k in range(8):
+def test_dedup_is_one_row_of_each_brute_force_component(docs_of):
+    rng, texts = random.Random(11), []
+    for n in (3, 30, 200, 600):
+        for _ in range(6):
             words = prose(rng, n).split()
-            rows.append(" ".join(words))
-            for changes in (1, 2, 3, 5):
-                w = list(words)
+            texts += [" ".join(words)] * rng.randint(1, 3)
+            for changes in (1, 2, 5):
                 for at in rng.sample(range(n), min(changes, n)):
-                    w[at] = f"x{rng.random()}"
-                rows.append(" ".join(w))
-            rows.append(" ".join(words) + " " + line)
-    body = prose(rng, 150).split()
-    for k in range(40):
-        w = list(body)
-        w[rng.randrange(150)] = f"y{k}"
-        rows.append(" ".join(w))
-    docs = list(enumerate(rows, 1))
-    least = jaccard_least(docs)
-    for options in ({}, {"rounds": 0}):
-        got = {r.doc_id: r.component_id for r in S.similar_groups(docs_of([(i, t, "en", "a", 1) for i, t in docs]), **options).collect()}
-        assert got == least
-    kept = sorted(set(least.values()))
-    want = set(brute(kept, [S.fingerprint(rows[i - 1], 5) & (2**64 - 1) for i in kept]).values())
-    assert {r.doc_id for r in S.near_dedup(docs_of([(i, t, "en", "a", 1) for i, t in docs])).collect()} == want
+                    words[at] = f"x{rng.random()}"
+                texts.append(" ".join(words))
+    rng.shuffle(texts)
+    fps = [slow_fingerprint(t) for t in texts]
+    least = brute(list(range(len(texts))), fps)
+    got = [r.doc_id for r in S.near_dedup(docs_of([(i, t, "en", "a", 1) for i, t in enumerate(texts)])).collect()]
+    assert sorted(got) == sorted(set(least.values())) and len(got) < len(texts)
