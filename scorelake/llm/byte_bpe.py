@@ -254,14 +254,24 @@ def decoded(ids: Column, path: str, pattern: str, cuts: bool = False) -> Column:
     return raw(ids)
 
 
+def round_trip(text: Column, path: str, pattern: str, cuts: bool = False) -> Column:
+    """Struct of a text's packed ids (``ids``) and of the bytes they decode to (``raw``), in one pass: a column that calls one function on the other's result would encode twice."""
+    @F.pandas_udf("ids binary, raw binary")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        coder = worker_bpe(path, pattern, cuts)
+        ids = list(coder.encode([t or "" for t in texts]))
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "raw": pd.Series(map(coder.decode, ids), dtype=object)})
+
+    return both(text)
+
+
 def bpe_query(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: digests of the packed ids and of what they decode to."""
     import public_tokenizers
 
     small_batches(docs.sparkSession)
-    coder = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, True
-    ids = docs.select(col("doc_id").cast("long").alias("doc_id"), encoded(text_of(), *coder).alias("ids"))
-    both = ids.select("doc_id", "ids", decoded(F.col("ids"), *coder).alias("raw"))
+    coded = round_trip(text_of(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, True)
+    both = docs.select(col("doc_id").cast("long").alias("doc_id"), coded.alias("coded")).select("doc_id", "coded.*")
     return both.select(
         "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("raw", 256).alias("decoded_sha256"))
