@@ -79,7 +79,7 @@ class RankQueue:
 class ByteBpe:
     """Encodes and decodes with a file of ranks (base 64 of the bytes, space, rank; a line each)."""
 
-    def __init__(self, path: str, pattern: str, cuts: bool = False, most: int = 1_500_000, longest: int = 64):
+    def __init__(self, path: str, pattern: str, cuts: bool = False, most: int = 1_200_000, longest: int = 64):
         import regex
 
         with open(path, "rb") as lines:

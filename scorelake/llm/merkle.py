@@ -66,11 +66,11 @@ def ranked(nodes: DataFrame, *order: str) -> DataFrame:
         for batch in batches:
             trees = np.array(batch.column("tree").to_pylist(), dtype=object)
             nth = np.zeros(len(trees), dtype=np.int64)
-            starts = np.concatenate(([0], np.flatnonzero(trees[1:] != trees[:-1]) + 1, [len(trees)]))
+            starts = np.concatenate(([0], np.flatnonzero(trees[1:] != trees[:-1]) + 1, [len(trees)])) if len(trees) else np.array([0])
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                seen = seen if b > a and trees[a] == last else 0
+                seen = seen if trees[a] == last else 0
                 nth[a:b] = np.arange(seen, seen + b - a)
-                last, seen = (trees[a], seen + b - a) if b > a else (last, seen)
+                last, seen = trees[a], seen + b - a
             yield batch.append_column("part", pa.array([part] * len(trees), pa.int32())).append_column("nth", pa.array(nth))
 
     spread = nodes.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
