@@ -88,8 +88,8 @@ def primary_score(scores: Column, primary_metric: Column, named_by_type: Column)
     return F.coalesce(found, F.lit(0.0))
 
 
-def score_cards(df: DataFrame, presets: dict[str, ScorerPreset] = PRESETS, tags: tuple[TagRule, ...] = TAG_RULES) -> DataFrame:
-    """Add primary_metric, primary_score, passed, sub_scores and error_tags; rows have ``answer_type`` and ordered ``raw_scores``."""
+def score_cards(df: DataFrame, presets: dict[str, ScorerPreset] = PRESETS, tags: tuple[TagRule, ...] | None = TAG_RULES) -> DataFrame:
+    """Add primary_metric, primary_score, passed, sub_scores and error_tags; rows have ``answer_type`` and ordered ``raw_scores``. ``tags=None`` leaves all rows without tags."""
     rows = join_presets(df, presets)
     scores, known = F.col("raw_scores"), F.col("primary_metric").isNotNull()
     head = F.get(scores, F.lit(0))
@@ -102,7 +102,7 @@ def score_cards(df: DataFrame, presets: dict[str, ScorerPreset] = PRESETS, tags:
         score.alias("primary_score"),
         F.coalesce(known & (score >= F.col("pass_threshold")), F.lit(False)).alias("passed"),
         scores.alias("sub_scores"),
-        error_tags(scores, F.coalesce(known & (score < F.col("pass_threshold")), F.lit(False)), tags).alias("error_tags"),
+        (F.array().cast("array<string>") if tags is None else error_tags(scores, F.coalesce(known & (score < F.col("pass_threshold")), F.lit(False)), tags)).alias("error_tags"),
         F.lit("").alias("explain"),
     )
 

@@ -54,6 +54,7 @@ def test_tags_and_their_counts(spark):
     assert sum(r["rows"] for r in G.tag_counts(cards, []).collect()) == sum(counts.values())
     own = C.score_cards(spark.createDataFrame(rows, CARD), tags=(C.TagRule("zero", "mine", under=0.5),)).where("answer_type = 'free'").first()
     assert own.error_tags == ["zero"]
+    assert not [r for r in C.score_cards(spark.createDataFrame(rows, CARD), tags=None).collect() if r.error_tags]
 
 
 SCORE = "run_id string, run_time timestamp, task_name string, metric string, score double"
