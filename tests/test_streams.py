@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from scorelake.operators.order_stats import sketch_bucket
 from scorelake.session import shared_dir
 from scorelake.streaming import increments as I
@@ -43,6 +44,24 @@ def test_dedup_over_restarts_with_late_rows(spark):
     assert kept(spark, out) == ["a", "b", "c", "d", "f"] and counts["late"] == 2
 
 
+def test_keys_without_a_delay_are_held_for_good(spark):
+    landing, out, state = (shared_dir(spark, p) for p in ("l", "o", "s"))
+    for rows in ([("a", 0), ("b", HOUR)], [("c", 4000 * HOUR), (None, 0)], [("a", 9000 * HOUR), ("d", -HOUR), (None, 1)], [("b", 9001 * HOUR)]):
+        land(spark, landing, rows)
+        counts = run(spark, landing, out, state, None)
+    got = [r.sample_id for r in spark.read.schema(ROW).parquet(out).collect()]
+    assert sorted(got, key=str) == [None, "a", "b", "c", "d"] and counts["late"] == 0 and counts["keys"] == 5
+
+
+def test_stm_dedup_over_all_days(spark, tmp_path):
+    """A key comes once, however many days it has, and rows without a time or an id count too."""
+    rows = [(1, 0, 7, "a"), (5, 20 * 24 * HOUR, 7, "a"), (9, None, 7, "a"), (2, None, 8, "b"), (None, HOUR, 9, "c"), (13, 27 * 24 * HOUR, 7, "a")]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string")
+    events.select("event_id", F.timestamp_seconds(F.col("s") + 1_704_067_200).alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    got = entry.queries()["stm_dedup"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("7", "a", "m1"), ("8", "b", "m2"), ("9", "c", None)]
+
+
 def test_state_is_bounded_by_the_watermark(spark):
     landing, out, state = (shared_dir(spark, p) for p in ("l", "o", "s"))
     most = []
