@@ -106,12 +106,12 @@ def rejected_payloads(payloads: DataFrame) -> DataFrame:
 def newest_payloads(payloads: DataFrame, landed: str) -> DataFrame:
     """Of each plate's good payloads the one that landed last; on a tie the one whose text has the larger digest.
 
-    The pick is made by a fixed-width order; payload texts are not moved for it but for the last join.
+    Payloads without a plate are left out. The pick is one aggregate, so a payload is parsed once, its digest is taken once, and only the best of each task
+    is moved.
     """
-    good = payloads.where(F.col("code") == PAYLOAD_OK).withColumns({
-        "_plate": F.col("data.id"), "_order": F.struct(F.col(landed).alias("at"), F.sha2(F.to_json("data"), 256).alias("digest"))})
-    last = good.groupBy("_plate").agg(F.max("_order").alias("_order"))
-    return good.join(last, ["_plate", "_order"], "left_semi").dropDuplicates(["_plate"]).drop("_plate", "_order")
+    good = payloads.where(F.col("code") == PAYLOAD_OK).select(F.col("data.id").alias("_plate"), F.struct("*").alias("_row"))
+    order = F.struct(F.col("_row")[landed].alias("at"), F.sha2(F.to_json("_row.data"), 256).alias("digest"))
+    return good.where("_plate is not null").groupBy("_plate").agg(F.max_by("_row", order).alias("_row")).select("_row.*")
 
 
 def split_payloads(payloads: DataFrame, updated_at: Column) -> dict[str, DataFrame]:

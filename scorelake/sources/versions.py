@@ -134,12 +134,12 @@ class TableGroup:
         buckets = state.buckets if state else buckets
         schema = rows.schema.toDDL() if not state else state.schema
         dealt = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        gone = rows.select(key).distinct()
-        if replaced is not None:
-            gone = gone.union(replaced.toDF(key)).distinct()
-        touched = sorted(row["bucket"] for row in gone.select(dealt.alias("bucket")).distinct().collect())
-        fresh = rows.select(*T.StructType.fromDDL(schema).fieldNames()).withColumn("bucket", dealt)
+        fresh, touched = rows.select(*T.StructType.fromDDL(schema).fieldNames()).withColumn("bucket", dealt), []
         if state:
+            gone = rows.select(key).distinct()
+            if replaced is not None:
+                gone = gone.union(replaced.toDF(key)).distinct()
+            touched = sorted(row["bucket"] for row in gone.select(dealt.alias("bucket")).distinct().collect())
             # Null keys are replaced by null keys.
             left, right = self._bucketed(table, state, touched), gone.toDF("_gone")
             fresh = left.join(right, F.col(key).eqNullSafe(F.col("_gone")), "left_anti").unionByName(fresh)

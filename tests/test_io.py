@@ -11,6 +11,7 @@ from scorelake.operators import aggregates as A
 from scorelake.operators.ranking import first_rows
 from scorelake.plans import plates as PL
 from scorelake.plans import reports as R
+from scorelake.plans.adapters import Tables
 from scorelake.schemas import NEWS_SAMPLE, RESULT_ROW
 from scorelake.session import shared_dir
 from scorelake.sources import readers as S
@@ -166,3 +167,17 @@ def test_cache_fill_keeps_one_row_per_key(spark):
         spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").json(landing)
         I.finish(I.fill_cache(I.stream_folder(spark, landing, ddl), cache, state))
     assert sorted((r.cache_key, r.content) for r in spark.read.parquet(cache).collect()) == [("a", "1"), ("c", "3")]
+
+
+def test_payloads_are_parsed_in_many_tasks_and_picked_in_one_pass(spark, tmp_path):
+    """Parts in one row group: their payloads are landed as several files, and the newest are picked without a join of payloads."""
+    parts = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame([(i if i else None, f"n{i}", "b", "t", i % 7, 1.0) for i in range(400)], parts).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    payloads = Tables(spark, str(tmp_path)).payloads
+    assert len(payloads.inputFiles()) > 1 and payloads.count() == 400
+    both = payloads.withColumn("landed", F.lit(1)).unionByName(payloads.withColumns({"landed": F.lit(2), "data": F.col("data").withField("name", F.lit("new"))}))
+    newest = S.newest_payloads(both.unionByName(both.where("landed = 1")), "landed")
+    plan = newest._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    got = newest.select("data.id", "data.name", "landed").collect()
+    assert sorted(r.id for r in got) == [i for i in range(400) if i % 10] and {(r.name, r.landed) for r in got} == {("new", 2)}
