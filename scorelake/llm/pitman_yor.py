@@ -1,20 +1,20 @@
 """A hierarchical Pitman-Yor language model of words, seated by Gibbs sampling over Spark tables.
 
-Restaurants: each of the ``contexts`` most frequent words (and the start of a text) has one for the words that follow it, and all of them share
-one parent, whose base is uniform over the known words and one unknown. Words after any other word are customers of
-the parent itself. A table of a word in a context restaurant is a customer of the parent.
-
-Everything about one word is one row: its count, its count after rare words, and its counts by context. A sweep unseats a
-word's customers restaurant by restaurant and seats them anew, one by one, given the rest of the restaurant as of the last sweep; beyond the
-64th customer of a word in one restaurant they come in blocks of a sixteenth of those seated, whose new tables are
-their expectation, rounded at random. All that words need of each other are the tables of every restaurant: ``contexts`` + 3
-numbers, summed by Spark after each sweep. Random numbers are functions of word, sweep and step, so a later job replays earlier
-sweeps from those sums; nothing is kept between jobs that a lost executor could take along. Predictive probabilities
-are averaged over the sweeps after ``burn_in``.
-
-Scoring: documents are cut into chunks of about ``chunk_tokens`` tokens. A chunk sends each of its distinct words once, with context and
-document of each occurrence in packed arrays, to the word's row; the sums by document come back packed by chunk. So rows follow
-distinct words a chunk, not tokens, and a hot word is one row a chunk.
+Restaurants: every word that training texts have (and the start of a text) has one for the words that follow it, and all of them share
+one parent, whose base is uniform over the known words and one unknown. A table of a word in a context restaurant is a customer of the parent.
+
+Customers of a restaurant and a word are one row (context, word, count); a context and a word have a row each, with their tables and customers. A
+sweep brings a context's tables and a word's parent probability to the rows with two customers or more, unseats and seats their customers anew, one by one,
+given the rest of the restaurant as of the last sweep, and sums the new tables by context and by word; a single customer always has a table of its own and
+is only counted. Beyond the 64th customer of a word in one restaurant they come in blocks of a sixteenth of those seated, whose new tables are their
+expectation, rounded at random. The state after each sweep is stored; only two sums come to the driver. Random numbers are functions of the words,
+sweep and step. Predictive probabilities are averaged over the sweeps after ``burn_in``.
+
+Scoring: documents are cut into chunks of about ``chunk_tokens`` tokens. A chunk sends each of its distinct pairs of words once, with the
+document of each occurrence in a packed array, to the pair's probability; the sums by document come back packed by chunk.
+
+With ``contexts`` given, only that many of the most frequent words have a restaurant, and words after any other word are customers of the parent itself:
+a smaller model whose rows are words, with the tables by context as vectors on the driver. The query does not use it.
 
 Defined cases: null and empty texts are the end alone. Rows without an id are learned from and not held out. Repeated rows are learned from as
 often as they occur, and scored each. Without training documents the only known mass is the unknown word: every score is 0.
@@ -148,6 +148,10 @@ class Chunk:
         of = np.array([*numbers.values(), 0], dtype=np.int64)[listed]
         return of[np.concatenate(([self.end], self.ids[:-1]))]
 
+    def pairs(self) -> np.ndarray:
+        """The word before and the word of each token, as one number; the end of a text stands for the start of the next."""
+        return np.concatenate(([self.end], self.ids[:-1])) << 32 | self.ids
+
 
 def _chunks(batches, chunk_tokens: int):
     """(tokens, ids, learned flags) for chunks of whole documents of about ``chunk_tokens`` tokens."""
@@ -258,6 +262,12 @@ def predictive(rows: DataFrame, settings: Settings, burn_in: int) -> DataFrame:
     return rows.mapInArrow(of, "word binary, n long, top array<double>, ctxs array<int>, probs array<double>")
 
 
+def _labels(names: list) -> bytes:
+    """Ids of a chunk's documents, then which of them are known."""
+    known = np.array([n is not None for n in names])
+    return np.where(known, [n or 0 for n in names], 0).astype("<i8").tobytes() + known.tobytes()
+
+
 def occurrences(docs: DataFrame, numbers: dict[bytes, int], chunk_tokens: int) -> DataFrame:
     """(chunk, word, ctx, doc, names): a chunk's distinct words, with context and document number of each occurrence as packed arrays.
     The row of the end, which every document has once, carries the documents' ids."""
@@ -271,11 +281,9 @@ def occurrences(docs: DataFrame, numbers: dict[bytes, int], chunk_tokens: int) -
             offsets = np.concatenate(([0], np.cumsum(np.bincount(own.ids, minlength=len(own.words)))))
             ctx = own.contexts(numbers)[order].astype("<u2")
             doc = np.repeat(np.arange(len(own.sizes), dtype="<u4"), own.sizes)[order]
-            known = np.array([n is not None for n in names])
-            ends = np.where(known, [n or 0 for n in names], 0).astype("<i8").tobytes() + known.tobytes()
             chunk = TaskContext.get().partitionId() << 32 | number
             labels = [None] * len(own.words)
-            labels[own.end] = ends
+            labels[own.end] = _labels(names)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk] * len(own.words), pa.int64()), own.words, packed(ctx, offsets), packed(doc, offsets), pa.array(labels, pa.binary())],
                 ["chunk", "word", "ctx", "doc", "names"])
@@ -294,6 +302,30 @@ def _joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 SUMS = "chunk long, names binary, doc binary, tokens binary, known binary, base binary, score binary"
 
 
+def _summed(held: list) -> pa.RecordBatch:
+    """Sums by document of (chunk, document, known, base, score) by occurrence, packed by chunk."""
+    chunk, doc, known, base, score = (np.concatenate(x) for x in zip(*held))
+    chunks, number = np.unique(chunk, return_inverse=True)
+    order = np.argsort(number << 32 | doc)
+    keys = (number << 32 | doc)[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    sums = [np.diff(np.append(first, len(keys))), *[np.add.reduceat(w[order], first) for w in (known, base, score)]]
+    keys = keys[first]
+    both = chunks[keys >> 32], keys & 0xFFFFFFFF
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(both[0])) + 1, [len(keys)]))
+    kinds = ("<u4", "<u4", "<u4", "<f8", "<f8")
+    columns = [[np.asarray(v[a:b]).astype(k).tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for v, k in zip((both[1], *sums), kinds)]
+    n = len(cuts) - 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(both[0][cuts[:-1]]), pa.nulls(n, pa.binary()), *[pa.array(c, pa.binary()) for c in columns]], [c.split()[0] for c in SUMS.split(", ")])
+
+
+def _names_of(batch: pa.RecordBatch):
+    named = batch.filter(pa.array(~np.asarray(batch.column("names").is_null())))
+    if named.num_rows:
+        yield pa.RecordBatch.from_arrays([named.column("chunk"), named.column("names"), *[pa.nulls(named.num_rows, pa.binary())] * 5], [c.split()[0] for c in SUMS.split(", ")])
+
+
 def partial_scores(matched: DataFrame, settings: Settings, burn_in: int, totals: dict, most_held: int = 2_000_000) -> DataFrame:
     """Sums by document, packed by chunk; what is held between batches is at most ``most_held`` occurrences and a batch."""
     samples = settings.sums[burn_in + 1:]
@@ -305,22 +337,6 @@ def partial_scores(matched: DataFrame, settings: Settings, burn_in: int, totals:
     def of(batches):
         held, size = [], 0
 
-        def out():
-            chunk, doc, known, base, score = (np.concatenate(x) for x in zip(*held))
-            chunks, number = np.unique(chunk, return_inverse=True)
-            order = np.argsort(number << 32 | doc)
-            keys = (number << 32 | doc)[order]
-            first = np.flatnonzero(np.diff(keys, prepend=-1))
-            sums = [np.diff(np.append(first, len(keys))), *[np.add.reduceat(w[order], first) for w in (known, base, score)]]
-            keys = keys[first]
-            both = chunks[keys >> 32], keys & 0xFFFFFFFF
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(both[0])) + 1, [len(keys)]))
-            kinds = ("<u4", "<u4", "<u4", "<f8", "<f8")
-            columns = [[np.asarray(v[a:b]).astype(k).tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for v, k in zip((both[1], *sums), kinds)]
-            n = len(cuts) - 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(both[0][cuts[:-1]]), pa.nulls(n, pa.binary()), *[pa.array(c, pa.binary()) for c in columns]], [c.split()[0] for c in SUMS.split(", ")])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -347,18 +363,134 @@ def partial_scores(matched: DataFrame, settings: Settings, burn_in: int, totals:
             chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
             held.append((chunk[row], doc.astype(np.int64), (count > 0)[row].astype(np.float64), np.log10((count + 1) / denominator)[row], np.log10(p)))
             size += len(row)
-            named = batch.filter(pa.array(~np.asarray(batch.column("names").is_null())))
-            if named.num_rows:
-                yield pa.RecordBatch.from_arrays([named.column("chunk"), named.column("names"), *[pa.nulls(named.num_rows, pa.binary())] * 5], [c.split()[0] for c in SUMS.split(", ")])
+            yield from _names_of(batch)
             if size >= most_held:
-                yield out()
+                yield _summed(held)
                 held, size = [], 0
         if held:
-            yield out()
+            yield _summed(held)
 
     return matched.mapInArrow(of, SUMS)
 
 
+def every_pair(docs: DataFrame, chunk_tokens: int) -> DataFrame:
+    """(ctx, word, n): each pair of words that follow one another in any text, and how often they do in learned ones."""
+    def counts(batches):
+        for chunk, _, learned in _chunks(batches, chunk_tokens):
+            both = np.sort(chunk.pairs() << 1 | np.repeat(learned, chunk.sizes))
+            at = np.flatnonzero(np.diff(both >> 1, prepend=-1))
+            n = np.add.reduceat(both & 1, at)
+            ctx, word = both[at] >> 33, both[at] >> 1 & 0xFFFFFFFF
+            yield pa.RecordBatch.from_arrays([chunk.words.take(pa.array(ctx)), chunk.words.take(pa.array(word)), pa.array(n)], ["ctx", "word", "n"])
+
+    return docs.mapInArrow(counts, "ctx binary, word binary, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
+
+
+def _seat(df: DataFrame, settings: Settings, sweep: int, top: bool) -> DataFrame:
+    """``t`` of rows (key, n, rest, p, t): the tables of ``n`` customers seated anew beside ``rest`` tables, given the tables ``t`` of before."""
+    strength, discount = (settings.s1, settings.d1) if top else (settings.s2, settings.d2)
+
+    def of(batches):
+        for batch in batches:
+            n, rest, p, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "rest", "p", "t"))
+            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            new = seated(n.astype(np.int64), strength + discount * (rest - t), discount, p, keys, sweep)
+            yield batch.set_column(batch.schema.get_field_index("t"), "t", pa.array(new)).drop_columns(["rest", "p", "key"])
+
+    left = df.drop("rest", "p", "key").schema
+    return df.mapInArrow(of, left)
+
+
+def whole_model(docs: DataFrame, burn_in: int, samples: int, chunk_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, Settings, dict]:
+    """Restaurants for all contexts: rows of pairs (ctx, word, n, t), contexts (ctx, c, back_<i>) and words (word, n, prob_<i>), settings and totals.
+
+    ``t`` are a pair's tables, ``back_<i>`` the mass that a context gives to the parent and ``prob_<i>`` a word's probability there, the first averaged over the
+    samples, the others for each. Pairs and words that only other texts have are among them, with no customers.
+    """
+    pairs = stored(every_pair(docs, chunk_tokens), "pairs")
+    seen = lambda k: F.count_if(F.col("n") == k)
+    words = stored(pairs.groupBy("word").agg(
+        F.sum("n").alias("count"), seen(1).cast("double").alias("singles"), F.count_if(F.col("n") > 0).cast("double").alias("n")
+    ).withColumn("t", F.least("n", F.lit(1.0))), "words")
+    contexts = stored(pairs.groupBy("ctx").agg(
+        F.sum("n").alias("c"), seen(1).cast("double").alias("singles"), F.count_if(F.col("n") > 0).cast("double").alias("tables")), "contexts")
+    numbers = lambda: [F.sum("t").alias("t"), F.sum("n").alias("n")]
+    total = words.agg(F.sum("count").alias("tokens"), F.count_if(F.col("count") > 0).alias("known"), F.count_if(F.col("count") == 1).alias("ones"), F.count_if(F.col("count") == 2).alias("twos"), *numbers()).first()
+    settings = Settings(total["known"], (_discount(total, "ones", "twos"), _discount(pairs.agg(seen(1).alias("ones"), seen(2).alias("twos")).first(), "ones", "twos")), np.zeros(0))
+    settings.sums.append([total["t"] or 0.0, total["n"] or 0.0])
+    several = pairs.where("n > 1").select("ctx", "word", "n", F.lit(1.0).alias("t"), F.lit(0.0).alias("all"))
+    back = (settings.s2 + settings.d2 * F.col("tables")) / (settings.s2 + F.col("c"))
+    for sweep in range(1, burn_in + samples + 1):
+        sums, sample = settings.sums[-1], sweep - burn_in - 1
+        parent = words.select("word", settings.parent_probability(F.col("n"), F.col("t"), sums).alias("p"))
+        near = several.join(contexts.select("ctx", F.col("tables").alias("rest")), "ctx").join(parent, "word").withColumn("key", F.xxhash64("ctx", "word"))
+        several = stored(_seat(near, settings, sweep, False).withColumn("all", F.col("all") + (F.col("t") if sample >= 0 else 0.0)), "seats")
+        by = lambda key: several.groupBy(key).agg(F.sum("t").alias("sum"))  # noqa: B023, E731
+        contexts = contexts.join(by("ctx"), "ctx", "left").withColumn("tables", F.col("singles") + F.coalesce("sum", F.lit(0.0))).drop("sum")
+        contexts = stored(contexts.withColumn(f"back_{sample}", back) if sample >= 0 else contexts, "contexts")
+        heads = words.join(by("word"), "word", "left").withColumn("n", F.col("singles") + F.coalesce("sum", F.lit(0.0))).drop("sum").withColumns(
+            {"key": F.xxhash64("word"), "rest": F.lit(sums[0]), "p": F.lit(settings.base)})
+        words = stored(_seat(heads, settings, sweep, True), "words")
+        row = words.agg(*numbers()).first()
+        settings.sums.append([row["t"] or 0.0, row["n"] or 0.0])
+        if sample >= 0:
+            words = words.withColumn(f"prob_{sample}", settings.parent_probability(F.col("n"), F.col("t"), settings.sums[-1]))
+    single = pairs.where("n < 2").withColumn("t", F.col("n").cast("double"))
+    pairs = single.unionByName(several.select("ctx", "word", "n", (F.col("all") / samples).alias("t")))
+    words = words.select("word", F.col("count").alias("n"), *[f"prob_{i}" for i in range(samples)])
+    return pairs, contexts.drop("singles", "tables"), words, settings, {"tokens": total["tokens"] or 0, "known": total["known"]}
+
+
+def pair_probabilities(pairs: DataFrame, contexts: DataFrame, words: DataFrame, settings: Settings, samples: int) -> DataFrame:
+    """(ctx, word, n, p): the count of the word and its averaged probability after the context."""
+    own = (F.col("n") - settings.d2 * F.col("t")) / (settings.s2 + F.col("c"))
+    given = sum((F.col(f"back_{i}") * F.col(f"prob_{i}") for i in range(samples)), F.lit(0.0)) / samples
+    return pairs.join(contexts, "ctx").join(words.withColumnRenamed("n", "count"), "word").select("ctx", "word", F.col("count").alias("n"), (own + given).alias("p"))
+
+
+def pair_occurrences(docs: DataFrame, chunk_tokens: int) -> DataFrame:
+    """(chunk, ctx, word, doc, names): a chunk's distinct pairs, with the document number of each occurrence as a packed array. The first row carries the documents' ids."""
+    def rows(batches):
+        for number, (own, names, _) in enumerate(_chunks(batches, chunk_tokens)):
+            both = own.pairs()
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            at = np.flatnonzero(np.diff(both, prepend=-1))
+            doc = np.repeat(np.arange(len(own.sizes), dtype="<u4"), own.sizes)[order]
+            offsets = np.append(at, len(both)) * doc.itemsize
+            chunk = TaskContext.get().partitionId() << 32 | number
+            labels = pa.concat_arrays([pa.array([_labels(names)], pa.binary()), pa.nulls(len(at) - 1, pa.binary())])
+            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(doc)])
+            ctx, word = (own.words.take(pa.array(x)) for x in (both[at] >> 32, both[at] & 0xFFFFFFFF))
+            whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk)), ctx, word, packed, labels], ["chunk", "ctx", "word", "doc", "names"])
+            yield from (whole.slice(i, 65_536) for i in range(0, len(at), 65_536))
+
+    return docs.mapInArrow(rows, "chunk long, ctx binary, word binary, doc binary, names binary")
+
+
+def pair_scores(matched: DataFrame, totals: dict, most_held: int = 2_000_000) -> DataFrame:
+    """Sums by document, packed by chunk, of occurrences with the count and probability of their pair."""
+    denominator = totals["tokens"] + totals["known"] + 1
+
+    def of(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, sizes = _joined(batch.column("doc"), "<u4")
+            count, p, chunk = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("n", "p", "chunk"))
+            held.append((chunk, doc.astype(np.int64), (count > 0).astype(np.float64), np.log10((count + 1) / denominator), np.log10(p)))
+            size += len(doc)
+            yield from _names_of(batch)
+            if size >= most_held:
+                yield _summed(held)
+                held, size = [], 0
+        if held:
+            yield _summed(held)
+
+    return matched.select("chunk", "doc", "names", "n", "p").mapInArrow(of, SUMS)
+
+
 def document_scores(partial: DataFrame) -> DataFrame:
     """A row for each document; a group is one chunk's documents."""
     def of(group: pa.Table) -> pa.Table:
@@ -377,11 +509,18 @@ def document_scores(partial: DataFrame) -> DataFrame:
     return partial.groupBy("chunk").applyInArrow(of, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def scored(docs: DataFrame, contexts: int = 200, burn_in: int = 2, samples: int = 3, chunk_tokens: int = 3_000_000) -> tuple[DataFrame, int]:
-    """Scores of ``docs`` (doc_id, text, learned) under the model of the rows with ``learned``, and how many tokens those have."""
-    if not 0 < contexts < 65_535:
+def scored(docs: DataFrame, contexts: int | None = None, burn_in: int = 2, samples: int = 3, chunk_tokens: int = 3_000_000) -> tuple[DataFrame, int]:
+    """Scores of ``docs`` (doc_id, text, learned) under the model of the rows with ``learned``, and how many tokens those have.
+
+    Every context has a restaurant, unless ``contexts`` says how many of the most frequent ones have.
+    """
+    if contexts is not None and not 0 < contexts < 65_535:
         raise ValueError("contexts are numbered in two bytes")
     small_batches(docs.sparkSession, 8192)
+    if contexts is None:
+        *model, totals = whole_model(docs, burn_in, samples, chunk_tokens)
+        matched = pair_occurrences(docs, chunk_tokens).join(pair_probabilities(*model, samples), ["ctx", "word"])
+        return document_scores(pair_scores(matched, totals)), totals["tokens"]
     rows, settings, numbers, totals = learned_model(docs, contexts, burn_in, samples, chunk_tokens)
     model = predictive(rows, settings, burn_in)
     matched = occurrences(docs, numbers, chunk_tokens).join(model, "word", "left").select("chunk", "ctx", "doc", "names", "n", "top", "ctxs", "probs")

@@ -79,6 +79,44 @@ def test_scores_match_the_model_rows(spark, docs_of):
         assert got[i] == pytest.approx(total)
 
 
+def test_every_context_has_a_restaurant(spark, docs_of):
+    """The whole model against its rows: a restaurant for each word that another one follows, probabilities of one, and the sums of every document."""
+    data = corpus(60, 5)
+    slim = docs_of(data).select("doc_id", "text", (F.col("doc_id") % 3 > 0).alias("learned"))
+    pairs, contexts, words, settings, totals = P.whole_model(slim, 1, 2, 300)
+    follow, counts = Counter(), Counter()
+    for i, t, *_ in data:
+        for a, b in zip([P.END, *tokens(t)], tokens(t)):
+            follow[a, b] += i % 3 > 0
+            counts[b] += i % 3 > 0
+    got = {(bytes(r.ctx), bytes(r.word)): r for r in pairs.collect()}
+    assert {k: r.n for k, r in got.items()} == dict(follow) and all(min(r.n, 1) <= r.t <= r.n for r in got.values())
+    assert any(r.t > 1 for r in got.values()) and {r.t for r in got.values() if r.n == 1} == {1.0}
+    ctx, word = {bytes(r.ctx): r for r in contexts.collect()}, {bytes(r.word): r for r in words.collect()}
+    assert {k: r.n for k, r in word.items()} == dict(counts) and sum(r.c > 0 for r in ctx.values()) > 100
+    probs = {(bytes(r.ctx), bytes(r.word)): r.p for r in P.pair_probabilities(pairs, contexts, words, settings, 2).collect()}
+    unknown = [settings.unknown(s) for s in settings.sums[2:]]
+    for c, r in ctx.items():
+        back = (r.back_0, r.back_1)
+        other = sum(np.dot(back, (w.prob_0, w.prob_1)) / 2 for k, w in word.items() if counts[k] and (c, k) not in probs)
+        assert sum(p for (a, b), p in probs.items() if a == c and counts[b]) + other + np.dot(back, unknown) / 2 == pytest.approx(1)
+    scores = {r.doc_id: r.score for r in P.scored(slim, None, 1, 2, 300)[0].collect()}
+    for i, t, *_ in data:
+        assert scores[i] == pytest.approx(sum(math.log10(probs[p]) for p in zip([P.END, *tokens(t)], tokens(t))))
+
+
+def test_the_query_learns_what_follows_rare_words(spark, docs_of):
+    """400 contexts, each always followed by its own word: a model with few restaurants could not tell them from shuffled ones."""
+    rng = random.Random(6)
+    pair = lambda k, other: f"a{k} b{other} "
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    learned = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2][:200]
+    rows = [(i, "".join(pair(k, k) for k in rng.sample(range(400), 40)), "en", "s", 1) for i in learned]
+    rows += [(held[0], "".join(pair(k, k) for k in range(400)), "en", "s", 1), (held[1], "".join(pair(k, (k + 1) % 400) for k in range(400)), "en", "s", 1)]
+    got = {r.doc_id: r for r in P.language_model_query(docs_of(rows)).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score) and got[held[0]].score > got[held[1]].score + 400
+
+
 def test_seating(spark):
     counts = np.array([0, 1, 2, 64, 65, 5000, 10**7])
     ones = np.ones(len(counts))
