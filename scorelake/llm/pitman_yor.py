@@ -3,15 +3,20 @@
 Restaurants: every word that training texts have (and the start of a text) has one for the words that follow it, and all of them share
 one parent, whose base is uniform over the known words and one unknown. A table of a word in a context restaurant is a customer of the parent.
 
-Customers of a restaurant and a word are one row (context, word, count); a context and a word have a row each, with their tables and customers. A
+Pairs of a context and a word have customers and tables, and so have contexts and words. A
 sweep brings a context's tables and a word's parent probability to the rows with two customers or more, unseats and seats their customers anew, one by one,
 given the rest of the restaurant as of the last sweep, and sums the new tables by context and by word; a single customer always has a table of its own and
 is only counted. Beyond the 64th customer of a word in one restaurant they come in blocks of a sixteenth of those seated, whose new tables are their
-expectation, rounded at random. The state after each sweep is stored; only two sums come to the driver. Random numbers are functions of the words,
+expectation, rounded at random. The state after each sweep is stored; only sums come to the driver. Random numbers are functions of the words,
 sweep and step. Predictive probabilities are averaged over the sweeps after ``burn_in``.
 
-Scoring: documents are cut into chunks of about ``chunk_tokens`` tokens. A chunk sends each of its distinct pairs of words once, with the
-document of each occurrence in a packed array, to the pair's probability; the sums by document come back packed by chunk.
+Pairs and words lie at places, packed: a line of a table holds all that a place sends to another, as compressed arrays in an order that both know, so a sweep
+shuffles lines and not rows. Words are numbered by where they lie. All pairs of a context lie at one place, but for contexts with more tokens than a
+place has on average; the tables of those (at most one a place) come to the driver as sums. A table takes the folder of one that is read no more.
+``whole_model`` gives the same model as rows.
+
+Scoring: documents are cut into chunks of about ``chunk_tokens`` tokens, stored as numbers. A chunk sends each of its distinct pairs of words once; customers,
+tables and parent probabilities come back in the order sent, and the chunk sums its documents.
 
 With ``contexts`` given, only that many of the most frequent words have a restaurant, and words after any other word are customers of the parent itself:
 a smaller model whose rows are words, with the tables by context as vectors on the driver. The query does not use it.
@@ -26,11 +31,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import col, most_frequent, small_batches, stored, text_of
+from scorelake.session import shared_dir
 
 END = b"\n"  # No word has white space in it, so this is none.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -448,47 +455,387 @@ def pair_probabilities(pairs: DataFrame, contexts: DataFrame, words: DataFrame,
     return pairs.join(contexts, "ctx").join(words.withColumnRenamed("n", "count"), "word").select("ctx", "word", F.col("count").alias("n"), (own + given).alias("p"))
 
 
-def pair_occurrences(docs: DataFrame, chunk_tokens: int) -> DataFrame:
-    """(chunk, ctx, word, doc, names): a chunk's distinct pairs, with the document number of each occurrence as a packed array. The first row carries the documents' ids."""
-    def rows(batches):
-        for number, (own, names, _) in enumerate(_chunks(batches, chunk_tokens)):
-            both = own.pairs()
-            order = np.argsort(both, kind="stable")
-            both = both[order]
-            at = np.flatnonzero(np.diff(both, prepend=-1))
-            doc = np.repeat(np.arange(len(own.sizes), dtype="<u4"), own.sizes)[order]
-            offsets = np.append(at, len(both)) * doc.itemsize
-            chunk = TaskContext.get().partitionId() << 32 | number
-            labels = pa.concat_arrays([pa.array([_labels(names)], pa.binary()), pa.nulls(len(at) - 1, pa.binary())])
-            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(doc)])
-            ctx, word = (own.words.take(pa.array(x)) for x in (both[at] >> 32, both[at] & 0xFFFFFFFF))
-            whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk)), ctx, word, packed, labels], ["chunk", "ctx", "word", "doc", "names"])
-            yield from (whole.slice(i, 65_536) for i in range(0, len(at), 65_536))
+# Tables of the whole model: a line goes to the place that works on it, from another one, with packed arrays and totals that are summed over all lines.
+LINES = "kind string, place long, other long, arrays array<binary>, totals array<double>"
+_LINE = pa.schema([("kind", pa.string()), ("place", pa.int64()), ("other", pa.int64()), ("arrays", pa.list_(pa.binary())), ("totals", pa.list_(pa.float64()))])
+_LOW = 38  # Bits of a word's number.
 
-    return docs.mapInArrow(rows, "chunk long, ctx binary, word binary, doc binary, names binary")
 
+def pack(values, kind: str = "i8") -> bytes:
+    """Numbers as bytes of one place each, compressed: small numbers and repeats take little."""
+    raw = np.ascontiguousarray(values, dtype="<" + kind)
+    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T)
+    return kind.encode() + len(raw).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if len(raw) else b"")
 
-def pair_scores(matched: DataFrame, totals: dict, most_held: int = 2_000_000) -> DataFrame:
-    """Sums by document, packed by chunk, of occurrences with the count and probability of their pair."""
-    denominator = totals["tokens"] + totals["known"] + 1
 
+def unpack(data: bytes) -> np.ndarray:
+    kind, n = np.dtype("<" + data[:2].decode()), int.from_bytes(data[2:10], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[10:], n * kind.itemsize, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def _ints(data: bytes) -> np.ndarray:
+    return unpack(data).astype(np.int64)
+
+
+def _pack_texts(texts: list[bytes]) -> tuple[bytes, bytes]:
+    return pack([len(t) for t in texts], "u4"), pack(np.frombuffer(b"".join(texts), np.uint8), "u1")
+
+
+def _texts(lengths: bytes, data: bytes) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(_ints(lengths))))
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(unpack(data))])
+
+
+def _line(kind: str, place: int, other: int, arrays, totals=()) -> dict:
+    return {"kind": kind, "place": int(place), "other": int(other), "arrays": list(arrays), "totals": [float(t) for t in totals]}
+
+
+def _split(places: np.ndarray):
+    """(place, which elements go there), in their order."""
+    order = np.argsort(places, kind="stable")
+    at = places[order]
+    cuts = [*np.flatnonzero(np.diff(at, prepend=-1)), len(at)]
+    return ((int(at[a]), order[a:b]) for a, b in zip(cuts[:-1], cuts[1:]))
+
+
+def _sent(lines: DataFrame, of) -> DataFrame:
+    """The lines that ``of`` makes of each line."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from pa.Table.from_pylist(of(row), _LINE).to_batches()
+
+    return lines.mapInArrow(run, LINES)
+
+
+def _met(lines: DataFrame, of) -> DataFrame:
+    """The lines that ``of`` makes of all lines of a place."""
+    return lines.groupBy("place").applyInArrow(lambda t: pa.Table.from_pylist(of(sorted(t.to_pylist(), key=lambda r: r["other"])), _LINE), LINES)
+
+
+def _answered(states: DataFrame, lines: DataFrame, of, schema: str = LINES) -> DataFrame:
+    """What ``of`` makes of a place's state and the lines to it."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = of(left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: (r["kind"], r["other"])))
+        return out if isinstance(out, pa.Table) else pa.Table.from_pylist(out, _LINE)
+
+    return states.groupBy("place").cogroup(lines.groupBy("place")).applyInArrow(run, schema)
+
+
+def _kind(lines: DataFrame, kind: str) -> DataFrame:
+    return lines.where(F.col("kind") == kind)
+
+
+def _back(lines: DataFrame) -> DataFrame:
+    """The lines on their way back."""
+    return lines.select("kind", F.col("other").alias("place"), F.col("place").alias("other"), "arrays", "totals")
+
+
+def _totals(lines: DataFrame) -> list[float]:
+    rows = lines.select(F.posexplode("totals").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
+    return [r["value"] for r in rows]
+
+
+class Slots:
+    """Stored lines in named folders; a name that is used again takes the place of what it held. Shuffle files go as soon as the lines are stored."""
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark):
+        self.spark, self.base = spark, shared_dir(spark, "pitman-yor")
+
+    def kept(self, lines: DataFrame, name: str) -> DataFrame:
+        path, before = f"{self.base}/{name}", self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            lines.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
+        return self.spark.read.schema(LINES).parquet(path)
+
+
+def chunk_lines(docs: DataFrame, chunk_tokens: int) -> DataFrame:
+    """A line for each chunk: tokens, sizes, learned flags, ids of the documents, words."""
     def of(batches):
-        held, size = [], 0
+        for number, (own, names, learned) in enumerate(_chunks(batches, chunk_tokens)):
+            arrays = [pack(own.ids, "u4"), pack(own.sizes, "u4"), pack(learned, "u1"), _labels(names), *_pack_texts(own.words.to_pylist())]
+            line = _line("chunk", TaskContext.get().partitionId() << 32 | number, 0, arrays, [len(own.ids)])
+            yield from pa.Table.from_pylist([line], _LINE).to_batches()
+
+    return docs.mapInArrow(of, LINES)
+
+
+def _key(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+def _places(words: list[bytes], parts: int) -> np.ndarray:
+    return np.array([_key(w) % parts for w in words], dtype=np.int64)
+
+
+def numbered(chunks: DataFrame, parts: int, slots: Slots) -> tuple[DataFrame, DataFrame]:
+    """Lines of words and of chunks: a word's number is its row at its place, times ``parts``, plus the place; chunks have them in place of the words."""
+    def counted(row):
+        a = row["arrays"]
+        words = _texts(a[4], a[5]).to_pylist()
+        n = np.bincount(_ints(a[0])[np.repeat(unpack(a[2]) > 0, _ints(a[1]))], minlength=len(words))
+        return [_line("word", q, row["place"], [pack(n[at], "u4"), *_pack_texts([words[i] for i in at])]) for q, at in _split(_places(words, parts))]
+
+    def named(rows):
+        parts_of = [_texts(*r["arrays"][1:]) for r in rows]
+        coded = pa.concat_arrays(parts_of).dictionary_encode()
+        row, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        count = np.bincount(row, np.concatenate([_ints(r["arrays"][0]) for r in rows]), len(words)).astype(np.int64)
+        ends = np.cumsum([len(p) for p in parts_of])
+        state = [pack(count), pack([_key(w) for w in words], "u8"), *_pack_texts(words)]
+        totals = [count.sum(), (count > 0).sum(), (count == 1).sum(), (count == 2).sum()]
+        return [_line("words", rows[0]["place"], 0, state, totals)] + [
+            _line("number", r["other"], r["place"], [pack(row[b - len(p):b], "u4")]) for r, p, b in zip(rows, parts_of, ends)]
+
+    def attached(left, right):
+        a = left["arrays"]
+        places = _places(_texts(a[4], a[5]).to_pylist(), parts)
+        ids = np.zeros(len(places), dtype=np.int64)
+        for (q, at), r in zip(_split(places), right, strict=True):
+            ids[at] = _ints(r["arrays"][0]) * parts + q
+        return [_line("chunk", left["place"], 0, [*a[:4], pack(ids)])]
+
+    words = slots.kept(_met(_sent(chunks, counted), named), "words")
+    return words, slots.kept(_answered(chunks, _kind(words, "number"), attached), "chunks")
+
+
+class ChunkPairs:
+    """A chunk's distinct pairs of words: ``order`` sorts its tokens by pair, ``first`` is where each begins there, ``place`` where it is counted.
+    The pairs of a ``hot`` context are counted at many places, those of any other one at one."""
+
+    def __init__(self, arrays: list[bytes], parts: int, hot: np.ndarray):
+        self.tokens, self.sizes, self.ids = _ints(arrays[0]), _ints(arrays[1]), _ints(arrays[4])
+        both = np.concatenate(([self.tokens[self.sizes[0] - 1]], self.tokens[:-1])) << 32 | self.tokens
+        self.order = np.argsort(both, kind="stable")
+        both = both[self.order]
+        self.first = np.flatnonzero(np.diff(both, prepend=-1))
+        both = both[self.first]
+        self.own = both & 0xFFFFFFFF
+        self.ctx, self.word = self.ids[both >> 32], self.ids[self.own]
+        salt = np.where(np.isin(self.ctx, hot), self.word, 0).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            mixed = (self.ctx.astype(np.uint64) * _MIX ^ salt * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
+        self.place = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+    def runs(self, at: np.ndarray) -> np.ndarray:
+        """Where the pairs of a context begin among those of a place."""
+        return np.flatnonzero(np.diff(self.ctx[at], prepend=-1))
+
+
+def _rows_of(sums: list[np.ndarray], at: list[np.ndarray], size: int) -> np.ndarray:
+    return np.bincount(np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0), *sums]), size).astype(np.int64)
+
+
+class PairState:
+    """What a place knows of its pairs with two customers or more: number of the context and of the word here, customers ``n``, tables ``t``, key; of its contexts
+    the pairs with one customer and all customers, and which of them are hot; the words asked for, by place and row; the tables of each sample."""
+
+    NAMES = ("ci", "wi", "n", "t", "key", "singles", "c", "hot_at", "hot", "asked", "kept", "home")
+
+    def __init__(self, **arrays):
+        self.__dict__.update(arrays)
+
+    @classmethod
+    def read(cls, line: dict):
+        return cls(**{k: unpack(a) if k == "key" else _ints(a) for k, a in zip(cls.NAMES, line["arrays"])})
+
+    def tables(self, t: np.ndarray, elsewhere: np.ndarray | None = None) -> np.ndarray:
+        """Tables by context; ``elsewhere``: of the hot contexts, all places together."""
+        out = (self.singles + np.bincount(self.ci, t, len(self.singles))).astype(np.float64)
+        if elsewhere is not None:
+            out[self.hot_at] = elsewhere[self.hot]
+        return out
+
+    def lines(self, place: int, n_hot: int, totals=()) -> list[dict]:
+        here = np.zeros(n_hot)
+        here[self.hot] = self.tables(self.t)[self.hot_at]
+        return [_line("pairs", place, 0, [pack(getattr(self, k), "u8" if k == "key" else "i8") for k in self.NAMES], [*totals, *here])]
+
+
+def counted_pairs(chunks: DataFrame, parts: int, hot: np.ndarray, hot_counts: np.ndarray, slots: Slots) -> DataFrame:
+    """Lines of pairs; of words asked for; and for each chunk the customers of its pairs, and which of a place's pairs and contexts they are."""
+    def sent(row):
+        own = ChunkPairs(row["arrays"], parts, hot)
+        learned = np.repeat(unpack(row["arrays"][2]), own.sizes).astype(np.int64)
+        n, out = np.add.reduceat(learned[own.order], own.first), []
+        for p, at in _split(own.place):
+            start = own.runs(at)
+            out.append(_line("pair", p, row["place"], [pack(own.ctx[at][start]), pack(np.diff(np.append(start, len(at))), "u4"), pack(own.word[at]), pack(n[at], "u4")]))
+        return out
+
+    def home(number):
+        return number % parts << _LOW | number // parts
+
+    def met(rows):
+        place, got = rows[0]["place"], [[_ints(a) for a in r["arrays"]] for r in rows]
+        ctxs, run_ci = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        both = np.repeat(run_ci, np.concatenate([g[1] for g in got])) << _LOW | np.concatenate([g[2] for g in got])
+        both, at = np.unique(both, return_inverse=True)
+        n = np.bincount(at, np.concatenate([g[3] for g in got])).astype(np.int64)
+        ci, word = both >> _LOW, home(both & (1 << _LOW) - 1)
+        several = n > 1
+        hot_at = np.flatnonzero(np.isin(ctxs, hot))
+        number = np.searchsorted(hot, ctxs[hot_at])
+        c = np.bincount(ci, n, len(ctxs)).astype(np.int64)
+        c[hot_at] = hot_counts[number]
+        asked = np.unique(np.concatenate([word[several], home(ctxs[np.unique(ci[several])])]))
+        state = PairState(
+            ci=ci[several], wi=np.searchsorted(asked, word[several]), n=n[several], t=np.ones(int(several.sum()), np.int64), key=np.zeros(0, np.uint64),
+            singles=np.bincount(ci[n == 1], minlength=len(ctxs)), c=c, hot_at=hot_at, hot=number, asked=asked, kept=np.zeros(0, np.int64), home=np.searchsorted(asked, home(ctxs)))
+        words = np.unique(np.concatenate([word[n > 0], asked]))
+        single = np.bincount(np.searchsorted(words, word[n == 1]), minlength=len(words))
+        more = np.bincount(np.searchsorted(words, word[several]), minlength=len(words))
+        wanted = np.isin(words, asked)
+        out = state.lines(place, len(hot), [(n == 1).sum(), (n == 2).sum()])
+        out += [_line("ask", q, place, [pack(words[i] & (1 << _LOW) - 1), pack(more[i]), pack(single[i]), pack(wanted[i], "u1")]) for q, i in _split(words >> _LOW)]
+        row, end, run_end = np.cumsum(several) - 1, 0, 0
+        for r, g in zip(rows, got):
+            mine, runs = at[end:end + len(g[2])], run_ci[run_end:run_end + len(g[0])]
+            out.append(_line("index", place, r["other"], [pack(n[mine]), pack(row[mine[n[mine] > 1]], "u4"), pack(runs, "u4")]))
+            end, run_end = end + len(mine), run_end + len(runs)
+        return out
+
+    return slots.kept(_met(_sent(chunks, sent), met), "tokens")  # The words as texts are read no more.
+
+
+def _pair_sweep(settings: Settings, elsewhere: np.ndarray, sweep: int, sample: bool):
+    sums = settings.sums[-1]
+
+    def of(left, right):
+        s, got = PairState.read(left), [r["arrays"] for r in right]
+        customers, top = (np.concatenate([np.zeros(0, np.int64), *[_ints(g[k]) for g in got]]) for k in (0, 1))
+        if sweep == 1:  # The key of a pair is Spark's xxhash64 of both words.
+            keys = np.concatenate([np.zeros(0, np.uint64), *[unpack(g[2]) for g in got]])
+            texts = [t for g in got for t in _texts(g[3], g[4]).to_pylist()]
+            seeds = keys[s.home[s.ci]].tolist() if len(s.ci) else []
+            s.key = np.array([xxhash.xxh64_intdigest(texts[w], seed) for w, seed in zip(s.wi.tolist(), seeds)], dtype=np.uint64)
+        parent = settings.parent_probability(customers, top, sums)
+        rest = s.tables(s.t, elsewhere)[s.ci] - s.t
+        s.t = seated(s.n, settings.s2 + settings.d2 * rest, settings.d2, parent[s.wi], s.key, sweep).astype(np.int64)
+        if sample:
+            s.kept = np.concatenate([s.kept, s.t])
+        by_word = np.bincount(s.wi, s.t, len(s.asked))
+        return s.lines(left["place"], len(elsewhere)) + [
+            _line("ask", q, left["place"], [pack(s.asked[i] & (1 << _LOW) - 1), pack(by_word[i])]) for q, i in _split(s.asked >> _LOW)]
+
+    return of
+
+
+def _word_sweep(settings: Settings, sweep: int, sample: bool):
+    """Sweep 0 counts the single customers, seats everyone at one table, and answers with the words themselves."""
+    total = settings.sums[-1][0] if sweep else 0
+
+    def of(left, right):
+        a, got = left["arrays"], [r["arrays"] for r in right]
+        rows = [_ints(g[0]) for g in got]
+        if sweep:
+            count, keys, singles, _, top, *kept = a
+            singles, top, kept = _ints(singles), _ints(top), [_ints(k) for k in kept]
+        else:
+            count, keys, texts = a[0], a[1], _texts(a[2], a[3])
+            singles, kept = _rows_of([_ints(g[2]) for g in got], rows, len(texts)), [np.zeros(0, np.int64)] * 2
+        customers = singles + _rows_of([_ints(g[1]) for g in got], rows, len(singles))
+        if sweep:
+            base = np.full(len(top), settings.base)
+            top = seated(customers, settings.s1 + settings.d1 * (total - top), settings.d1, base, unpack(keys), sweep).astype(np.int64)
+        else:
+            top = np.minimum(customers, 1)
+        if sample:
+            kept = [np.concatenate([k, new]) for k, new in zip(kept, (customers, top))]
+        out = [_line("words", left["place"], 0, [count, keys, *[pack(x) for x in (singles, customers, top, *kept)]], [top.sum(), customers.sum()])]
+        for r, g, at in zip(right, got, rows):
+            at = at if sweep else at[unpack(g[3]) > 0]
+            more = [] if sweep else [pack(unpack(keys)[at], "u8"), *_pack_texts(texts.take(pa.array(at)).to_pylist())]
+            out.append(_line("answer", r["other"], left["place"], [pack(customers[at]), pack(top[at]), *more]))
+        return out
+
+    return of
+
+
+def packed_scores(docs: DataFrame, burn_in: int, samples: int, chunk_tokens: int, most: int = 4_000_000, least: int = 250_000) -> tuple[DataFrame, int]:
+    """Scores under the whole model, whose pairs and words lie as packed arrays at as many places as there are shuffle partitions, each of ``least`` to ``most`` tokens."""
+    slots = Slots(docs.sparkSession)
+    chunks = slots.kept(chunk_lines(docs, chunk_tokens), "tokens")
+    tokens = (_totals(chunks) or [0])[0]
+    parts = int(max(1, tokens // most, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // least)))
+    words, chunks = numbered(chunks, parts, slots)
+    tokens, known, ones, twos = _totals(_kind(words, "words")) or [0, 0, 0, 0]
+
+    def frequent(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc, sizes = _joined(batch.column("doc"), "<u4")
-            count, p, chunk = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("n", "p", "chunk"))
-            held.append((chunk, doc.astype(np.int64), (count > 0).astype(np.float64), np.log10((count + 1) / denominator), np.log10(p)))
-            size += len(doc)
-            yield from _names_of(batch)
-            if size >= most_held:
-                yield _summed(held)
-                held, size = [], 0
-        if held:
-            yield _summed(held)
+            for row in batch.to_pylist():
+                count = _ints(row["arrays"][0])
+                at = np.flatnonzero(count > max(1, tokens / parts))
+                yield pa.RecordBatch.from_arrays([pa.array(at * parts + row["place"]), pa.array(count[at])], ["id", "n"])
+
+    found = sorted(_kind(words, "words").mapInArrow(frequent, "id long, n long").collect())  # At most ``parts`` rows.
+    hot, hot_counts = np.array([r["id"] for r in found], dtype=np.int64), np.array([r["n"] for r in found], dtype=np.int64)
+    pairs = counted_pairs(chunks, parts, hot, hot_counts, slots)
+    once, twice, *tables = _totals(_kind(pairs, "pairs")) or [0, 0]
+    settings = Settings(int(known), (_discount({"a": ones, "b": twos}, "a", "b"), _discount({"a": once, "b": twice}, "a", "b")), np.zeros(0))
+    state, index = pairs, _kind(pairs, "index")
+    heads, hot_tables = words, []
+    for sweep in range(burn_in + samples + 1):
+        if sweep:
+            state = slots.kept(_answered(_kind(state, "pairs"), _kind(heads, "answer"), _pair_sweep(settings, np.array(tables), sweep, sweep > burn_in)), f"seats-{sweep % 2}")
+            tables = _totals(_kind(state, "pairs"))
+            hot_tables += [tables] if sweep > burn_in else []
+        heads = slots.kept(_answered(_kind(heads, "words"), _kind(state, "ask"), _word_sweep(settings, sweep, sweep > burn_in)), f"heads-{sweep % 2}")
+        settings.sums.append(_totals(_kind(heads, "words")) or [0.0, 0.0])
+    everywhere = np.array(hot_tables, dtype=np.float64).reshape(samples, len(hot))
+
+    def of_pairs(left, right):
+        s, out = PairState.read(left), []
+        each = s.kept.reshape(samples, -1)
+        by_context = np.array([s.tables(t, e) for t, e in zip(each, everywhere)]).reshape(samples, -1)
+        total = each.sum(axis=0)
+        for r in right:
+            rows, runs = _ints(r["arrays"][1]), _ints(r["arrays"][2])
+            out.append(_line("pairs", r["other"], left["place"], [r["arrays"][0], pack(total[rows]), pack(s.c[runs]), *[pack(t[runs]) for t in by_context]]))
+        return out
+
+    def of_words(left, right):
+        count, kept = _ints(left["arrays"][0]), [_ints(k).reshape(samples, -1) for k in left["arrays"][5:7]]
+        return [_line("words", r["other"], left["place"], [pack(x[at]) for x in (count, *kept[0], *kept[1])]) for r in right for at in [_ints(r["arrays"][0])]]
+
+    ready = slots.kept(_answered(_kind(state, "pairs"), index, of_pairs), "seats-" + "10"[(burn_in + samples) % 2])
+    known_words = slots.kept(_answered(_kind(heads, "words"), _back(_kind(words, "number")), of_words), "heads-" + "10"[(burn_in + samples) % 2])
+    denominator = tokens + known + 1
+
+    def of_chunk(left, right):
+        own = ChunkPairs(left["arrays"], parts, hot)
+        count, probs = np.zeros(len(own.ids), np.int64), np.zeros((samples, len(own.ids)))
+        from_pairs, from_words = ([[_ints(a) for a in r["arrays"]] for r in right if r["kind"] == k] for k in ("pairs", "words"))
+        for (_, at), got in zip(_split(own.ids % parts), from_words, strict=True):
+            count[at] = got[0]
+            for i in range(samples):
+                probs[i, at] = settings.parent_probability(got[1 + i], got[1 + samples + i], settings.sums[burn_in + 1 + i])
+        p = np.zeros(len(own.first))
+        for (_, at), (n, total, c, *tables) in zip(_split(own.place), from_pairs, strict=True):
+            t, start = n.astype(np.float64), own.runs(at)
+            t[n > 1] = total / samples
+            run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
+            given = sum((((settings.s2 + settings.d2 * tables[i]) / (settings.s2 + c))[run] * probs[i, own.own[at]] for i in range(samples)), 0.0) / samples
+            p[at] = (n - settings.d2 * t) / (settings.s2 + c)[run] + given
+        score = np.empty(len(own.tokens))
+        score[own.order] = np.repeat(np.log10(p), np.diff(np.append(own.first, len(own.order))))
+        doc = np.repeat(np.arange(len(own.sizes)), own.sizes)
+        of_word = [(count > 0).astype(np.float64), np.log10((count + 1) / denominator)]
+        known_sum, base, total = (np.bincount(doc, w) for w in (*[x[own.tokens] for x in of_word], score))
+        names, n = left["arrays"][3], len(own.sizes)
+        ids = pa.array(np.frombuffer(names, "<i8", n), mask=np.frombuffer(names, np.uint8, n, 8 * n) == 0)
+        return pa.table([ids, *[pa.array(x) for x in (own.sizes, known_sum.astype(np.int64), base, total)]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return matched.select("chunk", "doc", "names", "n", "p").mapInArrow(of, SUMS)
+    out = _answered(chunks, ready.unionByName(known_words), of_chunk, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out, int(tokens)
 
 
 def document_scores(partial: DataFrame) -> DataFrame:
@@ -518,9 +865,7 @@ def scored(docs: DataFrame, contexts: int | None = None, burn_in: int = 2, sampl
         raise ValueError("contexts are numbered in two bytes")
     small_batches(docs.sparkSession, 8192)
     if contexts is None:
-        *model, totals = whole_model(docs, burn_in, samples, chunk_tokens)
-        matched = pair_occurrences(docs, chunk_tokens).join(pair_probabilities(*model, samples), ["ctx", "word"])
-        return document_scores(pair_scores(matched, totals)), totals["tokens"]
+        return packed_scores(docs, burn_in, samples, chunk_tokens)
     rows, settings, numbers, totals = learned_model(docs, contexts, burn_in, samples, chunk_tokens)
     model = predictive(rows, settings, burn_in)
     matched = occurrences(docs, numbers, chunk_tokens).join(model, "word", "left").select("chunk", "ctx", "doc", "names", "n", "top", "ctxs", "probs")

@@ -2,12 +2,14 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scorelake.llm import pitman_yor as P
+from scorelake.session import shared_dir
 
 
 def corpus(n=300, seed=1):
@@ -117,6 +119,31 @@ def test_the_query_learns_what_follows_rare_words(spark, docs_of):
     assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score) and got[held[0]].score > got[held[1]].score + 400
 
 
+def test_what_is_kept_does_not_grow_with_the_sweeps(spark, docs_of):
+    """A sweep takes the folders of the one before the last; before, each left three tables more."""
+    slim = docs_of(corpus(30, 7)).select("doc_id", "text", F.lit(True).alias("learned"))
+    base, kept = Path(shared_dir(spark, "none").removeprefix("file://")).parent, []
+    for samples in (1, 4):
+        had = len([*base.rglob("_SUCCESS")])
+        assert P.scored(slim, None, 1, samples, 300)[0].count() == 30
+        kept.append(len([*base.rglob("_SUCCESS")]) - had)
+    assert kept[0] == kept[1] > 0
+
+
+def test_places_do_not_change_scores(spark, docs_of):
+    """One place, and many with contexts that are spread over them."""
+    slim = docs_of(corpus(60, 8)).select("doc_id", "text", (F.col("doc_id") % 3 > 0).alias("learned"))
+    one, many = ({r.doc_id: r for r in P.packed_scores(slim, 1, 2, 300, least=least)[0].collect()} for least in (10**9, 30))
+    assert len(one) == 60 and all(many[i].score == pytest.approx(r.score) and (many[i].n_tokens, many[i].n_known) == (r.n_tokens, r.n_known) for i, r in one.items())
+
+
+def test_packed_arrays():
+    for values, kind in (([], "u4"), ([0, 1, 2**40, -5], "i8"), ([2**64 - 1], "u8"), ([7, 0, 255], "u1")):
+        assert P.unpack(P.pack(values, kind)).tolist() == values
+    for texts in ([], [b"", b"a", "\u00e9\u4e00".encode()]):
+        assert P._texts(*P._pack_texts(texts)).to_pylist() == texts
+
+
 def test_seating(spark):
     counts = np.array([0, 1, 2, 64, 65, 5000, 10**7])
     ones = np.ones(len(counts))
