@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.llm.common import col, fresh, quoted, small_batches, stored, text_of
+from scorelake.llm.common import col, fresh, merge_beyond, quoted, small_batches, stored, text_of
 
 SEED = 42
 
@@ -97,7 +97,8 @@ def close_pairs(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """Links (a, b) of clusters that hold fingerprints at ``bits`` differing bits or fewer; nodes have ``fp`` and ``cluster``."""
     if bits > 5:
         raise ValueError("two halves and a radius of one find pairs of at most five differing bits")
-    points = grid(nodes)
+    # Spark sizes the points as the nodes they are exploded from, some fifty times too low, and would broadcast them.
+    points = grid(nodes).hint("merge")
     left = points.select("cell", F.col("fp").alias("f1"), F.col("cluster").alias("c1"))
     right = points.select("cell", F.col("fp").alias("f2"), F.col("cluster").alias("c2"))
     met = left.join(right, "cell").where(f"f1 < f2 and c1 <> c2 and bit_count(f1 ^ f2) <= {bits}")
@@ -112,19 +113,20 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.select("a", "b"), "links")
     roots, turn = None, 0
-    while not edges.isEmpty():
+    while n_links := edges.count():
         both, turn = edges.union(edges.select("b", "a")), turn + 1
         place = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("place"), F.col(c).alias("up"))  # noqa: E731, B023
         least = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("least"))
         parent = stored(least.select("node", F.least("least", place("node"))["up"].alias("up")), "parents")
-        first, second = parent.toDF("a", "ua"), parent.toDF("b", "ub")
+        known = merge_beyond(parent, 2 * n_links)
+        first, second = known.toDF("a", "ua"), known.toDF("b", "ub")
         edges = stored(
             edges.join(first, "a").join(second, "b").where("ua <> ub")
             .select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b")).distinct(), "links")
         if roots is None:
             roots = parent.select("node", F.col("up").alias("root"))
         else:
-            moved = roots.join(parent.toDF("root", "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+            moved = roots.join(known.toDF("root", "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
             roots = stored(moved, "roots")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots
 
@@ -142,9 +144,9 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 4, bits: int =
 def fingerprint_classes(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """(fp, least, root) for every stored node (fp, least), each fingerprint once; nodes of one component have one root."""
     clusters = components(stars(nodes.select("fp")))
-    placed = stored(nodes.join(clusters.toDF("fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("cluster")), "clusters")
+    placed = stored(nodes.join(merge_beyond(clusters).toDF("fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("cluster")), "clusters")
     merged = components(close_pairs(placed.select("fp", "cluster"), bits))
-    final = placed.join(merged.toDF("cluster", "top"), "cluster", "left").select("fp", "least", F.coalesce("top", "cluster").alias("root"))
+    final = placed.join(merge_beyond(merged).toDF("cluster", "top"), "cluster", "left").select("fp", "least", F.coalesce("top", "cluster").alias("root"))
     return stored(final, "classes")
 
 
@@ -161,7 +163,7 @@ def near_dedup(docs: DataFrame, text: str = "text", words: int = 4, bits: int =
     kept_id, kept_key, own_id, own_key, nth = map(F.col, names)
     kept = stored(keep.select(F.col("least.doc_id").alias(names[0]), F.col("least.key").alias(names[1])), "kept-rows")
     keyed = docs.withColumns({names[2]: col("doc_id").cast("long"), names[3]: F.xxhash64(text_of(text))})
-    found = keyed.join(kept, own_id.eqNullSafe(kept_id) & (own_key == kept_key), "left_semi")
+    found = keyed.join(merge_beyond(kept), own_id.eqNullSafe(kept_id) & (own_key == kept_key), "left_semi")
     tie = F.xxhash64(*[col(c) for c, t in docs.dtypes if not t.startswith("map")])
     one = found.withColumn(names[4], F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(tie))).where(nth == 1)
     return one.select(*map(quoted, docs.columns))

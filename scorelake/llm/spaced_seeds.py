@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import col, quoted, stored, text_of
+from scorelake.llm.common import col, merge_beyond, quoted, stored, text_of
 
 # Every way in which 13 of 16 places agree leaves one of these whole: eight tokens each.
 WIDE = (
@@ -83,7 +83,7 @@ def overlaps(
     tokens = named.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
     probed = seeds(tokens, "tokens", masks).select("doc_id", "at", "seed").join(keys, "seed", "left_semi")
     hits = probed.join(item_seeds, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    hits = stored(hits, "seed-hits")
+    hits = merge_beyond(stored(hits, "seed-hits"))
     # Hits are few beside the texts: their documents are picked before tokens are made again.
     searched = named.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     pairs = (
@@ -106,7 +106,7 @@ def overlaps(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that share no passage with the benchmark. Rows without an id stay."""
     hit = stored(overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_hit_id")).distinct(), "contaminated")
-    return docs.join(hit, col("doc_id").cast("long") == F.col("_hit_id"), "left_anti").select(*map(quoted, docs.columns))
+    return docs.join(merge_beyond(hit), col("doc_id").cast("long") == F.col("_hit_id"), "left_anti").select(*map(quoted, docs.columns))
 
 
 def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@ import random
 import re
 
 import pytest
-from conftest_llm import prose
+from conftest_llm import plan_of, prose
 from pyspark.sql import functions as F
 
+from scorelake.llm import common
 from scorelake.llm import quality_rules as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,6 +56,17 @@ def test_filter_keeps_clean_and_drops_junk(spark, docs_of, clashing):
     assert {r.doc_id for r in out.collect()} == set(range(300))
 
 
+def test_fences_are_counted_with_their_salts(spark, docs_of, monkeypatch):
+    """Four groups are few, their 128 rows with salts are more than may be broadcast here."""
+    rng = random.Random(5)
+    df = docs_of([(i, prose(rng, 30), "en" if i % 2 else None, f"s{i % 4 // 2}", 1) for i in range(80)])
+    want = sorted(map(tuple, Q.quality_query(df).collect()), key=str)
+    monkeypatch.setattr(common, "MOST_BROADCAST", 100)
+    out = Q.quality_query(df)
+    assert "SortMergeJoin" in plan_of(out) and "Broadcast" not in plan_of(out)
+    assert sorted(map(tuple, out.collect()), key=str) == want and len(want) == 80
+
+
 def test_odd_rows_and_empty(spark, docs_of, odd_rows):
     got = [(r.doc_id, r.kept) for r in Q.quality_query(docs_of(odd_rows)).collect()]
     assert len(got) == len(odd_rows) and dict(got)[4] is True and dict(got)[1] is False and dict(got)[2] is False

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import xxhash
-from conftest_llm import prose
+from conftest_llm import plan_of, prose
 
+from scorelake.llm import common
 from scorelake.llm import simhash_groups as S
 
 
@@ -135,3 +136,30 @@ def test_dedup_is_one_row_of_each_brute_force_component(docs_of):
     least = brute(list(range(len(texts))), fps)
     got = [r.doc_id for r in S.near_dedup(docs_of([(i, t, "en", "a", 1) for i, t in enumerate(texts)])).collect()]
     assert sorted(got) == sorted(set(least.values())) and len(got) < len(texts)
+
+
+def test_grid_points_are_not_broadcast(spark):
+    """A stored table of nodes is small by its files, its points are some fifty times as many."""
+    nodes = common.stored(spark.range(1000).selectExpr("xxhash64(id) fp", "id cluster"), "nodes")
+    plan = plan_of(S.close_pairs(nodes))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def seen_plans(monkeypatch):
+    """Plans of all that is stored, which is now more than may be broadcast."""
+    plans, stored = [], S.stored
+    monkeypatch.setattr(common, "MOST_BROADCAST", -1)
+    monkeypatch.setattr(S, "stored", lambda df, purpose: (plans.append(plan_of(df)), stored(df, purpose))[1])
+    return plans
+
+
+def test_dedup_broadcasts_no_table_of_many_rows(docs_of, odd_rows, monkeypatch):
+    rng = random.Random(4)
+    text = prose(rng, 400)
+    df = docs_of([*odd_rows, *[(30 + i, text + f" w{i}", "en", "a", 1) for i in range(5)]])
+    want = sorted(map(str, S.near_dedup(df).collect()))
+    plans = seen_plans(monkeypatch)
+    out = S.near_dedup(df)
+    plans.append(plan_of(out))
+    assert sorted(map(str, out.collect())) == want
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)

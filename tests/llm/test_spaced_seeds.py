@@ -2,8 +2,9 @@ import itertools
 import random
 import re
 
-from conftest_llm import prose
+from conftest_llm import plan_of, prose
 
+from scorelake.llm import common
 from scorelake.llm import spaced_seeds as S
 
 
@@ -54,6 +55,18 @@ def test_without_broadcast_the_result_is_the_same(spark):
     assert rows() == rows(most_broadcast=0) != []
 
 
+def test_many_contaminated_documents_are_not_broadcast(spark, docs_of, monkeypatch):
+    rng = random.Random(7)
+    item = prose(rng, 30)
+    docs = docs_of([(i, prose(rng, 30) + (" " + item if i % 3 == 0 else ""), "en", "a", 1) for i in range(12)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    want = sorted(map(tuple, S.decontaminated(docs, bench).collect()))
+    monkeypatch.setattr(common, "MOST_BROADCAST", 3)
+    out = S.decontaminated(docs, bench)
+    assert "SortMergeJoin" in plan_of(out) and "Broadcast" not in plan_of(out)
+    assert sorted(map(tuple, out.collect())) == want and len(want) == 8
+
+
 def test_filter_and_odd_rows(spark, docs_of, odd_rows, clashing):
     rng = random.Random(4)
     item = prose(rng, 40)
