@@ -137,8 +137,8 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 4, bits: int =
     rows = stored(docs.select(col("doc_id").cast("long").alias("doc_id"), fingerprints(words)(text_of(text)).alias("fp")), "fingerprints")
     final = fingerprint_classes(stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints"), bits)
     names = final.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(final.join(names, "root").select("fp", "component_id"), "class-names")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stored(merge_beyond(final).join(names, "root").select("fp", "component_id"), "class-names")
+    return rows.join(merge_beyond(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_classes(nodes: DataFrame, bits: int = 4) -> DataFrame:

@@ -163,3 +163,15 @@ def test_dedup_broadcasts_no_table_of_many_rows(docs_of, odd_rows, monkeypatch):
     plans.append(plan_of(out))
     assert sorted(map(str, out.collect())) == want
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_groups_broadcast_no_table_of_many_rows(docs_of, odd_rows, monkeypatch):
+    rng = random.Random(4)
+    text = prose(rng, 400)
+    df = docs_of([*odd_rows, *[(30 + i, text + f" w{i}", "en", "a", 1) for i in range(5)]])
+    want = sorted(map(str, S.near_groups(df).collect()))
+    plans = seen_plans(monkeypatch)
+    out = S.near_groups(df)
+    plans.append(plan_of(out))
+    assert sorted(map(str, out.collect())) == want
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
